@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from papyrine.llm.bpe import op3_bpe
+from papyrine.llm.language import op8_language
+from papyrine.llm.pii import op6_pii
 from papyrine.llm.quality import op1_quality
 from papyrine.llm.toxicity import op4_toxicity
 
@@ -14,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
+    "op6_pii": op6_pii,
+    "op8_language": op8_language,
 }
 
 ORACLES: dict[str, str] = {}
