@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from papyrine.llm.bpe import op3_bpe
 from papyrine.llm.language import op8_language
+from papyrine.llm.neardup import op7_neardup
 from papyrine.llm.pii import op6_pii
 from papyrine.llm.quality import op1_quality
 from papyrine.llm.toxicity import op4_toxicity
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op6_pii": op6_pii,
+    "op7_neardup": op7_neardup,
     "op8_language": op8_language,
 }
 
