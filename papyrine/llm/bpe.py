@@ -46,9 +46,7 @@ ORDER BY word, pos
 """
 
 DECODE = """
-SELECT i.row, string_agg(v.hex, '' ORDER BY i.pos) AS hex
-FROM (SELECT row, unnest(ids) AS token, generate_subscripts(ids, 1) AS pos FROM coded) i JOIN vocabulary v USING (token)
-GROUP BY i.row
+SELECT row, string_agg(v.text, '' ORDER BY c.pos) AS text FROM coded c JOIN vocabulary v USING (token) GROUP BY row
 """
 
 
@@ -67,7 +65,7 @@ class Coder:
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, merged = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self._register("merge", {"a": a, "b": b, "merged": merged})
-        self._register("vocabulary", {"token": pa.array(self.ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])})
+        self._register("vocabulary", {"token": pa.array(self.ranks.values(), pa.int32()), "text": pa.array([t.decode("latin-1") for t in self.ranks])})  # a code point for each byte
         self.single = np.array([self.ranks[bytes([k])] for k in range(256)])
         self.known: dict[str, tuple[bytes, str]] = {}
 
@@ -141,10 +139,11 @@ class Coder:
             while last < len(ids) and (last == first or size + len(ids[last]) <= DECODED_AT_ONCE):
                 size += len(ids[last])
                 last += 1
-            offsets = np.cumsum([0, *(len(x) for x in ids[first:last])])
-            self._register("coded", {"row": pa.array(range(first, last)), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids[first:last]), pa.int32()))})
-            for row, text in self.database.execute(DECODE).fetchall():
-                out[row] = bytes.fromhex(text)
+            flat = np.concatenate(ids[first:last])
+            row = np.repeat(np.arange(first, last), [len(x) for x in ids[first:last]])
+            self._register("coded", {"row": pa.array(row, pa.int32()), "pos": pa.array(np.arange(len(flat)), pa.int32()), "token": pa.array(flat, pa.int32())})
+            for k, text in self.database.execute(DECODE).fetchall():
+                out[k] = text.encode("latin-1")
             first = last
         return out
 
