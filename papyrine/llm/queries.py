@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from papyrine.llm.bpe import op3_bpe
+from papyrine.llm.decontaminate import op5_decontaminate
 from papyrine.llm.language import op8_language
+from papyrine.llm.linededup import op9_linededup
 from papyrine.llm.neardup import op7_neardup
 from papyrine.llm.pii import op6_pii
 from papyrine.llm.quality import op1_quality
@@ -17,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_decontaminate": op5_decontaminate,
     "op6_pii": op6_pii,
     "op7_neardup": op7_neardup,
     "op8_language": op8_language,
+    "op9_linededup": op9_linededup,
 }
 
 ORACLES: dict[str, str] = {}
