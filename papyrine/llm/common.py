@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,3 +113,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+#: Bits of the bitmap over hashed doc_ids. Fixed: a task is sent this many at most, however many ids there are.
+BUCKETS = 1 << 23
+_MARK = "__papyrine_needed"
+
+
+def bucket(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("bigint")), F.lit(BUCKETS)).cast("bigint")
+
+
+def bitmap(rows: DataFrame) -> bytes:
+    """Bitmap over hashed doc_ids: a clear bit means that no row has such an id. Reaches the driver as BUCKETS / 64 words at most."""
+    words = rows.select(bucket(F.col("doc_id")).alias("b")).groupBy(F.expr("int(b div 64)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(b % 64)))").alias("bits"))
+    out = np.zeros(BUCKETS // 64, np.int64)
+    for row in words.collect():
+        out[row["word"]] = row["bits"]
+    return out.tobytes()
+
+
+def split_rows(documents: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """documents whose doc_id surely isn't among those of rows, and the others: only these have to be shuffled for a join."""
+    bits = bitmap(rows)
+    key = "__papyrine_bucket"
+    marked = documents.withColumn(key, bucket(F.col("doc_id")))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(bits, np.int64)
+        for batch in batches:
+            b = batch[key].to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(((words[b >> 6] >> (b & 63)) & 1).astype(bool))], [*batch.schema.names, _MARK])
+
+    marked = marked.mapInArrow(mark, T.StructType([*marked.schema, T.StructField(_MARK, T.BooleanType())])).drop(key)
+    return marked.where(~F.col(_MARK)).drop(_MARK), marked.where(_MARK).drop(_MARK)

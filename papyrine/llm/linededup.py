@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import stored, table
+from papyrine.llm.common import bitmap, bucket, split_rows, stored, table
 
 #: Edits within which lines are joined.
 EDITS = 2
 #: Bytes from which a line is compared at all, and from which within edits (shorter ones must be equal).
 SHORTEST, SHORTEST_NEAR = 16, 24
-#: Buckets of the bitmap that tells which documents a later pass needs. Fixed: at most this many bits are sent to a task.
-_BUCKETS = 1 << 23
 
 
 def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -174,23 +172,12 @@ def _chunks(items: list, n: int) -> Iterator[list]:
         yield items[i : i + n]
 
 
-def needed(rows: DataFrame) -> bytes:
-    """Bitmap over hashed doc_ids: a clear bit means that no row has the id. Sent to the driver as at most _BUCKETS / 64 words."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(_BUCKETS))
-    bucketed = rows.select(bucket.alias("bucket"))
-    words = bucketed.groupBy(F.expr("int(bucket div 64)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bucket % 64)))").alias("bits"))
-    out = np.zeros(_BUCKETS // 64, np.int64)
-    for row in words.collect():
-        out[row["word"]] = row["bits"]
-    return out.tobytes()
-
-
 def _texts(batches: Iterator[pa.RecordBatch], ids_of: bytes) -> Iterator[pa.RecordBatch]:
     bits = np.frombuffer(ids_of, np.int64)
     for batch in batches:
         rows: dict[bytes, tuple[int, int]] = {}
-        bucket = batch["bucket"].to_numpy()
-        wanted = (bits[bucket >> 6] >> (bucket & 63)) & 1
+        at = batch["bucket"].to_numpy()
+        wanted = (bits[at >> 6] >> (at & 63)) & 1
         for text, w in zip(batch["text"], wanted, strict=True):
             if w:
                 rows.update((raw, _digest(raw)) for _, raw in units(text.as_py()) if len(raw) >= SHORTEST_NEAR)
@@ -205,8 +192,7 @@ def _verified(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Reco
 
 
 def _rows(documents: DataFrame) -> DataFrame:
-    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(_BUCKETS)).cast("bigint")
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), bucket.alias("bucket"))
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), bucket(F.col("doc_id")).alias("bucket"))
 
 
 def links(documents: DataFrame, classes: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -221,7 +207,7 @@ def links(documents: DataFrame, classes: DataFrame, lines: DataFrame, edits: int
     pairs = stored(left.join(right, "key").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     firsts = ends.join(classes, "h1").select(F.col("first").alias("doc_id")).distinct()
-    texts = rows.mapInArrow(partial(_texts, ids_of=needed(firsts)), "h1 bigint, h2 bigint, raw binary").join(ends, "h1", "left_semi").dropDuplicates(["h1", "h2"])
+    texts = rows.mapInArrow(partial(_texts, ids_of=bitmap(firsts)), "h1 bigint, h2 bigint, raw binary").join(ends, "h1", "left_semi").dropDuplicates(["h1", "h2"])
     texts = stored(texts)
     side = lambda s: texts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("raw").alias(f"raw_{s}"))
     found = pairs.join(side("a"), F.col("a") == F.col("a1")).join(side("b"), F.col("b") == F.col("b1")).select("a1", "a2", "b1", "b2", "raw_a", "raw_b")
@@ -249,59 +235,49 @@ def decisions(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     return lines.join(decided, ["h1", "h2"]).select("doc_id", "line", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), removed.alias("removed"))
 
 
-def _apply(batches: Iterator[pa.RecordBatch], columns: list[str], counts: bool) -> Iterator[pa.RecordBatch]:
+#: Columns added to documents, named so that they clash with none of theirs.
+N_LINES, N_REMOVED, N_LINKS, EMPTY, _GONE, _ID = (f"__papyrine_{x}" for x in ("n_lines", "n_removed", "n_links", "empty", "gone", "id"))
+
+
+def _apply(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
     """Takes the removed lines and the repeats inside a document out of the text."""
     for batch in batches:
         texts, n_lines, n_removed, empty = [], [], [], []
-        for text, gone in zip(batch["text"], batch["_gone"].to_pylist(), strict=True):
+        for text, gone in zip(batch["text"], batch[_GONE].to_pylist(), strict=True):
             text = text.as_py()
-            lines = (text or "").split("\n")
             out, seen, removed = set(), set(), set(gone or ())
+            first: dict[bytes, int] = {}
             compared = units(text)
-            first = {}
             for n, raw in compared:
                 if first.setdefault(raw, n) in removed or raw in seen:
                     out.add(n)
                 seen.add(raw)
-            kept = "\n".join(line for n, line in enumerate(lines) if n not in out) if out else text
+            kept = "\n".join(line for n, line in enumerate(text.split("\n")) if n not in out) if out else text
             texts.append(kept)
             n_lines.append(len(compared)), n_removed.append(len(out))
-            empty.append(bool(out) and not (kept or "").strip())
-        named = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(texts, pa.string())}
-        if counts:
-            named |= {"_n_lines": pa.array(n_lines, pa.int64()), "_n_removed": pa.array(n_removed, pa.int64()), "_empty": pa.array(empty, pa.bool_())}
+            empty.append(bool(out) and not kept.strip())
+        named = dict(zip(batch.schema.names, batch.columns, strict=True))
+        named |= {"text": pa.array(texts, pa.string()), N_LINES: pa.array(n_lines, pa.int64()), N_REMOVED: pa.array(n_removed, pa.int64()), EMPTY: pa.array(empty, pa.bool_())}
         yield pa.RecordBatch.from_arrays([named[c] for c in columns], columns)
 
 
 def dedup_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
-    """documents, all their columns, with the removed lines out of `text`, and _n_lines, _n_removed, _n_links, _empty (nothing is left of a text that lost lines).
+    """documents, all their columns, with the removed lines out of `text`, and the columns N_LINES, N_REMOVED, N_LINKS and EMPTY (nothing is left of a text that lost lines).
 
     Lines are trimmed of white space; those under SHORTEST bytes are never compared nor removed, those under SHORTEST_NEAR only for equality.
     A line goes if it occurs earlier in its document, occurs in a document of smaller id, or is within `edits` edits (of UTF-8 bytes) of a line that
     first occurs earlier. Null texts stay null and empty ones empty. Rows without doc_id lose only repeats inside themselves and count for no
     other. Rows that repeat a doc_id count as one document: identical ones get identical results. An empty table gives none.
     """
-    decided = stored(decisions(documents, edits).groupBy("doc_id").agg(F.collect_list(F.when(F.col("removed"), F.col("line"))).alias("_gone"), F.sum("n_links").alias("_n_links")))
-    ids_of = needed(decided)
-    key = F.col("doc_id").cast("bigint")
-    bucket = F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).cast("bigint")
-    rows = documents.withColumn("_bucket", bucket)
-    marked = T.StructType([*rows.schema, T.StructField("_needed", T.BooleanType())])
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = np.frombuffer(ids_of, np.int64)
-        for batch in batches:
-            b = batch["_bucket"].to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(((table_[b >> 6] >> (b & 63)) & 1).astype(bool))], [*batch.schema.names, "_needed"])
-
-    rows = rows.mapInArrow(mark, marked).drop("_bucket")
-    idle = rows.where(~F.col("_needed")).drop("_needed").withColumns({"_gone": F.array().cast("array<bigint>"), "_n_links": F.lit(0).cast("bigint")})
-    busy = rows.where("_needed").drop("_needed").join(decided.withColumnRenamed("doc_id", "_id"), key == F.col("_id"), "left").drop("_id").withColumn("_n_links", F.coalesce("_n_links", F.lit(0).cast("bigint")))
-    columns = [*documents.columns, "_n_lines", "_n_removed", "_n_links", "_empty"]
-    fields = {f.name: f for f in documents.schema} | {"_n_lines": T.StructField("_n_lines", T.LongType()), "_n_removed": T.StructField("_n_removed", T.LongType()), "_n_links": T.StructField("_n_links", T.LongType()), "_empty": T.StructField("_empty", T.BooleanType())}
-    return idle.unionByName(busy).mapInArrow(partial(_apply, columns=columns, counts=True), T.StructType([fields[c] for c in columns]))
+    decided = stored(decisions(documents, edits).groupBy("doc_id").agg(F.collect_list(F.when(F.col("removed"), F.col("line"))).alias(_GONE), F.sum("n_links").alias(N_LINKS)))
+    idle, busy = split_rows(documents, decided)
+    idle = idle.withColumns({_GONE: F.array().cast("array<bigint>"), N_LINKS: F.lit(0).cast("bigint")})
+    busy = busy.join(decided.withColumnRenamed("doc_id", _ID), F.col("doc_id").cast("bigint") == F.col(_ID), "left").drop(_ID).withColumn(N_LINKS, F.coalesce(F.col(N_LINKS), F.lit(0).cast("bigint")))
+    added = [T.StructField(N_LINES, T.LongType()), T.StructField(N_REMOVED, T.LongType()), T.StructField(N_LINKS, T.LongType()), T.StructField(EMPTY, T.BooleanType())]
+    schema = T.StructType([*documents.schema, *added])
+    return idle.unionByName(busy).mapInArrow(partial(_apply, columns=schema.names), schema)
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_links").alias("n_links"), "text")
+    return out.select("doc_id", F.col(N_LINES).alias("n_lines"), F.col(N_REMOVED).alias("n_removed"), F.col(N_LINKS).alias("n_links"), "text")

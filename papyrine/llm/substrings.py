@@ -10,18 +10,18 @@ import re
 from collections.abc import Iterator
 from functools import partial
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import stored, table
-from papyrine.llm.linededup import needed
+from papyrine.llm.common import split_rows, stored, table
 
 #: Words that a removed run has at least, and words from which a unit is hashed. Shorter units go with a run when both neighbours do.
 MIN_WORDS, UNIT_WORDS = 20, 3
+#: Columns named so that they clash with none of the documents'.
+REMOVED, _REPEATED, _ID = "__papyrine_removed", "__papyrine_repeated", "__papyrine_id"
 _UNIT = re.compile(r"[^\n]*?[.!?]+(?=[ \t\r\n]|$)|[^\n]+")
 
 
@@ -97,7 +97,7 @@ def removed_spans(text: str | None, repeated: set[int], min_words: int = MIN_WOR
 def _cut(batches: Iterator[pa.RecordBatch], names: list[str], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, spans = [], []
-        for text, repeated in zip(batch["text"], batch["_repeated"].to_pylist(), strict=True):
+        for text, repeated in zip(batch["text"], batch[_REPEATED].to_pylist(), strict=True):
             text = text.as_py()
             gone = removed_spans(text, set(repeated or ()), min_words)
             kept, at = [], 0
@@ -107,12 +107,12 @@ def _cut(batches: Iterator[pa.RecordBatch], names: list[str], min_words: int) ->
             texts.append("".join([*kept, text[at:]]) if gone else text)
             spans.append([{"start": a, "end": b} for a, b in gone])
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        named = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(texts, pa.string()), "_removed": pa.array(spans, span)}
+        named = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(texts, pa.string()), REMOVED: pa.array(spans, span)}
         yield pa.RecordBatch.from_arrays([named[c] for c in names], names)
 
 
 def dedup_substrings(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """documents, all their columns, with repeated runs out of `text` and their original spans in _removed (start, end in code points).
+    """documents, all their columns, with repeated runs out of `text` and their original spans in the column REMOVED (start, end in code points).
 
     Documents rank by doc_id: the document of the smallest id keeps a passage, later ones lose it; inside a document the first occurrence stays.
     Null texts stay null, empty ones empty. Rows without doc_id lose only what repeats inside them and count for no other. Rows that repeat a doc_id
@@ -122,25 +122,16 @@ def dedup_substrings(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     units = stored(documents.select(key.alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_units, "h1 bigint, h2 bigint, doc_id bigint, unit bigint"))
     shared = units.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     later = units.join(shared, ["h1", "h2"]).where("doc_id > first")
-    repeated = stored(later.groupBy("doc_id").agg(F.collect_list("unit").alias("_repeated")))
-    bits = needed(repeated)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(bits, np.int64)
-        for batch in batches:
-            b = batch["_bucket"].to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(((words[b >> 6] >> (b & 63)) & 1).astype(bool))], [*batch.schema.names, "_needed"])
-
-    rows = documents.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(len(bits) * 8)).cast("bigint"))
-    rows = rows.mapInArrow(mark, T.StructType([*rows.schema, T.StructField("_needed", T.BooleanType())])).drop("_bucket")
+    repeated = stored(later.groupBy("doc_id").agg(F.collect_list("unit").alias(_REPEATED)))
     # documents that lose nothing to others aren't shuffled
-    idle = rows.where(~F.col("_needed")).drop("_needed").withColumn("_repeated", F.array().cast("array<bigint>"))
-    busy = rows.where("_needed").drop("_needed").join(repeated.withColumnRenamed("doc_id", "_id"), key == F.col("_id"), "left").drop("_id")
+    idle, busy = split_rows(documents, repeated)
+    idle = idle.withColumn(_REPEATED, F.array().cast("array<bigint>"))
+    busy = busy.join(repeated.withColumnRenamed("doc_id", _ID), key == F.col(_ID), "left").drop(_ID)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([*documents.schema, T.StructField("_removed", span)])
+    schema = T.StructType([*documents.schema, T.StructField(REMOVED, span)])
     return idle.unionByName(busy).mapInArrow(partial(_cut, names=schema.names, min_words=min_words), schema)
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.size("_removed").cast("bigint").alias("n_removed"), F.col("_removed").alias("removed"), "text")
+    return out.select("doc_id", F.size(REMOVED).cast("bigint").alias("n_removed"), F.col(REMOVED).alias("removed"), "text")
