@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
+import types
 from collections.abc import Iterator
 from functools import partial
 from itertools import chain
@@ -22,8 +24,8 @@ from papyrine.llm.common import table
 
 #: Words longer than this (bytes) are contracted by a heap instead: one round a merge over all their rows would cost the square of their length.
 LONG_WORD = 200
-#: Distinct words whose ids a task remembers, and ids that one decoding statement takes.
-REMEMBERED, DECODED_AT_ONCE = 400_000, 400_000
+#: Distinct words of one generation whose ids a worker remembers (two generations are kept), and ids that one decoding statement takes.
+REMEMBERED, DECODED_AT_ONCE = 300_000, 400_000
 
 #: A row is a token at a position of a word, with the position and the token after it. Each round joins rows and their successors to the merge
 #: table, picks each word's pair of least rank, leftmost among equals, and contracts it; words without a pair have reached their fixpoint and drop out.
@@ -56,7 +58,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Coder:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder of one Python worker."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
@@ -68,6 +70,7 @@ class Coder:
         self._register("vocabulary", {"token": pa.array(self.ranks.values(), pa.int32()), "text": pa.array([t.decode("latin-1") for t in self.ranks])})  # a code point for each byte
         self.single = np.array([self.ranks[bytes([k])] for k in range(256)])
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.before: dict[str, tuple[bytes, str]] = {}
 
     def _register(self, name: str, columns: dict) -> None:
         source = pa.table(columns)  # noqa: F841  read by name below
@@ -121,11 +124,12 @@ class Coder:
         """Ids of each text, as numbers and joined by spaces."""
         split = [self.split(t or "") for t in texts]
         here = set(chain.from_iterable(split))
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
         new = here.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = here
-        self.learn(new)
+        again = new.intersection(self.before)
+        self.known.update((w, self.before[w]) for w in again)
+        self.learn(new - again)
         for words in split:
             found = list(map(self.known.__getitem__, words))
             yield np.frombuffer(b"".join(map(itemgetter(0), found)), np.int32), " ".join(map(itemgetter(1), found))
@@ -148,6 +152,14 @@ class Coder:
         return out
 
 
+def coder_of(path: str, pattern: str) -> Coder:
+    """The worker's coder: tasks that run one after another in a worker share the merge table and the words seen."""
+    state = sys.modules.setdefault("papyrine_worker_state", types.ModuleType("papyrine_worker_state")).__dict__
+    if state.get("coding") != (path, pattern):
+        state["coder"], state["coding"] = Coder(path, pattern), (path, pattern)
+    return state["coder"]
+
+
 def _pieces(batch: pa.RecordBatch, column: str, bytes_at_once: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in slices of bounded text size (one row at least)."""
     size, first = 0, 0
@@ -164,7 +176,7 @@ def _run(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids: b
     coder = None
     for batch in batches:
         for piece in _pieces(batch, "text"):
-            coder = coder or Coder(path, pattern)
+            coder = coder or coder_of(path, pattern)
             coded = list(coder.encode(piece["text"].to_pylist()))
             ids = [x for x, _ in coded]
             decoded = coder.decode(ids)
@@ -196,7 +208,7 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
-            coder = coder or Coder(path, pattern)
+            coder = coder or coder_of(path, pattern)
             ids = [np.array(x or [], np.int32) for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "text": pa.array([d.decode("utf-8", "replace") for d in coder.decode(ids)])})
 
