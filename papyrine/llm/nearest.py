@@ -38,33 +38,37 @@ class Index:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         self.lines = projections(vectors.shape[1])
-        keys = vectors @ self.lines
-        self.order = np.argsort(keys, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(keys, self.order, 0)
+        keys = (vectors @ self.lines).T
+        self.order = np.argsort(keys, axis=1, kind="stable")
+        # the sorted arrays one after another, each moved by its own distance: one search looks into all of them
+        apart = 4 * np.abs(keys).max() + 1e3
+        self.apart = np.arange(PROJECTIONS) * apart
+        self.sorted = (np.take_along_axis(keys, self.order, 1) + self.apart[:, None]).ravel()
+        self.order = self.order.ravel()
+        self.edges = np.arange(PROJECTIONS) * len(ids)
+        self.half = FIRST  # lines have unit variance in each dimension, so projections of unit vectors have unit variance
 
     def candidates(self, query: np.ndarray) -> np.ndarray:
-        """Positions of vectors that collide often enough with the query."""
+        """Positions of vectors that collide often enough with the query. Windows start a step inside those of the query before."""
         n = len(self.ids)
         enough = min(n, max(VERIFIED_LEAST, int(VERIFIED * n)))
         if enough >= n:
             return np.arange(n)
-        centre = query @ self.lines
-        counts = np.zeros(n, np.int16)
-        low = high = None
-        half = FIRST  # lines have unit variance in each dimension, so projections of unit vectors have unit variance
+        centre = query @ self.lines + self.apart
+        counts = np.zeros(n, np.int64)
+        half = max(FIRST / 2, self.half / WIDEN)
+        low = high = np.searchsorted(self.sorted, centre)
+        low = high = np.clip(low, self.edges, self.edges + n)
         while True:
-            new_low = np.array([np.searchsorted(self.sorted[:, j], centre[j] - half, "left") for j in range(PROJECTIONS)])
-            new_high = np.array([np.searchsorted(self.sorted[:, j], centre[j] + half, "right") for j in range(PROJECTIONS)])
-            for j in range(PROJECTIONS):
-                # a window grows by what is new at either end
-                if low is None:
-                    counts[self.order[new_low[j] : new_high[j], j]] += 1
-                else:
-                    counts[self.order[new_low[j] : low[j], j]] += 1
-                    counts[self.order[high[j] : new_high[j], j]] += 1
+            new_low = np.maximum(np.searchsorted(self.sorted, centre - half, "left"), self.edges)
+            new_high = np.minimum(np.searchsorted(self.sorted, centre + half, "right"), self.edges + n)
+            # a window grows by what is new at either end
+            grown = [self.order[a:b] for a, b in zip(np.concatenate([new_low, high]).tolist(), np.concatenate([low, new_high]).tolist(), strict=True)]
+            counts += np.bincount(np.concatenate(grown), minlength=n)
             low, high = new_low, new_high
             found = np.flatnonzero(counts >= COLLISIONS * PROJECTIONS)
-            if len(found) >= enough or (low == 0).all() and (high == n).all():
+            if len(found) >= enough or len(low) * n == (high - low).sum():
+                self.half = half
                 return found
             half *= WIDEN
 
@@ -119,8 +123,8 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         if len(vectors) and len(asked):
             widths = vectors["width"].to_numpy()
             for width in np.unique(widths):
-                own = vectors.filter(pa.array(widths == width))
-                mine = asked.filter(pa.array(asked["width"].to_numpy() == width))
+                own = vectors.filter(pa.array(widths == width)).sort_by("vec_id")
+                mine = asked.filter(pa.array(asked["width"].to_numpy() == width)).sort_by("vec_id")
                 if not len(mine):
                     continue
                 index = Index(own["vec_id"].to_numpy(), _unit(_matrix(own["embedding"].to_pylist())))
