@@ -17,6 +17,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

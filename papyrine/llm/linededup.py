@@ -232,7 +232,8 @@ def decisions(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     by_class = near.join(here, ["a1", "a2"]).join(there, ["b1", "b2"]).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.count("*").alias("n_links"), F.max(earlier).alias("later"))
     decided = classes.join(by_class, ["h1", "h2"], "left").where("documents > 1 or n_links is not null")
     removed = (F.col("doc_id") != F.col("first")) | F.coalesce("later", F.lit(False))
-    return lines.join(decided, ["h1", "h2"]).select("doc_id", "line", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), removed.alias("removed"))
+    # merge joins at every size: neither side has a bound
+    return lines.join(decided.hint("merge"), ["h1", "h2"]).select("doc_id", "line", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), removed.alias("removed"))
 
 
 #: Columns added to documents, named so that they clash with none of theirs.
@@ -272,9 +273,10 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     decided = stored(decisions(documents, edits).groupBy("doc_id").agg(F.collect_list(F.when(F.col("removed"), F.col("line"))).alias(_GONE), F.sum("n_links").alias(N_LINKS)))
     idle, busy = split_rows(documents, decided)
     idle = idle.withColumns({_GONE: F.array().cast("array<bigint>"), N_LINKS: F.lit(0).cast("bigint")})
-    busy = busy.join(decided.withColumnRenamed("doc_id", _ID), F.col("doc_id").cast("bigint") == F.col(_ID), "left").drop(_ID).withColumn(N_LINKS, F.coalesce(F.col(N_LINKS), F.lit(0).cast("bigint")))
+    busy = busy.join(decided.withColumnRenamed("doc_id", _ID).hint("merge"), F.col("doc_id").cast("bigint") == F.col(_ID), "left").drop(_ID).withColumn(N_LINKS, F.coalesce(F.col(N_LINKS), F.lit(0).cast("bigint")))
     added = [T.StructField(N_LINES, T.LongType()), T.StructField(N_REMOVED, T.LongType()), T.StructField(N_LINKS, T.LongType()), T.StructField(EMPTY, T.BooleanType())]
     schema = T.StructType([*documents.schema, *added])
+    # the texts are joined by merging at every size; neither side has a bound
     return idle.unionByName(busy).mapInArrow(partial(_apply, columns=schema.names), schema)
 
 

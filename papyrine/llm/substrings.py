@@ -126,7 +126,7 @@ def dedup_substrings(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     # documents that lose nothing to others aren't shuffled
     idle, busy = split_rows(documents, repeated)
     idle = idle.withColumn(_REPEATED, F.array().cast("array<bigint>"))
-    busy = busy.join(repeated.withColumnRenamed("doc_id", _ID), key == F.col(_ID), "left").drop(_ID)
+    busy = busy.join(repeated.withColumnRenamed("doc_id", _ID).hint("merge"), key == F.col(_ID), "left").drop(_ID)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*documents.schema, T.StructField(REMOVED, span)])
     return idle.unionByName(busy).mapInArrow(partial(_cut, names=schema.names, min_words=min_words), schema)
