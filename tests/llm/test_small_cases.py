@@ -1,0 +1,399 @@
+"""Each operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, and against brute force."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from papyrine.llm import boosting, bpe, decontaminate, language, linededup, nearest, neardup, pii, quality, substrings, toxicity
+from papyrine.llm.common import split_rows
+
+DOCS = "doc_id bigint, text string, lang string, score string, unit int"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def sentence(rng, n=12):
+    return " ".join(rng.choice(WORDS) for _ in range(n)).capitalize() + "."
+
+
+def documents(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en", "x", 1) for i, t in zip(ids, texts, strict=True)], DOCS)
+
+
+ODD = [None, "", "   \n\t ", "one", "né 日本語 🙂", "word " * 30_000, "x" * 50_000, "same text here\nand more", "same text here\nand more"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return documents(spark, ODD).union(documents(spark, ["without id", "again"], [None, None])).union(documents(spark, ["same text here\nand more"], [7]))
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(k, k % 2, int(k % 3 == 0), "z") for k in range(9)] + [(3, None, None, "z"), (None, 1, 1, "z")], "doc_id bigint, quality int, toxic int, text string")
+
+
+def test_quality_cases(spark, odd, labels):
+    model = quality.fit(odd, labels)
+    out = quality.score(odd, model).collect()
+    assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out)
+    by = defaultdict(set)
+    for r in out:
+        by[r["doc_id"]].add(r["score"])
+    assert len(by[7]) == 1 and by[0] == by[1]
+    assert quality.score(odd.limit(0), quality.fit(odd.limit(0), labels.limit(0))).count() == 0
+
+
+def test_boosting_learns_a_rule():
+    rng = np.random.default_rng(1)
+    x = rng.random((800, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.3)).astype(float)
+    model = boosting.fit(x, y, trees=40, depth=3)
+    assert ((model.probability(x) > 0.5) == y).mean() > 0.98
+    assert boosting.fit(x, np.ones(800)).probability(x).min() > 0.9
+
+
+def test_toxicity_cases(spark, odd, labels):
+    model = toxicity.fit(odd, labels)
+    out = toxicity.score(odd, model)
+    assert out.columns == ["doc_id", "text", "lang", "unit", "score"] and out.count() == odd.count()
+    assert toxicity.score(odd, model, "other").columns == [*odd.columns, "other"]
+    assert all(0 <= r[0] <= 1 for r in out.select("score").collect())
+    assert toxicity.score(odd.limit(0), toxicity.fit(odd.limit(0), labels.limit(0))).count() == 0
+
+
+def test_toxicity_learns_words(spark):
+    rng = random.Random(4)
+    bad = ["wretchedfool", "vilescoundrel", "filthyrat"]
+    texts, toxic = [], []
+    for k in range(400):
+        words = [rng.choice(WORDS) for _ in range(40)]
+        if k % 4 == 0:
+            words[rng.randrange(40)] = rng.choice(bad)
+        texts.append(" ".join(words)), toxic.append(int(k % 4 == 0))
+    d = documents(spark, texts)
+    marks = spark.createDataFrame(list(enumerate(toxic)), "doc_id bigint, toxic int")
+    out = dict(toxicity.score(d, toxicity.fit(d, marks)).select("doc_id", "score").collect())
+    held = [k for k in range(400) if __import__("zlib").crc32(str(k).encode()) % 3 == 1]
+    assert np.mean([(out[k] >= toxicity.THRESHOLD) == bool(toxic[k]) for k in held]) > 0.97
+
+
+def test_language_cases(spark, odd):
+    rng = random.Random(5)
+    other = "uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece".split()
+    rows = [(k, " ".join(rng.choice(WORDS if k % 2 else other) for _ in range(60)), "en" if k % 2 else "es") for k in range(120)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    known = language.fit(d)
+    assert set(known) == {"en", "es"}
+    out = {r["doc_id"]: r for r in language.identify(d, known).collect()}
+    assert np.mean([out[k]["lang_pred"] == lang for k, _, lang in rows]) > 0.98
+    cases = {r["doc_id"]: r for r in language.identify(odd, known).where("doc_id is not null").collect()}
+    assert [cases[k]["lang_pred"] for k in (0, 1, 2)] == ["und"] * 3 and cases[0]["score"] == 0 and cases[0]["rejected"]
+    assert language.identify(odd, known).count() == odd.count() and language.identify(odd.limit(0), known).count() == 0
+    assert {r["lang_pred"] for r in language.identify(odd, language.fit(odd.limit(0))).collect()} == {"und"}
+
+
+TOKENIZER = pytest.importorskip("public_tokenizers")
+PATH = TOKENIZER.path("byte_bpe_50k.tiktoken")
+
+
+def test_bpe_like_the_library(spark, odd):
+    import tiktoken
+
+    reference = tiktoken.Encoding("own", pat_str=TOKENIZER.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    texts = [*ODD, "<|endoftext|>  \n\n 12345 don't", "aaaaabab" * 90, "Ünïcödé ñandú … — “q”"]
+    out = {r["doc_id"]: r for r in bpe.encode_decode(documents(spark, texts), PATH, TOKENIZER.PATTERN, with_ids=True).collect()}
+    for k, t in enumerate(texts):
+        ids = reference.encode_ordinary(t or "")
+        assert out[k]["ids"] == ids and out[k]["n_tokens"] == len(ids) and out[k]["decoded"] == (t or "")
+        assert out[k]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert out[k]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    assert bpe.encode_decode(odd, PATH, TOKENIZER.PATTERN).count() == odd.count()
+    assert bpe.encode_decode(odd.limit(0), PATH, TOKENIZER.PATTERN).count() == 0
+    coded = spark.createDataFrame([(1, reference.encode_ordinary("back again")), (2, None), (3, [])], "doc_id bigint, ids array<int>")
+    assert sorted(map(tuple, bpe.decode(coded, PATH, TOKENIZER.PATTERN).collect())) == [(1, "back again"), (2, ""), (3, "")]
+
+
+CODER = bpe.Coder(PATH, TOKENIZER.PATTERN)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(max_size=60), max_size=5))
+def test_bpe_round_trip(texts):
+    coder = CODER
+    coded = [x for x, _ in coder.encode(texts)]
+    assert coder.decode(coded) == [t.encode("utf-8", "replace") for t in texts]
+
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a0415.@+- (x\n", max_size=80))
+def test_pii_base_spans(text):
+    assert [s[:3] for s in pii.find(text) if s.kind in pii.BASE] == plain_spans(text)
+
+
+def test_pii_cases(spark, odd):
+    text = "mail me: a.b@c.de card 4111 1111 1111 1111 iban DE89 3704 0044 0532 0130 00 ip 10.0.0.256 10.0.0.25 call +1 (555) 123-4567 token = \"0123456789abcdef0123\""
+    found = pii.find(text)
+    assert [s.kind for s in found] == ["email", "ip", "card", "phone", "iban", "secret"]
+    assert text[found[4].start : found[4].end].startswith("DE89") and found[2].score == 1.0
+    assert pii.scan(odd).count() == odd.count() and pii.scan(odd.limit(0)).count() == 0
+    clean = dict(pii.redact(documents(spark, [text, None, ""])).collect())
+    assert "<card>" in clean[0] and "4111" not in clean[0] and clean[1] is None and clean[2] == ""
+    assert pii.find("9" * 200_000) == [] and pii.find("a" * 200_000 + "@") == []
+
+
+def brute_components(texts, k, percent):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+    sets = {i: shingles(t) for i, t in texts}
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(i for i in sets if sets[i])
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return words
+
+
+def test_neardup_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(rng.randrange(20, 120))]
+        texts += [" ".join(edited(rng, base, rng.randrange(0, 6))) for _ in range(rng.randrange(1, 9))]
+    hot = [rng.choice(WORDS) + str(rng.randrange(400)) for _ in range(90)]
+    texts += [" ".join(edited(rng, hot, rng.randrange(0, 9))) for _ in range(60)] + [" ".join(hot)] * 20
+    texts += [None, "", "One", "one", "two words", "TWO  words", "a b c", "a b c"]
+    rng.shuffle(texts)
+    for k, percent in ((3, 85), (5, 80)):
+        want = brute_components(list(enumerate(texts)), k, percent)
+        out = neardup.near_duplicates(documents(spark, texts), k, percent).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
+
+
+def test_neardup_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    hot = [f"w{i}" for i in range(80)]
+    texts = [" ".join(edited(rng, hot, rng.randrange(0, 8))) for _ in range(70)]
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    want = brute_components(list(enumerate(texts)), 3, 85)
+    out = neardup.near_duplicates(documents(spark, texts), 3, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+
+
+def test_neardup_cases(spark, odd):
+    out = neardup.near_duplicates(odd).collect()
+    assert len(out) == odd.count()
+    assert all(r["component_id"] is None and r["kept"] for r in out if r["doc_id"] is None)
+    assert {r["component_id"] for r in out if r["doc_id"] in (7, 8)} == {7}
+    assert neardup.near_duplicates(odd.limit(0)).count() == 0
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.binary(max_size=14), st.binary(max_size=14), st.integers(0, 3))
+def test_banded_distance(a, b, k):
+    a, b = bytes(x % 3 for x in a), bytes(x % 3 for x in b)
+    assert linededup.within(a, b, k) == (distance(a, b) <= k)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(min_size=24, max_size=40), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40), st.integers(0, 255)), max_size=2))
+def test_probes_find_edited_lines(line, edits):
+    other = bytearray(line)
+    for kind, at, byte in edits:
+        at = min(at, len(other) - 1)
+        if kind == 0:
+            other[at] = byte
+        elif kind == 1:
+            other.insert(at, byte)
+        else:
+            del other[at]
+    long, short = sorted((bytes(line), bytes(other)), key=len, reverse=True)
+    own = [short[s : s + n] for s, n in linededup.segments(len(short))]
+    assert any(long[at : at + size] == own[i] for i, at, size in linededup.probes(len(long), len(short)))
+    assert ((linededup._parities(long) ^ linededup._parities(short)) & (2**64 - 1)).bit_count() <= 4
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(8)
+    pool = [sentence(rng) for _ in range(30)]
+    pool += [p[:-3] + "zz" + p[-1] for p in pool[:8]] + ["x" + p for p in pool[5:12]] + ["short", "tiny line of text"]
+    texts = ["\n".join(rng.choice(pool) + (" " if rng.random() < 0.2 else "") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    first = {}
+    for d, t in enumerate(texts):
+        for n, raw in linededup.units(t):
+            first.setdefault(raw, (d, n))
+    near = {raw: [o for o in first if o != raw and min(len(o), len(raw)) >= linededup.SHORTEST_NEAR and distance(o, raw) <= 2] for raw in first}
+    out = {r["doc_id"]: r for r in linededup.dedup_lines(documents(spark, texts)).collect()}
+    for d, t in enumerate(texts):
+        seen, kept, n_links = set(), [], 0
+        for line in t.split("\n"):
+            raw = line.strip().encode()
+            if len(raw) < linededup.SHORTEST:
+                kept.append(line)
+                continue
+            n_links += len(near[raw]) * (raw not in seen)
+            gone = raw in seen or first[raw][0] != d or any(first[o] < first[raw] for o in near[raw])
+            seen.add(raw)
+            if not gone:
+                kept.append(line)
+        assert out[d]["text"] == "\n".join(kept) and out[d][linededup.N_LINKS] == n_links and out[d]["unit"] == 1
+
+
+def test_line_dedup_cases(spark, odd):
+    out = linededup.dedup_lines(odd)
+    assert out.columns[: len(odd.columns)] == odd.columns and out.count() == odd.count()
+    rows = defaultdict(list)
+    for r in out.collect():
+        rows[r["doc_id"]].append(r["text"])
+    assert rows[0] == [None] and rows[1] == [""] and rows[7] == ["same text here\nand more"] * 2 and rows[8] == rows[7][:1]  # lines too short to compare
+    assert linededup.dedup_lines(odd.limit(0)).count() == 0
+
+
+def test_substring_cases(spark, odd):
+    rng = random.Random(9)
+    passage = " ".join(sentence(rng) for _ in range(5))
+    texts = [f"{sentence(rng)} {passage} {sentence(rng)}" for _ in range(4)] + [passage + " " + passage, "Short one here now."] * 2
+    out = {r["doc_id"]: r for r in substrings.dedup_substrings(documents(spark, texts)).collect()}
+    assert passage in out[0]["text"] and all(passage not in out[k]["text"] for k in (1, 2, 3, 4))
+    assert all(texts[k][s["start"] : s["end"]] not in out[k]["text"] for k in out for s in out[k][substrings.REMOVED])
+    assert out[1]["text"].startswith(texts[1].split(".")[0]) and out[5]["text"] == out[7]["text"] == texts[5]
+    assert substrings.dedup_substrings(odd).count() == odd.count() and substrings.dedup_substrings(odd.limit(0)).count() == 0
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(10)
+    items = [" ".join(sentence(rng, 9) for _ in range(3)) for _ in range(6)]
+    texts, want = [], {}
+    for k in range(80):
+        host = " ".join(sentence(rng) for _ in range(6))
+        texts.append(host)
+        if k % 3 == 0:
+            i = rng.randrange(6)
+            leak = list(items[i].upper() if k % 2 else items[i])
+            edits = rng.randrange(0, int(len(leak) * decontaminate.EDITS) - 2)
+            for _ in range(edits):
+                leak[rng.randrange(len(leak))] = rng.choice("qjx")
+            at = rng.randrange(len(host))
+            texts[-1] = host[:at] + "\n" + "".join(leak) + "  " + host[at:]
+            want[k] = (i, edits)
+    bench = spark.createDataFrame([*enumerate(items), (9, "too short"), (10, None), (None, items[0])], "item_id bigint, text string")
+    d = documents(spark, texts)
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(d, bench).collect()}
+    assert {k: i for k, i in found} == {k: i for k, (i, _) in want.items()}
+    assert all(found[k, i]["distance"] <= edits for k, (i, edits) in want.items())
+    exact = [(k, i) for k, (i, edits) in want.items() if edits == 0]
+    assert all(texts[k][found[k, i]["start"] : found[k, i]["end"]].lower() == items[i].lower() for k, i in exact)
+    kept = decontaminate.decontaminate(d, bench)
+    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == set(range(80)) - set(want)
+
+
+def test_decontamination_cases(spark, odd):
+    bench = spark.createDataFrame([(0, "word " * 12)], "item_id bigint, text string")
+    assert {r["doc_id"] for r in decontaminate.matches(odd, bench).collect()} == {5}
+    assert decontaminate.matches(odd, bench.limit(0)).count() == 0 and decontaminate.matches(odd.limit(0), bench).count() == 0
+    assert decontaminate.decontaminate(odd, bench).count() == odd.count() - 1
+
+
+def test_large_benchmarks_go_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 100)
+    rng = random.Random(11)
+    items = [sentence(rng, 14) for _ in range(8)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    d = documents(spark, items)
+    assert len(decontaminate.benchmark_groups(bench)) > 1
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, bench).where("distance = 0").collect()} == {(k, k) for k in range(8)}
+
+
+def test_nearest_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    data = rng.standard_normal((3000, 16))
+    data[7] = data[50]
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(data)]
+    e = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, rank int")
+    out = defaultdict(list)
+    for r in nearest.nearest(e).orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append((r["vec_id"], r["score"]))
+    unit = data / np.linalg.norm(data, axis=1)[:, None]
+    hit = 0
+    for q in range(0, 3000, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        best = np.lexsort((np.arange(3000), -s))[:5]
+        hit += len(set(best) & {i for i, _ in out[q]})
+        assert len(out[q]) == 5 and all(abs(s[i] - x) < 1e-12 for i, x in out[q])
+    assert hit / (60 * 5) >= 0.9 and out[50][0][0] == 7
+
+
+def test_nearest_cases(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (3, [0.0, 1.0]), (50, [1.0])]
+    e = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out = [tuple(r) for r in nearest.nearest(e).orderBy("query_id", "rank").collect()]
+    assert [(q, r, v) for q, r, v, _ in out] == [(0, 1, 1), (0, 2, 2), (0, 3, 3)]
+    assert nearest.nearest(e.limit(0)).count() == 0
+
+
+def test_split_rows(spark):
+    d = spark.range(200).toDF("doc_id").withColumn("text", F.lit("t"))
+    apart, asked = split_rows(d, d.where("doc_id % 10 = 0"))
+    ids = {r[0] for r in asked.select("doc_id").collect()}
+    assert {k for k in range(0, 200, 10)} <= ids and len(ids) < 40
+    assert ids | {r[0] for r in apart.select("doc_id").collect()} == set(range(200)) and apart.columns == d.columns
