@@ -38,3 +38,8 @@ def plus(a: Column, b: Column, factor: float = 1.0) -> Column:
 def is_nonzero(a: Column) -> Column:
     """F9"""
     return F.coalesce(F.exists(a, lambda x: x != 0), F.lit(False))
+
+
+def xavier(inputs: int, outputs: int, seed: int = 42) -> Column:
+    """One draw of the uniform distribution that layers of these widths start from."""
+    return (F.rand(seed) * 2 - 1) * F.sqrt(F.lit(6.0 / (inputs + outputs)))

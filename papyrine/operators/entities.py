@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.functions import patterns as P
+
 
 def invert_aliases(synonyms: DataFrame) -> DataFrame:
     """(alias, canonical) from (canonical, aliases); an alias of several goes to the least canonical name."""
@@ -106,3 +108,14 @@ def tiled(tokens: DataFrame, entities: DataFrame, token: str = "token", most: in
 def candidates(tiles: Column, token: Column) -> Column:
     """What stands for a token: its one distinct tile once, its tiles in order if several, itself if none."""
     return F.when(F.size(tiles) == 0, F.array(token)).when(F.size(F.array_distinct(tiles)) == 1, F.slice(tiles, 1, 1)).otherwise(tiles)
+
+
+def main_entities(symbols: DataFrame, others: DataFrame) -> DataFrame:
+    """Distinct lower-case tokens of both, without symbols that are ordinary words (whether or not they are there)."""
+    low = lambda d: d.select(F.lower("token").alias("token")).where("token is not null").distinct()
+    return low(symbols).where(~F.col("token").isin(*P.NOT_ENTITIES)).union(low(others)).distinct()
+
+
+def link_with(texts: DataFrame, model, schema: str) -> DataFrame:
+    """Spans that a user's model finds. model: an iterator of pandas frames to an iterator of frames of `schema` (it can load itself once a task)."""
+    return texts.mapInPandas(model, schema)

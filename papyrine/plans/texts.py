@@ -390,3 +390,44 @@ def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = found.join(repeated_entities(found), "token", "left_semi").groupBy("doc_id").agg(F.min("pos").alias("at"))
     near = found.join(at, "doc_id").where((F.col("pos") >= F.col("at") - 64) & (F.col("pos") <= F.col("at") + 64))
     return near.groupBy("doc_id").agg(F.count("*").alias("words"), F.min("pos").alias("first"))
+
+
+@query("relevant_documents", "SELECT doc_id, source FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
+def relevant_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """texts predicted to be relevant."""
+    relevant = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(relevant, "doc_id")
+
+
+@query(
+    "entity_union",
+    "WITH g AS (SELECT DISTINCT lower(CASE p_size % 6 WHEN 0 THEN 'Mice' WHEN 1 THEN 'SKI' ELSE p_brand END) AS token FROM part) SELECT token FROM g WHERE token NOT IN ('mice', 'bad', 'insulin', 'camp', 'plasminogen', 'ski') UNION SELECT lower(p_type) FROM part",
+)
+def entity_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols without ordinary words, united with the other kind."""
+    symbol = F.when(F.col("p_size") % 6 == 0, F.lit("Mice")).when(F.col("p_size") % 6 == 1, F.lit("SKI")).otherwise(F.col("p_brand"))
+    part = table(spark, sf_dir, "part")
+    return entities.main_entities(part.select(symbol.alias("token")), part.select(F.col("p_type").alias("token")))
+
+
+@query("linked_entities", f"WITH {_TOKENS}, a AS (SELECT DISTINCT token AS alias, 'E' || length(token) AS canonical FROM t WHERE length(token) IN (3, 5) AND pos = 0) SELECT t.doc_id AS doc_id, t.pos AS pos, canonical FROM t JOIN a ON a.alias = t.token")
+def linked_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary linker in place of a trained one (entities.link_with takes a model of the user's)."""
+    found = tokens(spark, sf_dir)
+    names = found.where(F.length("token").isin(3, 5) & (F.col("pos") == 0)).select(F.col("token").alias("alias"), F.concat(F.lit("E"), F.length("token").cast("string")).alias("canonical")).distinct()
+    return found.withColumnRenamed("token", "alias").join(names, "alias").select("doc_id", "pos", "canonical")
+
+
+@query("line_counts", "SELECT source, count(*) AS lines FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY source")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each source that aren't blank."""
+    lines = table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.where(F.trim("line") != "").groupBy("source").agg(F.count("*").alias("lines"))
+
+
+@query("year_shards", "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS c FROM documents) SELECT doc_id, CAST(least(r // (c // 7), 6) AS INT) AS shard FROM n")
+def year_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contiguous shards of n // workers rows, the last taking the rest."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    size = d.agg(F.floor(F.count("*") / 7).cast("bigint").alias("size"))
+    return graph.dense_index(d, "doc_id", "r").join(F.broadcast(size)).select("doc_id", F.least(F.floor(F.col("r") / F.col("size")), F.lit(6)).cast("int").alias("shard"))
