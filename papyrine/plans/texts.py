@@ -410,7 +410,7 @@ def entity_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.main_entities(part.select(symbol.alias("token")), part.select(F.col("p_type").alias("token")))
 
 
-@query("linked_entities", f"WITH {_TOKENS}, a AS (SELECT DISTINCT token AS alias, 'E' || length(token) AS canonical FROM t WHERE length(token) IN (3, 5) AND pos = 0) SELECT t.doc_id AS doc_id, t.pos AS pos, canonical FROM t JOIN a ON a.alias = t.token")
+@query("linked_entities", f"WITH {_TOKENS}, a AS (SELECT DISTINCT token AS alias, 'E' || length(token) AS canonical FROM t WHERE length(token) IN (3, 5) AND pos = 0) SELECT t.doc_id AS doc_id, CAST(t.pos AS INT) AS pos, canonical FROM t JOIN a ON a.alias = t.token")
 def linked_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary linker in place of a trained one (entities.link_with takes a model of the user's)."""
     found = tokens(spark, sf_dir)
