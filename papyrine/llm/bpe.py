@@ -6,11 +6,11 @@ import base64
 import hashlib
 import heapq
 import sys
+import threading
 import types
 from collections.abc import Iterator
 from functools import partial
 from itertools import chain
-from operator import itemgetter
 
 import duckdb
 import numpy as np
@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import table
+from papyrine.llm.common import table, trim
 
 #: Words longer than this (bytes) are contracted by a heap instead: one round a merge over all their rows would cost the square of their length.
 LONG_WORD = 200
-#: Distinct words of one generation whose ids a worker remembers (two generations are kept), and ids that one decoding statement takes.
-REMEMBERED, DECODED_AT_ONCE = 300_000, 400_000
+#: Distinct words of one generation whose ids a task remembers (two generations are kept), and ids that one decoding statement takes.
+REMEMBERED, DECODED_AT_ONCE = 220_000, 200_000
+#: Words that one encoding statement takes.
+LEARNT_AT_ONCE = 40_000
 
 #: A row is a token at a position of a word, with the position and the token after it. Each round joins rows and their successors to the merge
 #: table, picks each word's pair of least rank, leftmost among equals, and contracts it; words without a pair have reached their fixpoint and drop out.
@@ -58,33 +60,41 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Coder:
-    """Encoder and decoder of one Python worker."""
+    """Encoder and decoder of one task at a time."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.database = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.database = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, merged = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self._register("merge", {"a": a, "b": b, "merged": merged})
         self._register("vocabulary", {"token": pa.array(self.ranks.values(), pa.int32()), "text": pa.array([t.decode("latin-1") for t in self.ranks])})  # a code point for each byte
         self.single = np.array([self.ranks[bytes([k])] for k in range(256)])
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.before: dict[str, tuple[bytes, str]] = {}
+        self.decimal = np.array([str(i) for i in range(max(self.ranks.values()) + 1)], object)
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.before: dict[str, bytes] = {}
 
     def _register(self, name: str, columns: dict) -> None:
         source = pa.table(columns)  # noqa: F841  read by name below
         self.database.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM source")
 
+    def close(self) -> None:
+        """Gives the memory back: the worker lives on for other stages."""
+        self.database.close()
+        self.known, self.before = {}, {}
+
     def learn(self, words: set[str]) -> None:
         """Ids of new words."""
         raws = [(w, w.encode("utf-8", "replace")) for w in sorted(words)]
         for w, raw in raws:
             if len(raw) > LONG_WORD:
-                self._keep(w, self._by_heap(raw))
+                self.known[w] = self._by_heap(raw).tobytes()
         raws = [x for x in raws if 0 < len(x[1]) <= LONG_WORD]
-        if not raws:
-            return
+        for first in range(0, len(raws), LEARNT_AT_ONCE):
+            self._contract(raws[first : first + LEARNT_AT_ONCE])
+
+    def _contract(self, raws: list[tuple[str, bytes]]) -> None:
         lengths = np.array([len(r) for _, r in raws])
         word = np.repeat(np.arange(len(raws)), lengths)
         pos = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -94,12 +104,9 @@ class Coder:
         self._register("start", {"word": pa.array(word, pa.int32()), "pos": pa.array(pos, pa.int32()), "token": pa.array(token, pa.int32()), "next": pa.array(pos + 1, pa.int32()), "after": after})
         found = self.database.execute(ENCODE).fetchnumpy()
         tokens = np.asarray(found["token"], np.int32)
-        ends = np.searchsorted(np.asarray(found["word"]), np.arange(len(raws) + 1))
-        for k, (w, _) in enumerate(raws):
-            self._keep(w, tokens[ends[k] : ends[k + 1]])
-
-    def _keep(self, word: str, ids: np.ndarray) -> None:
-        self.known[word] = (ids.tobytes(), " ".join(map(str, ids.tolist())))
+        ends = (4 * np.searchsorted(np.asarray(found["word"]), np.arange(len(raws) + 1))).tolist()
+        flat = tokens.tobytes()
+        self.known.update((w, flat[a:b]) for (w, _), a, b in zip(raws, ends[:-1], ends[1:], strict=True))
 
     def _by_heap(self, raw: bytes) -> np.ndarray:
         """The same rule for a long word: the leftmost pair of least rank first."""
@@ -131,8 +138,8 @@ class Coder:
         self.known.update((w, self.before[w]) for w in again)
         self.learn(new - again)
         for words in split:
-            found = list(map(self.known.__getitem__, words))
-            yield np.frombuffer(b"".join(map(itemgetter(0), found)), np.int32), " ".join(map(itemgetter(1), found))
+            ids = np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
+            yield ids, " ".join(self.decimal[ids].tolist())
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each id list."""
@@ -152,15 +159,39 @@ class Coder:
         return out
 
 
-def coder_of(path: str, pattern: str) -> Coder:
-    """The worker's coder: tasks that run one after another in a worker share the merge table and the words seen."""
-    state = sys.modules.setdefault("papyrine_worker_state", types.ModuleType("papyrine_worker_state")).__dict__
-    if state.get("coding") != (path, pattern):
-        state["coder"], state["coding"] = Coder(path, pattern), (path, pattern)
-    return state["coder"]
+#: Seconds that a Python worker keeps its coder for the next task of the stage.
+KEPT_SECONDS = 4.0
+
+
+def borrow(path: str, pattern: str) -> Coder:
+    """The coder that the last task of this worker gave back, with the words it has seen, or a new one."""
+    state = sys.modules.setdefault("papyrine_coder", types.ModuleType("papyrine_coder")).__dict__
+    timer, coder = state.pop("timer", None), state.pop("coder", None)
+    if timer is not None:
+        timer.cancel()
+    if coder is not None and state.get("key") == (path, pattern):
+        return coder
+    state["key"] = (path, pattern)
+    return Coder(path, pattern)
+
+
+def give_back(coder: Coder) -> None:
+    """Keeps a coder for a moment; without a next task its memory goes, as the worker lives on for other stages."""
+    state = sys.modules["papyrine_coder"].__dict__
+
+    def drop() -> None:
+        kept = state.pop("coder", None)
+        if kept is not None:
+            kept.close()
+            trim()
+
+    state["coder"] = coder
+    state["timer"] = threading.Timer(KEPT_SECONDS, drop)
+    state["timer"].daemon = True
+    state["timer"].start()
 
 
-def _pieces(batch: pa.RecordBatch, column: str, bytes_at_once: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, column: str, bytes_at_once: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """A batch in slices of bounded text size (one row at least)."""
     size, first = 0, 0
     for i, value in enumerate(batch[column]):
@@ -176,7 +207,7 @@ def _run(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids: b
     coder = None
     for batch in batches:
         for piece in _pieces(batch, "text"):
-            coder = coder or coder_of(path, pattern)
+            coder = coder or borrow(path, pattern)
             coded = list(coder.encode(piece["text"].to_pylist()))
             ids = [x for x, _ in coded]
             decoded = coder.decode(ids)
@@ -189,6 +220,9 @@ def _run(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids: b
             if with_ids:
                 columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([d.decode("utf-8", "replace") for d in decoded])}
             yield pa.RecordBatch.from_pydict(columns)
+        trim()
+    if coder:
+        give_back(coder)
 
 
 def encode_decode(documents: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -208,7 +242,7 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
-            coder = coder or coder_of(path, pattern)
+            coder = coder or Coder(path, pattern)
             ids = [np.array(x or [], np.int32) for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "text": pa.array([d.decode("utf-8", "replace") for d in coder.decode(ids)])})
 

@@ -2,50 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from papyrine.operators.graph import components  # noqa: F401  used by the operators
+from papyrine.sources.shared import drop_stored, stored  # noqa: F401
+
 #: Word separators of the word-based contracts: space and the controls tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+#: Bytes of an Arrow batch: long texts come in fewer rows a batch.
+BATCH_BYTES = "4m"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='papyrine')}"
-        spark.conf.set("papyrine.shared.dir", spark.conf.get("papyrine.shared.dir", found))
-        found = spark.conf.get("papyrine.shared.dir")
-    return found
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table written in the shared folder: cuts lineage and survives the loss of any executor."""
-    path = f"{shared_dir(df.sparkSession)}/papyrine-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._papyrine_path = path
-    return out
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; from here on the session's Arrow batches are bounded by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes a table made by stored() that no later plan reads."""
-    path = df._papyrine_path
-    jvm = df.sparkSession.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def trim() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its stage, and what it holds on to counts against the next."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to give back by this way
 
 
 def held_out(modulus: int, remainder: int):
@@ -60,6 +47,7 @@ def map_arrow(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatc
         for batch in batches:
             if batch.num_rows:
                 yield per_batch(batch)
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -85,66 +73,25 @@ def sample_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component): connected components of an edge table, component being the least node of each.
-
-    Alternating large-star and small-star steps: each is one join-free aggregation plus one equi-join, with map-side combination;
-    no adjacency list is ever gathered in one row. Every round is written to the shared folder.
-    """
-    directed = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    current = stored(directed.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    for _ in range(max_rounds):
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        # large star: each larger neighbour of u is linked to the least of u and its neighbours
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its smaller neighbours are linked to the least of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        ends = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = large.join(down, "u").select(F.inline(ends)).where("u <> v").distinct()
-        after = stored(small)
-        drop_stored(current)
-        current = after
-        seen = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (seen["n"], seen["h"]) == state:
-            break
-        state = (seen["n"], seen["h"])
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
 #: Bits of the bitmap over hashed doc_ids. Fixed: a task is sent this many at most, however many ids there are.
 BUCKETS = 1 << 23
-_MARK = "__papyrine_needed"
+_MARK, _WORD, _BITS = "__papyrine_needed", "__papyrine_word", "__papyrine_bits"
 
 
 def bucket(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id.cast("bigint")), F.lit(BUCKETS)).cast("bigint")
 
 
-def bitmap(rows: DataFrame) -> bytes:
-    """Bitmap over hashed doc_ids: a clear bit means that no row has such an id. Reaches the driver as BUCKETS / 64 words at most."""
-    words = rows.select(bucket(F.col("doc_id")).alias("b")).groupBy(F.expr("int(b div 64)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(b % 64)))").alias("bits"))
-    out = np.zeros(BUCKETS // 64, np.int64)
-    for row in words.collect():
-        out[row["word"]] = row["bits"]
-    return out.tobytes()
+def bitmap(rows: DataFrame) -> DataFrame:
+    """(__papyrine_word, __papyrine_bits): a bitmap over hashed doc_ids, BUCKETS / 64 rows at most whatever the number of ids, so it may be broadcast."""
+    at = rows.select(bucket(F.col("doc_id")).alias("b"))
+    return at.groupBy(F.expr("int(b div 64)").alias(_WORD)).agg(F.expr("bit_or(shiftleft(1L, int(b % 64)))").alias(_BITS))
 
 
 def split_rows(documents: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """documents whose doc_id surely isn't among those of rows, and the others: only these have to be shuffled for a join."""
-    bits = bitmap(rows)
-    key = "__papyrine_bucket"
-    marked = documents.withColumn(key, bucket(F.col("doc_id")))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(bits, np.int64)
-        for batch in batches:
-            b = batch[key].to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(((words[b >> 6] >> (b & 63)) & 1).astype(bool))], [*batch.schema.names, _MARK])
-
-    marked = marked.mapInArrow(mark, T.StructType([*marked.schema, T.StructField(_MARK, T.BooleanType())])).drop(key)
+    at = bucket(F.col("doc_id"))
+    marked = documents.withColumn(_WORD, F.floor(at / 64).cast("int")).join(F.broadcast(bitmap(rows)), _WORD, "left")
+    needed = F.coalesce(F.expr(f"shiftright({_BITS}, int(pmod(xxhash64(cast(doc_id as bigint)), {BUCKETS}) % 64)) & 1L = 1L"), F.lit(False))
+    marked = marked.withColumn(_MARK, needed).select(*(F.col(f"`{c}`") for c in documents.columns), _MARK)
     return marked.where(~F.col(_MARK)).drop(_MARK), marked.where(_MARK).drop(_MARK)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import table
+from papyrine.llm.common import table, trim
 
 #: Bytes of a gram; share of an item that may be edited; normalised bytes below which an item is too short to be told from chance.
 Q, EDITS, SHORTEST = 12, 0.08, 40
@@ -224,6 +224,7 @@ def _matches(batches: Iterator[pa.RecordBatch], group: list[tuple[int, bytes]])
                 a, b = int(places[t][start]), int(places[t][end - 1]) + 1
                 rows.append((doc_ids[first + t], items.ids[i], distance, len(raw[:a].decode("utf-8", "ignore")), len(raw[:b].decode("utf-8", "ignore"))))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names)
+    trim()
 
 
 def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -244,6 +245,7 @@ def _clean(batches: Iterator[pa.RecordBatch], group: list[tuple[int, bytes]]) ->
         for first, texts, _ in _slices(batch):
             keep[[first + t for t, *_ in search(texts, items)]] = False
         yield batch.filter(pa.array(keep))
+    trim()
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import bitmap, bucket, split_rows, stored, table
+from papyrine.llm.common import split_rows, stored, table, trim
 
 #: Edits within which lines are joined.
 EDITS = 2
@@ -137,14 +137,14 @@ def _signatures(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Re
         seen: set[bytes] = set()
         for text in batch["text"]:
             seen.update(raw for _, raw in units(text.as_py()) if len(raw) >= SHORTEST_NEAR)
-        for part in _chunks(sorted(seen), 20_000):
+        for part in _chunks(sorted(seen), 8_000):
             keys: list[int] = []
             counts, ids, sigs, indexed = [], [], [], []
             for raw in part:
                 n = len(raw)
                 plan = plans.get(n)
                 if plan is None:
-                    if len(plans) > 20_000:
+                    if len(plans) > 4_000:
                         plans.clear()
                     own = [(n * 4 + i, s, s + size) for i, (s, size) in enumerate(segments(n, edits))]
                     places = {(n * 4 + i, s, e) for i, (_, s, e) in enumerate(own)}
@@ -165,6 +165,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Re
                 pa.array(place < np.repeat(np.array(indexed), counts_)),
             ]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "id", "sig", "indexed"])
+    trim()
 
 
 def _chunks(items: list, n: int) -> Iterator[list]:
@@ -172,15 +173,9 @@ def _chunks(items: list, n: int) -> Iterator[list]:
         yield items[i : i + n]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], ids_of: bytes) -> Iterator[pa.RecordBatch]:
-    bits = np.frombuffer(ids_of, np.int64)
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: dict[bytes, tuple[int, int]] = {}
-        at = batch["bucket"].to_numpy()
-        wanted = (bits[at >> 6] >> (at & 63)) & 1
-        for text, w in zip(batch["text"], wanted, strict=True):
-            if w:
-                rows.update((raw, _digest(raw)) for _, raw in units(text.as_py()) if len(raw) >= SHORTEST_NEAR)
+        rows = {raw: _digest(raw) for text in batch["text"] for _, raw in units(text.as_py()) if len(raw) >= SHORTEST_NEAR}
         d = list(rows.values())
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array(list(rows), pa.binary())], ["h1", "h2", "raw"])
 
@@ -192,7 +187,7 @@ def _verified(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Reco
 
 
 def _rows(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), bucket(F.col("doc_id")).alias("bucket"))
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def links(documents: DataFrame, classes: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -207,7 +202,7 @@ def links(documents: DataFrame, classes: DataFrame, lines: DataFrame, edits: int
     pairs = stored(left.join(right, "key").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     firsts = ends.join(classes, "h1").select(F.col("first").alias("doc_id")).distinct()
-    texts = rows.mapInArrow(partial(_texts, ids_of=bitmap(firsts)), "h1 bigint, h2 bigint, raw binary").join(ends, "h1", "left_semi").dropDuplicates(["h1", "h2"])
+    texts = split_rows(rows, firsts)[1].mapInArrow(_texts, "h1 bigint, h2 bigint, raw binary").join(ends, "h1", "left_semi").dropDuplicates(["h1", "h2"])
     texts = stored(texts)
     side = lambda s: texts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("raw").alias(f"raw_{s}"))
     found = pairs.join(side("a"), F.col("a") == F.col("a1")).join(side("b"), F.col("b") == F.col("b1")).select("a1", "a2", "b1", "b2", "raw_a", "raw_b")
@@ -260,6 +255,7 @@ def _apply(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa
         named = dict(zip(batch.schema.names, batch.columns, strict=True))
         named |= {"text": pa.array(texts, pa.string()), N_LINES: pa.array(n_lines, pa.int64()), N_REMOVED: pa.array(n_removed, pa.int64()), EMPTY: pa.array(empty, pa.bool_())}
         yield pa.RecordBatch.from_arrays([named[c] for c in columns], columns)
+    trim()
 
 
 def dedup_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:

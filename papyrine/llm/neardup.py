@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import BLANKS, components, stored, table
+from papyrine.llm.common import BLANKS, components, stored, table, trim
 
 BANDS, ROWS = 28, 4
 #: Bits of an odd sketch, and MinHash samples folded into it.
@@ -59,7 +59,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > 150_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
@@ -188,6 +188,7 @@ def features(documents: DataFrame, k: int) -> DataFrame:
                 sketches.append(odd_sketch(samples))
             arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "digest", "bands", "sketch"])
+        trim()
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary")
@@ -238,6 +239,7 @@ def candidate_edges(representatives: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        trim()
 
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -286,6 +288,7 @@ def confirmed_edges(documents: DataFrame, families: DataFrame, k: int, percent:
                 if ids[i] != ids[j]:
                     a.append(int(max(ids[i], ids[j]))), b.append(int(min(ids[i], ids[j])))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        trim()
 
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrine.llm import boosting
-from papyrine.llm.common import held_out, labelled_ids, map_arrow, sample_texts, table
+from papyrine.llm.common import held_out, labelled_ids, map_arrow, sample_texts, table, trim
 
 #: Labelled rows of each class that the fit reads at most.
 SAMPLE_PER_CLASS = 6_000
@@ -24,7 +24,7 @@ TYPICAL, COMMON = 1_500, 2_000
 #: Bytes of a word that make one window; longer words are cut into several.
 LONGEST = 64
 #: Evidence that a task remembers, in windows.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 _EDGE = ".,!?*&%$#|\"'():;-"
 _OPEN, _CLOSE = b"\x01\x02", b"\x03\x04"
 
@@ -153,6 +153,7 @@ def score(rows: DataFrame, model: dict, name: str = "score") -> DataFrame:
             if batch.num_rows:
                 x = np.array([evidence(t.as_py(), distance) for t in batch["text"]])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model["trees"].probability(x))], [*batch.schema.names, name])
+        trim()
 
     return rows.mapInArrow(run, schema)
 
