@@ -31,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """docs with one document, that of the smallest id, of each group of near-duplicates (five-word shingles, similarity of 0.8 or more)."""
     gone = stored(neardup.near_duplicates(docs, k=5, percent=80).where(~F.col("kept")).select("doc_id").distinct())
     apart, asked = split_rows(docs, gone)
-    return apart.unionByName(asked.join(gone.withColumnRenamed("doc_id", "__papyrine_id"), F.col("doc_id").cast("bigint") == F.col("__papyrine_id"), "left_anti"))
+    return apart.unionByName(asked.join(gone.withColumnRenamed("doc_id", "__papyrine_id").hint("merge"), F.col("doc_id").cast("bigint") == F.col("__papyrine_id"), "left_anti"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
