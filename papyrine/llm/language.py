@@ -15,6 +15,8 @@ from papyrine.llm.common import held_out, table
 
 #: Documents of each language that the fit reads at most, windows that its dictionary holds, and their code points.
 DOCUMENTS_PER_LANGUAGE, WINDOWS, WINDOW = 400, 128, 400
+#: Languages up to which the ids of the sample are broadcast.
+FEW_LANGUAGES = 2_000
 #: Code points of a window when texts are scored.
 SCORED_WINDOW = 1_000
 #: Relative margin of the best over the second language below which a prediction counts as rejected.
@@ -31,13 +33,16 @@ def fit(documents: DataFrame, modulus: int = 5, remainder: int = 0) -> dict[str,
     """Dictionary content for each language, from documents that are not held out and have a language, an id and a text.
 
     A language gives DOCUMENTS_PER_LANGUAGE documents at most and WINDOWS windows of them, both in hash order. Documents are thinned by a hash
-    threshold before any are ranked, so no task or driver holds more than a small multiple of those.
+    threshold before any are ranked, so no task or driver holds more than a small multiple of those; texts are read for the chosen ids only.
     """
-    usable = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out(modulus, remainder))
+    ids = documents.select("doc_id", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(modulus, remainder))
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    thinned = usable.withColumn("_order", order).join(sizes, "lang").where(F.col("_order") * F.col("n") < 2 * DOCUMENTS_PER_LANGUAGE + 50)
-    ranked = thinned.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id"))).where(F.col("_rank") <= DOCUMENTS_PER_LANGUAGE)
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    thinned = ids.withColumn("_order", order).join(sizes, "lang").where(F.col("_order") * F.col("n") < 2 * DOCUMENTS_PER_LANGUAGE + 50)
+    chosen = thinned.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id"))).where(F.col("_rank") <= DOCUMENTS_PER_LANGUAGE).select("doc_id", "lang")
+    if sizes.count() <= FEW_LANGUAGES:  # then the chosen ids are few enough to go to every task
+        chosen = F.broadcast(chosen)
+    ranked = documents.select("doc_id", "text").where(F.length("text") > 0).join(chosen, "doc_id")
     starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / WINDOW).cast("int"))
     windows = ranked.select("lang", "doc_id", F.explode(F.transform(starts, lambda i: F.substr("text", i * WINDOW + 1, F.lit(WINDOW)))).alias("piece"))
     chosen = windows.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece"))).where(F.col("_rank") <= WINDOWS)
