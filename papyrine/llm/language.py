@@ -1,4 +1,8 @@
-"""Language by compression: the language whose zstandard dictionary makes a text's windows smallest, rejected when the margin is narrow."""
+"""Language by compression: the language whose zstandard dictionary makes a text's windows smallest, rejected when the margin is narrow.
+
+Only lower-case words are compressed, so punctuation and case don't matter, and a window that repeats in a text counts once. A short text is compared
+by its neighbouring pairs of words, each behind a frame that every dictionary ends with: so little text would else be stored uncompressed.
+"""
 
 from __future__ import annotations
 
@@ -17,18 +21,33 @@ from papyrine.llm.common import held_out, table
 DOCUMENTS_PER_LANGUAGE, WINDOWS, WINDOW = 400, 128, 400
 #: Languages up to which the ids of the sample are broadcast.
 FEW_LANGUAGES = 2_000
-#: Code points of a window when texts are scored.
-SCORED_WINDOW = 1_000
+#: Code points of a window when texts are scored, and code points of words under which a text is short.
+SCORED_WINDOW, SHORT = 500, 100
+_FRAME = b"<<0123456789=ABCDEFGH"
 #: Relative margin of the best over the second language below which a prediction counts as rejected.
 NARROW = 0.004
 UNDECIDED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
 
 
+def words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def windows(text: str) -> set[bytes]:
+    """The distinct windows of a whole text with letters."""
+    found = words(text)
+    plain = " ".join(found)
+    if len(plain) < SHORT:
+        return {_FRAME + f" {a} {b} ".encode("utf-8", "replace") for a, b in zip(found, [*found[1:], ""], strict=True)}
+    return {f" {plain[i : i + SCORED_WINDOW]} ".encode("utf-8", "replace") for i in range(0, len(plain), SCORED_WINDOW)}
+
+
 def fit(documents: DataFrame, modulus: int = 5, remainder: int = 0) -> dict[str, bytes]:
     """Dictionary content for each language, from documents that are not held out and have a language, an id and a text.
 
@@ -48,28 +67,28 @@ def fit(documents: DataFrame, modulus: int = 5, remainder: int = 0) -> dict[str,
     chosen = windows.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece"))).where(F.col("_rank") <= WINDOWS)
     out: dict[str, list[str]] = {}
     for row in chosen.orderBy("lang", "_rank").collect():
-        out.setdefault(row["lang"], []).append(row["piece"].lower())
-    return {lang: "\n".join(pieces).encode("utf-8", "replace") for lang, pieces in out.items()}
+        out.setdefault(row["lang"], []).append(" ".join(words(row["piece"])))
+    return {lang: " ".join(pieces).encode("utf-8", "replace") for lang, pieces in out.items()}
 
 
 class Identifier:
     def __init__(self, dictionaries: dict[str, bytes]):
-        settings = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        settings = zstandard.ZstdCompressionParameters(
+            window_log=18, chain_log=17, hash_log=17, search_log=7, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False
+        )
         self.languages = sorted(dictionaries)
         self.compressors = []
         for lang in self.languages:
-            content = zstandard.ZstdCompressionDict(dictionaries[lang] or b"\x00" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=3)
+            content = zstandard.ZstdCompressionDict(dictionaries[lang] + b" " + _FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            content.precompute_compress(compression_params=settings)
             self.compressors.append(zstandard.ZstdCompressor(dict_data=content, compression_params=settings))
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and relative margin of a whole text."""
         if not has_letter(text) or not self.languages:
             return UNDECIDED, 0.0, 0.0
-        text = text.lower()
         sizes = [0] * len(self.languages)
-        for i in range(0, len(text), SCORED_WINDOW):
-            window = text[i : i + SCORED_WINDOW].encode("utf-8", "replace")
+        for window in windows(text):
             for k, compressor in enumerate(self.compressors):
                 sizes[k] += len(compressor.compress(window))
         order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
