@@ -6,6 +6,8 @@ probability by boosted stumps, that is by thresholds on the evidence, calibrated
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -29,16 +31,13 @@ _EDGE = ".,!?*&%$#|\"'():;-"
 _OPEN, _CLOSE = b"\x01\x02", b"\x03\x04"
 
 
-def windows(text: str | None) -> set[bytes]:
-    """The distinct windows of a whole text: its lower-case words without outer punctuation, cut every LONGEST bytes."""
-    out: set[bytes] = set()
-    for word in set((text or "").lower().split()):
+def windows(text: str | None) -> Counter[bytes]:
+    """The windows of a whole text with their counts: its lower-case words without outer punctuation, cut every LONGEST bytes."""
+    out: Counter[bytes] = Counter()
+    for word, n in Counter((text or "").lower().split()).items():
         raw = word.strip(_EDGE).encode("utf-8", "replace")
-        if len(raw) <= LONGEST:
-            out.add(raw)
-        else:
-            out.update(raw[i : i + LONGEST] for i in range(0, len(raw), LONGEST))
-    out.discard(b"")
+        for i in range(0, len(raw), LONGEST):
+            out[raw[i : i + LONGEST]] += n
     return out
 
 
@@ -72,13 +71,28 @@ def _compressor(words: list[bytes]) -> zstandard.ZstdCompressor:
 
 
 def evidence(text: str | None, distance: Distance) -> list[float]:
-    """What the calibrated thresholds see of one whole text."""
-    found = [distance(w) for w in windows(text)]
-    if not found:
-        return [0.0] * 12
-    saved = np.sort(np.array([s for s, _ in found]))[::-1]
-    share = np.sort(np.array([r for s, r in found if s >= 3] or [0.0]))[::-1]
-    return [float(saved[0]), float(saved[:2].mean()), float(saved[:3].mean()), *(float((saved >= k).sum()) for k in (3, 4, 5, 6)), float(share[0]), float(share[:2].sum()), float((share >= 0.9).sum()), float((saved >= 4).mean()), float(np.log1p(len(found)))]
+    """What the calibrated thresholds see of one whole text: its largest savings, and how many distinct windows and occurrences save much."""
+    own = windows(text)
+    if not own:
+        return [0.0] * EVIDENCE
+    found = [(*distance(w), n) for w, n in own.items()]
+    telling = [(s, r, n) for s, r, n in found if s >= 3]
+    saved = sorted((s for s, _, _ in found), reverse=True)[:3]
+    share = sorted((r for _, r, _ in telling), reverse=True)[:2] or [0.0]
+    total = sum(own.values())
+    count = lambda rule: float(sum(rule(s, r) for s, r, _ in telling))
+    times = lambda rule: float(sum(n for s, r, n in telling if rule(s, r)))
+    whole, long, most = (lambda s, r: s >= 4 and r >= 0.9), (lambda s, r: s >= 5), (lambda s, r: s >= 5 and r >= 0.5)
+    return [
+        *(float(sum(saved[:k]) / len(saved[:k])) for k in (1, 2, 3)),
+        *(count(lambda s, r, k=k: s >= k) for k in (3, 4, 5, 6)),
+        float(share[0]), float(sum(share)), count(whole), times(whole), times(long), times(most), times(whole) / total, times(most) / total,
+        float(sum(s >= 4 for s, _, _ in telling) / len(found)), float(np.log1p(len(found))),
+    ]
+
+
+#: Numbers that evidence() returns.
+EVIDENCE = 17
 
 
 def _typical(counts, side: str, other: str, totals: dict[str, float]) -> list[bytes]:
