@@ -33,7 +33,7 @@ def tfidf(found: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def anova_f(weights: DataFrame, labels: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """L2: (term, f): the F statistic of each term's weight between two or more classes, absent terms counting as 0.
+    """L2: (term, f): the F statistic of each term's weight between two or more classes, absent terms counting as 0; null where it has none.
 
     Only sums over present terms are shuffled: zeros add nothing to sums, and class sizes are a small table.
     """
@@ -43,7 +43,7 @@ def anova_f(weights: DataFrame, labels: DataFrame, doc: str = "doc_id") -> DataF
     terms_ = by_class.join(F.broadcast(sizes), "label").groupBy("term").agg(F.sum("_s").alias("s"), F.sum("_q").alias("q"), F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("b"))
     between = F.col("b") - F.col("s") * F.col("s") / F.col("_total")
     inside = F.col("q") - F.col("b")
-    return terms_.join(F.broadcast(total)).select("term", ((between / (F.col("_k") - 1)) / (inside / (F.col("_total") - F.col("_k")))).alias("f"))
+    return terms_.join(F.broadcast(total)).select("term", F.try_divide(F.try_divide(between, F.col("_k") - 1), F.try_divide(inside, F.col("_total") - F.col("_k"))).alias("f"))
 
 
 def phrase_scores(tokens: DataFrame, least: int = 75, threshold: float = 60.0, doc: str = "doc_id", position: str = "pos") -> DataFrame:

@@ -1,4 +1,7 @@
-"""Rankings and their evaluation, with ties grouped; all by window frames over one row per distinct score."""
+"""Rankings and their evaluation, with ties grouped; all by window frames over one row per distinct score.
+
+Ratios without a denominator (no positives, no negatives, one row) are null.
+"""
 
 from __future__ import annotations
 
@@ -20,19 +23,19 @@ def curve(scored: DataFrame, label: str = "label", score: str = "score", *by: st
 def roc(scored: DataFrame, *by: str) -> DataFrame:
     """M1: (score, fpr, tpr)"""
     c = curve(scored, "label", "score", *by)
-    return c.select(*by, F.col("score").alias("threshold"), ((F.col("n") - F.col("tp")) / (F.col("rows") - F.col("positives"))).alias("fpr"), (F.col("tp") / F.col("positives")).alias("tpr"))
+    return c.select(*by, F.col("score").alias("threshold"), F.try_divide(F.col("n") - F.col("tp"), F.col("rows") - F.col("positives")).alias("fpr"), F.try_divide("tp", "positives").alias("tpr"))
 
 
 def precision_recall(scored: DataFrame, *by: str) -> DataFrame:
     """M3: (threshold, precision, recall)"""
     c = curve(scored, "label", "score", *by)
-    return c.select(*by, F.col("score").alias("threshold"), (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("positives")).alias("recall"))
+    return c.select(*by, F.col("score").alias("threshold"), F.try_divide("tp", "n").alias("precision"), F.try_divide("tp", "positives").alias("recall"))
 
 
 def average_precision(scored: DataFrame, *by: str) -> DataFrame:
     """M2: the sum of precision times the gain of recall, ties grouped."""
     c = curve(scored, "label", "score", *by)
-    return c.groupBy(*by).agg(F.sum(F.col("tp_at") / F.col("positives") * (F.col("tp") / F.col("n"))).alias("average_precision"))
+    return c.groupBy(*by).agg(F.sum(F.try_divide("tp_at", "positives") * F.try_divide("tp", "n")).alias("average_precision"))
 
 
 def auc(scored: DataFrame, *by: str) -> DataFrame:
@@ -40,7 +43,7 @@ def auc(scored: DataFrame, *by: str) -> DataFrame:
     c = curve(scored, "label", "score", *by)
     negatives = F.col("n_at") - F.col("tp_at")
     won = negatives * ((F.col("tp") - F.col("tp_at")) + F.col("tp_at") / 2)
-    return c.groupBy(*by).agg((F.sum(won) / F.max(F.col("positives") * (F.col("rows") - F.col("positives")))).alias("auc"))
+    return c.groupBy(*by).agg(F.try_divide(F.sum(won), F.max(F.col("positives") * (F.col("rows") - F.col("positives")))).alias("auc"))
 
 
 def confusion(scored: DataFrame, threshold: float = 0.5, *by: str) -> DataFrame:
@@ -50,7 +53,7 @@ def confusion(scored: DataFrame, threshold: float = 0.5, *by: str) -> DataFrame:
     t = scored.groupBy(*by).agg(count(yes & said).alias("tp"), count(~yes & said).alias("fp"), count(yes & ~said).alias("fn"), count(~yes & ~said).alias("tn"))
     return t.withColumns(
         {
-            "accuracy": (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")),
+            "accuracy": F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")),
             "precision": F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")),
             "recall": F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")),
             "f1": F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")),
@@ -79,20 +82,20 @@ def best_fit(rows: DataFrame, x: str, y: str) -> DataFrame:
 def paired_t(rows: DataFrame, a: str, b: str) -> DataFrame:
     """M7: t of the paired differences and degrees of freedom (Q22: both come from the same rows)."""
     d = F.col(a) - F.col(b)
-    return rows.agg((F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(d)))).alias("t"), (F.count(d) - 1).alias("df"))
+    return rows.agg(F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.greatest(F.count(d), F.lit(1)))).alias("t"), (F.count(d) - 1).alias("df"))
 
 
 def at_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:
     """Precision and recall of the k best; ties go by the columns `ties`."""
     total = scored.agg(F.sum(F.col("label").cast("bigint")).alias("_all"))
     best = scored.orderBy(F.col("score").desc(), *ties).limit(k).agg(F.sum(F.col("label").cast("bigint")).alias("_hit"), F.count("*").alias("_k"))
-    return best.join(F.broadcast(total)).select((F.col("_hit") / F.col("_k")).alias("precision_at_k"), (F.col("_hit") / F.col("_all")).alias("recall_at_k"))
+    return best.join(F.broadcast(total)).select(F.try_divide("_hit", "_k").alias("precision_at_k"), F.try_divide("_hit", "_all").alias("recall_at_k"))
 
 
 def share_known(predicted: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """M8, Q14: predicted positives that are known, by key."""
     marked = predicted.select(key).distinct().join(known.select(key).distinct().withColumn("_known", F.lit(1)), key, "left")
-    return marked.agg(F.count("*").alias("predicted"), F.count("_known").alias("known"), (F.count("_known") / F.count("*")).alias("share"))
+    return marked.agg(F.count("*").alias("predicted"), F.count("_known").alias("known"), F.try_divide(F.count("_known"), F.count("*")).alias("share"))
 
 
 def rounded(rows: DataFrame, *columns: str, places: int = 6) -> DataFrame:

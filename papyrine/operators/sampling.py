@@ -65,9 +65,10 @@ def negative_pairs(left: DataFrame, right: DataFrame, excluded: DataFrame, n: in
     """
     sides = left.select("src").distinct(), dense_index(right.select("dst").distinct(), "dst", "_place")
     sizes = sides[0].agg(F.count("*").alias("_left")).join(sides[1].agg(F.count("*").alias("_right"))).join(excluded.agg(F.count("*").alias("_out")))
-    per = F.least(F.col("_right"), F.ceil((F.lit(rounds * n) + F.col("_out")) / F.greatest(F.col("_left"), F.lit(1))))
+    there = F.greatest(F.col("_right"), F.lit(1))  # an empty side gives no pairs, but no error either
+    per = F.least(there, F.ceil((F.lit(rounds * n) + F.col("_out")) / F.greatest(F.col("_left"), F.lit(1))))
     asked = sides[0].join(F.broadcast(sizes)).withColumn("_draw", F.explode(F.sequence(F.lit(0), per.cast("int") - 1)))
-    place = F.pmod(hash_of(F.col("src")) + F.col("_draw") * F.greatest(F.lit(1), F.floor(F.col("_right") / per)).cast("bigint"), F.col("_right"))
+    place = F.pmod(hash_of(F.col("src")) + F.col("_draw") * F.greatest(F.lit(1), F.floor(there / per)).cast("bigint"), there)
     pairs = asked.withColumn("_place", place.cast("bigint")).join(sides[1], "_place").select("src", "dst").distinct()
     return sample(pairs.join(excluded.select("src", "dst").distinct(), ["src", "dst"], "left_anti"), n, "src", "dst")
 
@@ -80,7 +81,7 @@ def by_source(positives: DataFrame, negatives: DataFrame, keys: list[str]) -> Da
     tagged = positives.withColumn("source", F.explode("sources")).drop("sources").withColumn("label", F.lit(1))
     need = tagged.groupBy("source").agg(F.count("*").alias("_need"))
     numbered = ordered_index(negatives, keys)
-    total = negatives.agg(F.count("*").alias("_total"))
+    total = negatives.agg(F.greatest(F.count("*"), F.lit(1)).alias("_total"))
     runs = need.join(F.broadcast(total)).withColumn("_from", F.pmod(F.ascii("source") * 7919, F.col("_total"))).withColumn("_draw", F.explode(F.sequence(F.lit(0), (F.least("_need", "_total") - 1).cast("int"))))
     drawn = runs.withColumn("_row", F.pmod(F.col("_from") + F.col("_draw"), F.col("_total")).cast("bigint")).join(numbered, "_row")
     columns = [*keys, "source", "label"]

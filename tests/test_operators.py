@@ -175,3 +175,21 @@ def test_pooling(spark):
 
 def test_steps():
     assert learning.total_steps(1000, 5, 32, 2) == 78
+
+
+def test_ratios_without_a_denominator(spark):
+    none = spark.createDataFrame([(0, 0.5), (0, 0.25)], "label int, score double")
+    assert metrics.auc(none).first()[0] is None and metrics.average_precision(none).first()[0] is None
+    assert metrics.roc(none).where("tpr is not null").count() == 0 and metrics.confusion(none).first()["recall"] is None
+    assert metrics.at_k(none, 1).first()["recall_at_k"] is None
+    empty = none.limit(0)
+    assert metrics.auc(empty).first()[0] is None and metrics.roc(empty).count() == 0 and metrics.at_k(empty, 3).first()[0] is None
+
+
+def test_samplers_on_empty_sides(spark):
+    left, none = spark.range(3).toDF("src"), spark.range(0).toDF("dst")
+    known = spark.createDataFrame([], "src long, dst long")
+    assert sampling.negative_pairs(left, none, known, 5).count() == 0
+    positives = spark.createDataFrame([(1, 2, ["x"])], "a long, b long, sources array<string>")
+    out = sampling.by_source(positives, spark.createDataFrame([], "a long, b long"), ["a", "b"])
+    assert [tuple(r) for r in out.collect()] == [(1, 2, "x", 1)]
