@@ -42,10 +42,11 @@ def with_sources(edges: DataFrame, source: str = "source", a: str = "src", b: st
 def pairs_within(mentions: DataFrame, group: str, member: str, *carried: str) -> DataFrame:
     """Unordered pairs of distinct members of each group (Q10: lesser first), with columns that depend on the group alone.
 
-    The self-join is on the group; a group of n members gives n (n - 1) / 2 rows by definition, so deduplicate mentions first.
+    One exchange by group serves the removal of repeats and both sides of the self-join. A group of n members gives n (n - 1) / 2 rows by definition.
     """
-    one = mentions.select(group, F.col(member).alias("src"), *carried).distinct()
-    two = mentions.select(group, F.col(member).alias("dst")).distinct()
+    once = mentions.select(group, member, *carried).repartition(group).distinct()
+    one = once.withColumnRenamed(member, "src")
+    two = once.select(group, F.col(member).alias("dst"))
     return one.join(two, group).where(F.col("src") < F.col("dst"))
 
 

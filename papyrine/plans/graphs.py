@@ -9,10 +9,13 @@ from papyrine.operators import entities, graph
 from papyrine.plans.base import query, table
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, gene, disease, year)"""
+def mentions(spark: SparkSession, sf_dir: str, until: int | None = None) -> DataFrame:
+    """(doc_id, gene, disease, year), up to a year on demand; the bound is on the date itself, so the scan can skip by it."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("gene"), F.col("l_suppkey").alias("disease"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.year("o_orderdate").alias("year"))
+    orders = table(spark, sf_dir, "orders")
+    if until is not None:
+        orders = orders.where(F.col("o_orderdate") < F.lit(f"{until + 1}-01-01").cast("timestamp_ntz"))
+    orders = orders.select(F.col("o_orderkey").alias("doc_id"), F.year("o_orderdate").alias("year"))
     return lines.join(orders, "doc_id")
 
 
@@ -44,7 +47,7 @@ def cooc_cumulative_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cooc_edges_by_1997", f"WITH {EDGES} SELECT src, dst FROM e WHERE year <= 1997")
 def cooc_edges_by_1997(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the edge list of one model year; the year filter reaches the mentions."""
-    enough = entities.groups_with(mentions(spark, sf_dir).where("year <= 1997").select("doc_id", "gene").distinct(), "doc_id", "gene")
+    enough = entities.groups_with(mentions(spark, sf_dir, 1997).select("doc_id", "gene").distinct(), "doc_id", "gene")
     return graph.pairs_within(enough, "doc_id", "gene").select("src", "dst").distinct()
 
 

@@ -21,15 +21,15 @@ def h(*keys: str) -> str:
 _FACTS = f"{MENTIONS}, facts AS (SELECT gene, year FROM m GROUP BY gene, year)"
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, until: int | None = None) -> DataFrame:
     """(gene, year): a gene may have several years."""
-    return mentions(spark, sf_dir).select("gene", "year").distinct()
+    return mentions(spark, sf_dir, until).select("gene", "year").distinct()
 
 
 @query("horizon_split", f"WITH {_FACTS} SELECT DISTINCT gene, CASE WHEN year <= 1996 THEN 'train' ELSE 'test' END AS side FROM facts WHERE year <= 1998")
 def horizon_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """known by 1996, and first or again seen within a horizon of two years."""
-    f = facts(spark, sf_dir).where("year <= 1998")
+    f = facts(spark, sf_dir, 1998)
     return f.select("gene", F.when(F.col("year") <= 1996, F.lit("train")).otherwise(F.lit("test")).alias("side")).distinct()
 
 
