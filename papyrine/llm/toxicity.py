@@ -6,6 +6,7 @@ probability by boosted stumps, that is by thresholds on the evidence, calibrated
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 
 import numpy as np
@@ -25,7 +26,7 @@ THRESHOLD = 0.7
 TYPICAL, COMMON = 1_500, 2_000
 #: Bytes of a word that make one window; longer words are cut into several.
 LONGEST = 64
-#: Evidence that a task remembers, in windows.
+#: Windows of one generation whose evidence a task remembers.
 REMEMBERED = 120_000
 _EDGE = ".,!?*&%$#|\"'():;-"
 _OPEN, _CLOSE = b"\x01\x02", b"\x03\x04"
@@ -36,8 +37,11 @@ def windows(text: str | None) -> Counter[bytes]:
     out: Counter[bytes] = Counter()
     for word, n in Counter((text or "").lower().split()).items():
         raw = word.strip(_EDGE).encode("utf-8", "replace")
-        for i in range(0, len(raw), LONGEST):
-            out[raw[i : i + LONGEST]] += n
+        if 0 < len(raw) <= LONGEST:
+            out[raw] = out.get(raw, 0) + n
+        else:
+            for i in range(0, len(raw), LONGEST):
+                out[raw[i : i + LONGEST]] += n
     return out
 
 
@@ -47,15 +51,19 @@ class Distance:
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
         self.toxic, self.ordinary = _compressor(toxic), _compressor(ordinary)
         self.known: dict[bytes, tuple[int, float]] = {}
+        self.before: dict[bytes, tuple[int, float]] = {}
 
     def __call__(self, window: bytes) -> tuple[int, float]:
         found = self.known.get(window)
         if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            framed = _OPEN + window + _CLOSE + _OPEN + window[::-1] + _CLOSE
-            ordinary, toxic = len(self.ordinary.compress(framed)), len(self.toxic.compress(framed))
-            found = self.known[window] = (ordinary - toxic, (ordinary - toxic) / len(window))
+            found = self.before.get(window)
+            if found is None:
+                framed = _OPEN + window + _CLOSE + _OPEN + window[::-1] + _CLOSE
+                saved = len(self.ordinary.compress(framed)) - len(self.toxic.compress(framed))
+                found = (saved, saved / len(window))
+            if len(self.known) >= REMEMBERED:  # windows of two generations are remembered
+                self.before, self.known = self.known, {}
+            self.known[window] = found
         return found
 
 
@@ -75,10 +83,14 @@ def evidence(text: str | None, distance: Distance) -> list[float]:
     own = windows(text)
     if not own:
         return [0.0] * EVIDENCE
-    found = [(*distance(w), n) for w, n in own.items()]
-    telling = [(s, r, n) for s, r, n in found if s >= 3]
-    saved = sorted((s for s, _, _ in found), reverse=True)[:3]
-    share = sorted((r for _, r, _ in telling), reverse=True)[:2] or [0.0]
+    values, telling = [], []
+    for w, n in own.items():
+        one = distance(w)
+        values.append(one[0])
+        if one[0] >= 3:
+            telling.append((one[0], one[1], n))
+    saved = heapq.nlargest(3, values)
+    share = heapq.nlargest(2, (r for _, r, _ in telling)) or [0.0]
     total = sum(own.values())
     count = lambda rule: float(sum(rule(s, r) for s, r, _ in telling))
     times = lambda rule: float(sum(n for s, r, n in telling if rule(s, r)))
@@ -87,7 +99,7 @@ def evidence(text: str | None, distance: Distance) -> list[float]:
         *(float(sum(saved[:k]) / len(saved[:k])) for k in (1, 2, 3)),
         *(count(lambda s, r, k=k: s >= k) for k in (3, 4, 5, 6)),
         float(share[0]), float(sum(share)), count(whole), times(whole), times(long), times(most), times(whole) / total, times(most) / total,
-        float(sum(s >= 4 for s, _, _ in telling) / len(found)), float(np.log1p(len(found))),
+        float(sum(s >= 4 for s, _, _ in telling) / len(values)), float(np.log1p(len(values))),
     ]
 
 
