@@ -21,8 +21,8 @@ from papyrine.llm.common import split_rows, stored, table, trim
 
 #: Edits within which lines are joined.
 EDITS = 2
-#: Bytes from which a line is compared at all, and from which within edits (shorter ones must be equal).
-SHORTEST, SHORTEST_NEAR = 16, 24
+#: Bytes from which a line is compared at all (blank ones aren't), and from which within edits (shorter ones must be equal).
+SHORTEST, SHORTEST_NEAR = 1, 24
 
 
 def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -261,7 +261,7 @@ def _apply(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa
 def dedup_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """documents, all their columns, with the removed lines out of `text`, and the columns N_LINES, N_REMOVED, N_LINKS and EMPTY (nothing is left of a text that lost lines).
 
-    Lines are trimmed of white space; those under SHORTEST bytes are never compared nor removed, those under SHORTEST_NEAR only for equality.
+    Lines are trimmed of white space; blank ones are never compared nor removed, those under SHORTEST_NEAR bytes are compared only for equality.
     A line goes if it occurs earlier in its document, occurs in a document of smaller id, or is within `edits` edits (of UTF-8 bytes) of a line that
     first occurs earlier. Null texts stay null and empty ones empty. Rows without doc_id lose only repeats inside themselves and count for no
     other. Rows that repeat a doc_id count as one document: identical ones get identical results. An empty table gives none.

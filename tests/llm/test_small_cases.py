@@ -308,6 +308,13 @@ def test_line_dedup_cases(spark, odd):
     assert linededup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = ["Wh the.\nlonger line of the first text\nWh the.\n\nü", " Wh the. \nWh thy.\n\n", "ü\nWh the.\nown"]
+    out = {r["doc_id"]: r for r in linededup.dedup_lines(documents(spark, texts)).collect()}
+    assert [out[k]["text"] for k in range(3)] == ["Wh the.\nlonger line of the first text\n\nü", "Wh thy.\n\n", "own"]
+    assert [out[k][linededup.N_LINES] for k in range(3)] == [4, 2, 3] and [out[k][linededup.N_REMOVED] for k in range(3)] == [1, 1, 2]
+
+
 def test_substring_cases(spark, odd):
     rng = random.Random(9)
     passage = " ".join(sentence(rng) for _ in range(5))
