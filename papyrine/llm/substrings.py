@@ -1,7 +1,9 @@
-"""Substring dedup by hashing sentences: digests are grouped globally, the earliest ranked occurrence stays, long runs of repeats go.
+"""Substring dedup by hashing sentences and passages: digests are grouped globally, the earliest ranked occurrence stays, long repeats go.
 
 A unit is a sentence or a line. Digests say which units occur in an earlier document; a run of neighbouring such units is taken out when it has at
-least MIN_WORDS words, so passages that documents share go while a short sentence that many use stays.
+least MIN_WORDS words, so passages that documents share go while a short sentence that many use stays. Wherever sentences end, a passage is
+MIN_WORDS words in a row; of every WINDOW passages that begin one after another at least one is hashed, chosen by content alone (winnowing), and goes
+when it occurs earlier. So no repeat of MIN_WORDS + WINDOW - 1 words stays whole, and WINDOW - 1 words at most stay at each of its ends.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import re
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,8 @@ from papyrine.llm.common import split_rows, stored, table
 
 #: Words that a removed run has at least, and words from which a unit is hashed. Shorter units go with a run when both neighbours do.
 MIN_WORDS, UNIT_WORDS = 20, 3
+#: Passages of which at least one is hashed. At most MIN_WORDS, so that the hashed passages of a repeat leave no gap.
+WINDOW = 16
 #: Columns named so that they clash with none of the documents'.
 REMOVED, _REPEATED, _ID = "__papyrine_removed", "__papyrine_repeated", "__papyrine_id"
 _UNIT = re.compile(r"[^\n]*?[.!?]+(?=[ \t\r\n]|$)|[^\n]+")
@@ -42,8 +47,40 @@ def _digest(raw: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, doc_id, unit) of the first occurrence in each document of each unit that is hashed."""
+def _extreme(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
+    """pick over each window of `size` values."""
+    done = 1
+    while done < size:
+        step = min(done, size - done)
+        values = pick(values[: len(values) - step], values[step:])
+        done += step
+    return values
+
+
+def passages(text: str | None, words: int = MIN_WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, h1, h2) of the passages that are hashed: the least of each window, and the first and last of the text."""
+    own = (text or "").lower().split()
+    n = len(own) - words + 1
+    if n < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
+    h1, h2 = h[:n].copy(), h[:n].copy()
+    for k in range(1, words):
+        h1 = h1 * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+        h2 = h2 * np.uint64(0xC2B2AE3D27D4EB4F) + h[k : k + n]
+    h1 ^= h1 >> np.uint64(31)
+    size = min(window, n)
+    least = _extreme(h1, size, np.minimum)
+    # a passage is the least of a window if it equals the greatest of the minima of the windows that hold it
+    edge = np.zeros(size - 1, np.uint64)
+    chosen = _extreme(np.concatenate([edge, least, edge]), size, np.maximum) == h1
+    chosen[[0, -1]] = True
+    at = np.flatnonzero(chosen)
+    return at, h1[at].view(np.int64), h2[at].view(np.int64)
+
+
+def _units(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, doc_id, unit) of the first occurrence in each document of each unit and passage that is hashed; a passage from word n has unit -1 - n."""
     for batch in batches:
         rows: list[tuple] = []
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
@@ -54,6 +91,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if words >= UNIT_WORDS and raw not in seen:
                     seen.add(raw)
                     rows.append((*_digest(raw), doc_id, n))
+            once = {}
+            for at, *key in zip(*(x.tolist() for x in passages(text.as_py(), min_words)), strict=True):
+                once.setdefault(tuple(key), at)
+            rows += [(*key, doc_id, -1 - at) for key, at in once.items()]
             if len(rows) > 200_000:
                 yield _batch(rows)
                 rows = []
@@ -65,9 +106,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def removed_spans(text: str | None, repeated: set[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Spans (code points of the original text) to take out. repeated: units whose digest occurs in an earlier document.
+    """Spans (code points of the original text) to take out. repeated: units and passages (-1 - first word) whose digest occurs in an earlier document.
 
-    A unit that repeats an earlier unit of the same text counts as repeated too.
+    A unit that repeats an earlier unit of the same text counts as repeated too, and so does a passage that begins after an equal one ends.
     """
     found = split_units(text)
     first: dict[bytes, int] = {}
@@ -91,7 +132,22 @@ def removed_spans(text: str | None, repeated: set[int], min_words: int = MIN_WOR
         if sum(found[i][2] for i in range(n, last + 1)) >= min_words:
             spans.append((found[n][0], found[last][1]))
         n = end
-    return spans
+    earliest: dict[tuple, int] = {}
+    begins = []
+    for at, *key in zip(*(x.tolist() for x in passages(text, min_words)), strict=True):
+        known = earliest.setdefault(tuple(key), at)
+        if -1 - known in repeated or at - known >= min_words:
+            begins.append(at)
+    if not begins:
+        return spans
+    places = [m.span() for m in re.finditer(r"\S+", text)]
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans + [(places[at][0], places[at + min_words - 1][1]) for at in begins]):
+        if merged and (a <= merged[-1][1] or not text[merged[-1][1] : a].strip()):
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
 
 
 def _cut(batches: Iterator[pa.RecordBatch], names: list[str], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -119,7 +175,7 @@ def dedup_substrings(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     rank as one document. An empty table gives none.
     """
     key = F.col("doc_id").cast("bigint")
-    units = stored(documents.select(key.alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_units, "h1 bigint, h2 bigint, doc_id bigint, unit bigint"))
+    units = stored(documents.select(key.alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_units, min_words=min_words), "h1 bigint, h2 bigint, doc_id bigint, unit bigint"))
     shared = units.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     later = units.join(shared, ["h1", "h2"]).where("doc_id > first")
     repeated = stored(later.groupBy("doc_id").agg(F.collect_list("unit").alias(_REPEATED)))

@@ -326,6 +326,34 @@ def test_substring_cases(spark, odd):
     assert substrings.dedup_substrings(odd).count() == odd.count() and substrings.dedup_substrings(odd.limit(0)).count() == 0
 
 
+def kept_passages(texts, out, n=50):
+    """(document, word) of each n-word passage that an earlier text has and of which no word was removed."""
+    left, earlier = [], set()
+    for d, t in enumerate(texts):
+        words = [(m.group().lower(), *m.span()) for m in re.finditer(r"\S+", t)]
+        own = [tuple(w for w, _, _ in words[i : i + n]) for i in range(len(words) - n + 1)]
+        gone = out[d][substrings.REMOVED]
+        left += [(d, i) for i, g in enumerate(own) if g in earlier and not any(s["start"] < words[i + n - 1][2] and s["end"] > words[i][1] for s in gone)]
+        earlier |= set(own)
+    return left
+
+
+def test_substrings_against_brute_force(spark):
+    rng = random.Random(11)
+    run = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n))
+    shared = [run(n) for n in (50, 55, 73, 120)]
+    texts = [f"{run(9)} {rng.choice(shared)} {run(11)} {rng.choice(shared)}\n{run(30)}. {run(5)}." for _ in range(30)] + ["in. " * 200, "in. " * 90]
+    out = {r["doc_id"]: r for r in substrings.dedup_substrings(documents(spark, texts)).collect()}
+    assert not kept_passages(texts, out) and out[0]["text"].startswith(texts[0][:200])
+    seen = set()
+    for d, t in enumerate(texts):  # what goes is a repeat, word for word
+        for s in out[d][substrings.REMOVED]:
+            w = t[s["start"] : s["end"]].split()
+            own = t.split()
+            assert len(w) >= 20 and all(tuple(w[i : i + 20]) in seen or [own[j : j + 20] for j in range(len(own))].count(w[i : i + 20]) > 1 for i in range(0, len(w) - 19))
+        seen |= {tuple(t.split()[j : j + 20]) for j in range(len(t.split()) - 19)}
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(10)
     items = [" ".join(sentence(rng, 9) for _ in range(3)) for _ in range(6)]
