@@ -338,6 +338,15 @@ def kept_passages(texts, out, n=50):
     return left
 
 
+def test_substrings_of_short_sentences(spark):
+    rng = random.Random(10)
+    text = " ".join(rng.choice(WORDS).upper() + rng.choice(".!") * 2 for _ in range(150))
+    texts = [text, text, "Own words come first here. " + text]
+    out = {r["doc_id"]: r for r in substrings.dedup_substrings(documents(spark, texts)).collect()}
+    assert out[0]["text"] == text and out[1]["text"].strip() == "" and not kept_passages(texts, out)
+    assert len(out[2]["text"].split()) < 5 + substrings.WINDOW and out[2]["text"].startswith("Own words come first here.")
+
+
 def test_substrings_against_brute_force(spark):
     rng = random.Random(11)
     run = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n))
