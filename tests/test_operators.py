@@ -1,9 +1,13 @@
 """Golden rows and invariants of the operators."""
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 from papyrine.functions import text as X
 from papyrine.operators import corpus, entities, graph, learning, metrics, sampling
+from papyrine.plans import registry
 
 
 def one(spark, column, value):
@@ -193,3 +197,17 @@ def test_samplers_on_empty_sides(spark):
     positives = spark.createDataFrame([(1, 2, ["x"])], "a long, b long, sources array<string>")
     out = sampling.by_source(positives, spark.createDataFrame([], "a long, b long"), ["a", "b"])
     assert [tuple(r) for r in out.collect()] == [(1, 2, "x", 1)]
+
+
+def test_detokenize_takes_long_texts(spark, tmp_path):
+    texts = ["a b.c , d", ". x", "one, two. " * 400, "a.\nb ,\nc", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r["line"] for r in registry.QUERIES["detokenize"](spark, str(tmp_path)).collect()}
+
+    def plain(text):
+        line, *rest = re.sub(r"([.,])", r" \1", text).split(" ")
+        for t in rest:
+            line += t if t in (".", ",") else " " + t
+        return hashlib.md5(line.encode()).hexdigest()
+
+    assert out == {k: t and plain(t) for k, t in enumerate(texts)}
