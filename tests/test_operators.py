@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from papyrine.functions import text as X
@@ -211,3 +212,14 @@ def test_detokenize_takes_long_texts(spark, tmp_path):
         return hashlib.md5(line.encode()).hexdigest()
 
     assert out == {k: t and plain(t) for k, t in enumerate(texts)}
+
+
+
+def test_correlations_take_all_rows(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(1, 20, 300).astype(float), rng.integers(1, 90, 300).astype(float)
+    rows = [(k, a, b) for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True))]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    (out,) = registry.QUERIES["pearson_spearman"](spark, str(tmp_path)).collect()
+    ranks = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    assert abs(out["pearson"] - np.corrcoef(x, y)[0, 1]) < 1e-6 and abs(out["spearman"] - np.corrcoef(ranks(x), ranks(y))[0, 1]) < 1e-6
