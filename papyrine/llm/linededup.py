@@ -1,8 +1,10 @@
 """Line dedup by a segment-partition edit join: equal lines and lines within a few edits of an earlier one go.
 
-A line of L bytes is cut into EDITS + 1 segments; a line within EDITS edits holds one of them at a place not far off. Every line is an index entry for
-its own segments and probes the segments of lines that are up to EDITS bytes shorter, only at the places that such a match can have. Pairs that
-share a key and whose byte parities agree well enough are verified by a banded bit-parallel edit distance on their texts.
+How many edits make two lines the same depends on the shorter one: budget(length), one for each PER_EDIT bytes and EDITS at most. A line is cut into
+one segment more than its budget; a line within as many edits holds one of them at a place not far off. Every line is an index entry for its own
+segments and probes the segments of lines that are a few bytes shorter, only at the places that such a match can have. Pairs that share a key and whose
+byte parities agree well enough are verified by a banded bit-parallel edit distance on their texts. Keys that very many lines share are dealt in
+blocks, every pair of blocks being a group of its own.
 """
 
 from __future__ import annotations
@@ -13,16 +15,23 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import split_rows, stored, table, trim
+from papyrine.llm.common import BLANKS, split_rows, stored, table, trim
 
-#: Edits within which lines are joined.
-EDITS = 2
-#: Bytes from which a line is compared at all (blank ones aren't), and from which within edits (shorter ones must be equal).
-SHORTEST, SHORTEST_NEAR = 1, 24
+#: Edits within which lines are joined at most, and bytes of the shorter line for each edit. Lines of fewer bytes are joined if equal.
+EDITS, PER_EDIT = 2, 8
+#: Lines of one block of a key.
+BLOCK = 2_048
+#: Bytes from which the masks of a line are cut to the band.
+LONG = 256
+
+
+def budget(length: int, edits: int = EDITS) -> int:
+    """Edits within which a line of so many bytes is joined with longer ones."""
+    return min(edits, length // PER_EDIT)
 
 
 def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -73,16 +82,20 @@ def within(a: bytes, b: bytes, k: int = EDITS) -> bool:
                 left.append(min(costs[i] + 1, left[-1] + 1, costs[i - 1] + (x != y)))
             costs = left
         return costs[-1] <= k
-    masks: dict[int, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
     # In column j the highest bit of the band is row j + k; the score runs down that diagonal, then along the last row.
     width = 2 * k + 2
     full = (1 << width) - 1
+    agree: list[int] | None = None
+    masks: dict[int, int] = {}
+    if len(a) > LONG:  # masks of the whole line would be shifted once a byte; those of the band come from its diagonals
+        agree = _diagonals(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), k)
+    else:
+        for i, c in enumerate(a):
+            masks[c] = masks.get(c, 0) | 1 << i
     plus, minus, score, rows = full ^ (full >> (k + 1)), 0, k, len(a)
     for j, c in enumerate(b):
         shift = j + k + 1 - width
-        equal = (masks.get(c, 0) >> shift if shift >= 0 else masks.get(c, 0) << -shift) & full
+        equal = agree[j] if agree else (masks.get(c, 0) >> shift if shift >= 0 else masks.get(c, 0) << -shift) & full
         zero = (((equal & plus) + plus) ^ plus) | equal | minus
         right_plus = (minus | ~(zero | plus)) & full
         right_minus = zero & plus & full
@@ -99,9 +112,19 @@ def within(a: bytes, b: bytes, k: int = EDITS) -> bool:
     return score <= k
 
 
+def _diagonals(a: np.ndarray, b: np.ndarray, k: int) -> list[int]:
+    """For each place j of b the bits of the rows j - k - 1 to j + k of a that equal it."""
+    out = np.zeros(len(b), np.int64)
+    for bit, offset in enumerate(range(-k - 1, k + 1)):
+        low, high = max(0, -offset), min(len(b), len(a) - offset)
+        if high > low:
+            out[low:high] |= (a[low + offset : high + offset] == b[low:high]).astype(np.int64) << bit
+    return out.tolist()
+
+
 def units(text: str | None) -> list[tuple[int, bytes]]:
     """(line number, trimmed line) of the lines that are compared, repeats included."""
-    return [(n, raw) for n, line in enumerate((text or "").split("\n")) if len(raw := line.strip().encode("utf-8", "replace")) >= SHORTEST]
+    return [(n, raw) for n, line in enumerate((text or "").split("\n")) if (raw := line.strip(BLANKS).encode("utf-8", "replace"))]
 
 
 def _digest(raw: bytes) -> tuple[int, int]:
@@ -136,7 +159,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Re
     for batch in batches:
         seen: set[bytes] = set()
         for text in batch["text"]:
-            seen.update(raw for _, raw in units(text.as_py()) if len(raw) >= SHORTEST_NEAR)
+            seen.update(raw for _, raw in units(text.as_py()) if budget(len(raw), edits))
         for part in _chunks(sorted(seen), 8_000):
             keys: list[int] = []
             counts, ids, sigs, indexed = [], [], [], []
@@ -146,10 +169,10 @@ def _signatures(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Re
                 if plan is None:
                     if len(plans) > 4_000:
                         plans.clear()
-                    own = [(n * 4 + i, s, s + size) for i, (s, size) in enumerate(segments(n, edits))]
-                    places = {(n * 4 + i, s, e) for i, (_, s, e) in enumerate(own)}
-                    away = [(m * 4 + i, s, s + size) for m in range(max(SHORTEST_NEAR, n - edits), n + 1) for i, s, size in probes(n, m, edits)]
-                    plan = plans[n] = (own, [p for p in away if p not in places])
+                    own = [(n * 4 + i, s, s + size) for i, (s, size) in enumerate(segments(n, budget(n, edits)))]
+                    shorter = [m for m in range(n - edits, n + 1) if m > 0 and 0 < budget(m, edits) >= n - m]
+                    away = [(m * 4 + i, s, s + size) for m in shorter for i, s, size in probes(n, m, budget(m, edits))]
+                    plan = plans[n] = (own, [p for p in away if p not in set(own)])
                 for seed, s, e in plan[0]:
                     keys.append(digest(raw[s:e], seed))
                 for seed, s, e in plan[1]:
@@ -175,14 +198,14 @@ def _chunks(items: list, n: int) -> Iterator[list]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = {raw: _digest(raw) for text in batch["text"] for _, raw in units(text.as_py()) if len(raw) >= SHORTEST_NEAR}
+        rows = {raw: _digest(raw) for text in batch["text"] for _, raw in units(text.as_py()) if budget(len(raw))}
         d = list(rows.values())
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array(list(rows), pa.binary())], ["h1", "h2", "raw"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = pa.array([within(a, b, edits) for a, b in zip(batch["raw_a"].to_pylist(), batch["raw_b"].to_pylist(), strict=True)], pa.bool_())
+        keep = pa.array([within(a, b, budget(min(len(a), len(b)), edits)) for a, b in zip(batch["raw_a"].to_pylist(), batch["raw_b"].to_pylist(), strict=True)], pa.bool_())
         yield batch.select(["a1", "a2", "b1", "b2"]).filter(keep)
 
 
@@ -190,22 +213,34 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def links(documents: DataFrame, classes: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a1, a2, b1, b2): pairs of different lines within `edits` edits, both ways round. classes: (h1, h2, first); lines: (h1, h2, doc_id, line)."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (key, id, size, ...) with lo and hi: keys of up to BLOCK lines as they are, others as every pair of their blocks."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.when(F.col("size") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", F.lit(11)), blocks).cast("int"))
+    other = F.explode(F.when(F.col("size") <= BLOCK, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumn("own", own).withColumn("other", other).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "size")
+
+
+def links(documents: DataFrame, classes: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(a1, a2, b1, b2): pairs of different lines within their edits, both ways round. classes: (h1, h2, first)."""
     rows = _rows(documents)
     signatures = rows.mapInArrow(partial(_signatures, edits=edits), "key bigint, id bigint, sig bigint, indexed boolean")
-    # one exchange by key serves the removal of repeats and the join
-    once = signatures.repartition("key").groupBy("key", "id").agg(F.max("indexed").alias("indexed"), F.first("sig").alias("sig"))
-    left = once.where("indexed").select("key", F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-    right = once.select("key", F.col("id").alias("b"), F.col("sig").alias("sig_b"), "indexed")
+    # nearly every key belongs to one line: one sort by key leaves those of several, with a bound on their number
+    same = Window.partitionBy("key")
+    several = signatures.withColumns({"_least": F.min("id").over(same), "_most": F.max("id").over(same), "size": F.count("*").over(same)}).where("_least <> _most").drop("_least", "_most")
+    once = _dealt(stored(several).groupBy("key", "id").agg(F.max("indexed").alias("indexed"), F.first("sig").alias("sig"), F.first("size").alias("size")))
+    side = lambda s: [F.col("id").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("own").alias(f"own_{s}")]
+    left = once.where("indexed").select("key", "lo", "hi", *side("a"))
+    right = once.select("key", "lo", "hi", *side("b"), "indexed")
     alike = (F.col("a") != F.col("b")) & (F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 2 * edits) & (~F.col("indexed") | (F.col("a") < F.col("b")))
-    pairs = stored(left.join(right, "key").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    here = (F.least("own_a", "own_b") == F.col("lo")) & (F.greatest("own_a", "own_b") == F.col("hi"))
+    pairs = stored(left.join(right, ["key", "lo", "hi"]).where(alike & here).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     firsts = ends.join(classes, "h1").select(F.col("first").alias("doc_id")).distinct()
     texts = split_rows(rows, firsts)[1].mapInArrow(_texts, "h1 bigint, h2 bigint, raw binary").join(ends, "h1", "left_semi").dropDuplicates(["h1", "h2"])
     texts = stored(texts)
-    side = lambda s: texts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("raw").alias(f"raw_{s}"))
-    found = pairs.join(side("a"), F.col("a") == F.col("a1")).join(side("b"), F.col("b") == F.col("b1")).select("a1", "a2", "b1", "b2", "raw_a", "raw_b")
+    text = lambda s: texts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("raw").alias(f"raw_{s}"))
+    found = pairs.join(text("a"), F.col("a") == F.col("a1")).join(text("b"), F.col("b") == F.col("b1")).select("a1", "a2", "b1", "b2", "raw_a", "raw_b")
     found = found.mapInArrow(partial(_verified, edits=edits), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
     return stored(found.unionByName(found.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"))))
 
@@ -218,14 +253,15 @@ def decisions(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """
     lines = stored(_rows(documents).mapInArrow(_lines, "h1 bigint, h2 bigint, doc_id bigint, line bigint"))
     classes = stored(lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("documents")))
-    near = links(documents, classes, lines, edits)
+    near = links(documents, classes, edits)
     # where each linked line first occurs
     linked = near.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).distinct().join(classes, ["h1", "h2"]).join(lines, ["h1", "h2"]).where("doc_id = first").groupBy("h1", "h2", "first").agg(F.min("line").alias("at"))
     here = linked.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("a_first"), F.col("at").alias("a_at"))
     there = linked.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("b_first"), F.col("at").alias("b_at"))
     earlier = (F.col("b_first") < F.col("a_first")) | ((F.col("b_first") == F.col("a_first")) & (F.col("b_at") < F.col("a_at")))
     by_class = near.join(here, ["a1", "a2"]).join(there, ["b1", "b2"]).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.count("*").alias("n_links"), F.max(earlier).alias("later"))
-    decided = classes.join(by_class, ["h1", "h2"], "left").where("documents > 1 or n_links is not null")
+    # written, so that the join with the lines has a plain exchange on either side and a line that very many documents hold can be split
+    decided = stored(classes.join(by_class, ["h1", "h2"], "left").where("documents > 1 or n_links is not null"))
     removed = (F.col("doc_id") != F.col("first")) | F.coalesce("later", F.lit(False))
     # merge joins at every size: neither side has a bound
     return lines.join(decided.hint("merge"), ["h1", "h2"]).select("doc_id", "line", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), removed.alias("removed"))
@@ -251,7 +287,7 @@ def _apply(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa
             kept = "\n".join(line for n, line in enumerate(text.split("\n")) if n not in out) if out else text
             texts.append(kept)
             n_lines.append(len(compared)), n_removed.append(len(out))
-            empty.append(bool(out) and not kept.strip())
+            empty.append(bool(out) and not kept.strip(BLANKS))
         named = dict(zip(batch.schema.names, batch.columns, strict=True))
         named |= {"text": pa.array(texts, pa.string()), N_LINES: pa.array(n_lines, pa.int64()), N_REMOVED: pa.array(n_removed, pa.int64()), EMPTY: pa.array(empty, pa.bool_())}
         yield pa.RecordBatch.from_arrays([named[c] for c in columns], columns)
@@ -261,9 +297,9 @@ def _apply(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa
 def dedup_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """documents, all their columns, with the removed lines out of `text`, and the columns N_LINES, N_REMOVED, N_LINKS and EMPTY (nothing is left of a text that lost lines).
 
-    Lines are trimmed of white space; blank ones are never compared nor removed, those under SHORTEST_NEAR bytes are compared only for equality.
-    A line goes if it occurs earlier in its document, occurs in a document of smaller id, or is within `edits` edits (of UTF-8 bytes) of a line that
-    first occurs earlier. Null texts stay null and empty ones empty. Rows without doc_id lose only repeats inside themselves and count for no
+    Lines are trimmed of ASCII white space; blank ones are never compared nor removed. A line goes if it occurs earlier in its document, occurs in a
+    document of smaller id, or lies within budget() edits (of UTF-8 bytes) of a line that first occurs earlier; lines of under PER_EDIT bytes have no
+    edits, so they go only if equal. Lines of any length are compared whole. Columns of documents may have any names but those added here. Null texts stay null and empty ones empty. Rows without doc_id lose only repeats inside themselves and count for no
     other. Rows that repeat a doc_id count as one document: identical ones get identical results. An empty table gives none.
     """
     decided = stored(decisions(documents, edits).groupBy("doc_id").agg(F.collect_list(F.when(F.col("removed"), F.col("line"))).alias(_GONE), F.sum("n_links").alias(N_LINKS)))

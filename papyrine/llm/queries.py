@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from papyrine.llm import twins
 from papyrine.llm.bpe import op3_bpe
 from papyrine.llm.decontaminate import op5_decontaminate
 from papyrine.llm.language import op8_language
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest": op10_nearest,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = twins.ORACLES

@@ -48,7 +48,7 @@ def plain_lines(docs):
     for d in sorted(docs):
         for n, raw in linededup.units(docs[d]):
             first.setdefault(raw, (d, n))
-    near = {raw: [o for o in first if o != raw and abs(len(o) - len(raw)) <= 2 and min(len(o), len(raw)) >= linededup.SHORTEST_NEAR and distance(o, raw) <= 2] for raw in first}
+    near = {raw: [o for o in first if o != raw and abs(len(o) - len(raw)) <= 2 and distance(o, raw) <= linededup.budget(min(len(o), len(raw)))] for raw in first}
     out = {}
     for d, t in docs.items():
         if t is None:
@@ -57,7 +57,7 @@ def plain_lines(docs):
         seen, kept, lost = set(), [], False
         for line in t.split("\n"):
             raw = line.strip().encode()
-            if len(raw) >= linededup.SHORTEST:
+            if raw:
                 gone = raw in seen or first[raw][0] != d or any(first[o] < first[raw] for o in near[raw])
                 seen.add(raw)
                 lost |= gone
