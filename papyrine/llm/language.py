@@ -1,7 +1,7 @@
 """Language by compression: the language whose zstandard dictionary makes a text's windows smallest, rejected when the margin is narrow.
 
-Only lower-case words are compressed, so punctuation and case don't matter, and a window that repeats in a text counts once. A short text is compared
-by its neighbouring pairs of words, each behind a frame that every dictionary ends with: so little text would else be stored uncompressed.
+Only lower-case words are compressed, so punctuation and case don't matter, and a window that repeats in a text counts once. Every window stands behind
+a frame that every dictionary ends with: a window of a few words would else be stored uncompressed. Texts of all lengths are treated alike.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from papyrine.llm.common import held_out, table
 DOCUMENTS_PER_LANGUAGE, WINDOWS, WINDOW = 400, 128, 400
 #: Languages up to which the ids of the sample are broadcast.
 FEW_LANGUAGES = 2_000
-#: Code points of a window when texts are scored, and code points of words under which a text is short.
-SCORED_WINDOW, SHORT = 500, 100
+#: Code points of a window when texts are scored.
+SCORED_WINDOW = 500
 _FRAME = b"<<0123456789=ABCDEFGH"
 #: Relative margin of the best over the second language below which a prediction counts as rejected.
 NARROW = 0.004
@@ -41,18 +41,17 @@ def words(text: str) -> list[str]:
 
 def windows(text: str) -> set[bytes]:
     """The distinct windows of a whole text with letters."""
-    found = words(text)
-    plain = " ".join(found)
-    if len(plain) < SHORT:
-        return {_FRAME + f" {a} {b} ".encode("utf-8", "replace") for a, b in zip(found, [*found[1:], ""], strict=True)}
-    return {f" {plain[i : i + SCORED_WINDOW]} ".encode("utf-8", "replace") for i in range(0, len(plain), SCORED_WINDOW)}
+    plain = " ".join(words(text))
+    return {_FRAME + f" {plain[i : i + SCORED_WINDOW]} ".encode("utf-8", "replace") for i in range(0, len(plain), SCORED_WINDOW)}
 
 
 def fit(documents: DataFrame, modulus: int = 5, remainder: int = 0) -> dict[str, bytes]:
     """Dictionary content for each language, from documents that are not held out and have a language, an id and a text.
 
-    A language gives DOCUMENTS_PER_LANGUAGE documents at most and WINDOWS windows of them, both in hash order. Documents are thinned by a hash
-    threshold before any are ranked, so no task or driver holds more than a small multiple of those; texts are read for the chosen ids only.
+    A language gives DOCUMENTS_PER_LANGUAGE documents at most, one window of each at a place given by its id, and WINDOWS of these, all in hash order.
+    Documents are thinned by a hash threshold before any are ranked, so no task or driver holds more than a small multiple of those, also of a
+    language that most documents have; texts are read for the chosen ids only. Null languages, ids and texts are passed over; repeated rows may give
+    repeated windows; an empty table gives no language, and then every text is undecided.
     """
     ids = documents.select("doc_id", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(modulus, remainder))
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
@@ -62,9 +61,9 @@ def fit(documents: DataFrame, modulus: int = 5, remainder: int = 0) -> dict[str,
     if sizes.count() <= FEW_LANGUAGES:  # then the chosen ids are few enough to go to every task
         chosen = F.broadcast(chosen)
     ranked = documents.select("doc_id", "text").where(F.length("text") > 0).join(chosen, "doc_id")
-    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / WINDOW).cast("int"))
-    windows = ranked.select("lang", "doc_id", F.explode(F.transform(starts, lambda i: F.substr("text", i * WINDOW + 1, F.lit(WINDOW)))).alias("piece"))
-    chosen = windows.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece"))).where(F.col("_rank") <= WINDOWS)
+    place = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.ceil(F.length("text") / WINDOW)).cast("int")
+    pieces = ranked.select("lang", "doc_id", F.substr("text", place * WINDOW + 1, F.lit(WINDOW)).alias("piece"))
+    chosen = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece"))).where(F.col("_rank") <= WINDOWS)
     out: dict[str, list[str]] = {}
     for row in chosen.orderBy("lang", "_rank").collect():
         out.setdefault(row["lang"], []).append(" ".join(words(row["piece"])))

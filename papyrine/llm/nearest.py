@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by collision counting: sorted single-projection arrays, query-centred windows, virtual rehashing.
 
-Every block of vectors keeps PROJECTIONS arrays of its vectors sorted by one random projection each. A query opens a window around its own projection
-in every array; vectors seen in at least COLLISIONS windows are verified with their exact cosine. If a block has too few such vectors, all windows
-widen by a factor (virtual rehashing: the same arrays serve every radius) until it has enough or the windows hold the block.
+Every block of vectors keeps PROJECTIONS arrays of its vectors, each sorted by one projection. A query opens a window around its own projection in every
+array; vectors seen in a share COLLISIONS of the windows are verified with their exact cosine. All windows widen by a factor (virtual rehashing: the
+same arrays serve every radius) until the collision rule ends the search: a vector as near as the k-th best verified one would by now have been seen
+often enough. How many are verified follows from the data alone; there is no quota.
 Queries go to every block, so each block's answer is about its own vectors, and the answers of all blocks are merged.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +20,32 @@ from pyspark.sql import functions as F
 
 from papyrine.llm.common import stored, table
 
-PROJECTIONS, SEED = 64, 20240611
+PROJECTIONS, SEED = 160, 20240611
 #: Share of the windows that a vector has to be seen in to be verified.
-COLLISIONS = 0.6
-#: Share of a block's vectors, and number, that are verified for a query at least.
-VERIFIED, VERIFIED_LEAST = 0.2, 500
-#: Half width of the first windows in standard deviations of a projection, and the factor by which they widen.
-FIRST, WIDEN = 0.6, 1.08
+COLLISIONS = 0.7
+#: Standard deviations by which the collisions of a vector at the k-th distance have to lie over that share before a search ends.
+CERTAINTY = 1.0
+#: Half width of the first windows, the factor by which they widen, and the share of a query's last width that the next query starts with.
+FIRST, WIDEN, AGAIN = 0.3, 1.15, 0.96
+#: Share of all places by which windows have to grow before places are compared instead of members counted.
+WIDE = 0.05
 #: Vectors of one block, and queries of one group, at most (blocks and groups are dealt by hash, so about).
-BLOCK, GROUP = 8_000, 2_000
+BLOCK, GROUP = 16_000, 2_000
 
 
 def projections(dimensions: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((dimensions, PROJECTIONS))
+    """Unit-variance directions, in sets that are orthogonal among themselves: their counts vary less than those of independent ones."""
+    rng = np.random.default_rng(SEED)
+    sets = [np.linalg.qr(rng.standard_normal((dimensions, dimensions)))[0] for _ in range(-(-PROJECTIONS // dimensions))]
+    return np.concatenate(sets, 1)[:, :PROJECTIONS] * math.sqrt(dimensions)
+
+
+def reach() -> float:
+    """Half width, as a multiple of a distance, at which vectors of that distance collide often enough with CERTAINTY."""
+    p = COLLISIONS
+    for _ in range(30):
+        p = COLLISIONS + CERTAINTY * math.sqrt(p * (1 - p) / PROJECTIONS)
+    return NormalDist().inv_cdf((1 + p) / 2)
 
 
 class Index:
@@ -39,48 +55,68 @@ class Index:
         self.ids, self.vectors = ids, vectors
         self.lines = projections(vectors.shape[1])
         keys = (vectors @ self.lines).T
-        self.order = np.argsort(keys, axis=1, kind="stable")
+        order = np.argsort(keys, axis=1, kind="stable")
         # the sorted arrays one after another, each moved by its own distance: one search looks into all of them
         apart = 4 * np.abs(keys).max() + 1e3
         self.apart = np.arange(PROJECTIONS) * apart
-        self.sorted = (np.take_along_axis(keys, self.order, 1) + self.apart[:, None]).ravel()
-        self.order = self.order.ravel()
+        self.sorted = (np.take_along_axis(keys, order, 1) + self.apart[:, None]).ravel()
+        self.order = order.ravel()
+        # the place of each vector in each sorted array, in numbers of a width that stays in the cache
+        self.place = np.argsort(order, axis=1).astype(np.uint16 if len(ids) < 1 << 15 else np.uint32)
         self.edges = np.arange(PROJECTIONS) * len(ids)
-        self.half = FIRST  # lines have unit variance in each dimension, so projections of unit vectors have unit variance
+        self.half, self.reach = FIRST / AGAIN, reach()
+        self.verified = 0
+
+    def _members(self, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+        return [self.order[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+
+    def _collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For each vector the windows that hold it, by its place in each array: for wide windows faster than going through their members."""
+        n, kind = len(self.ids), self.place.dtype.type
+        out, some, place, inside = np.zeros(n, np.uint16), np.zeros(n, np.uint8), np.empty(n, kind), np.empty(n, bool)
+        first, width = (low - self.edges).astype(kind), (high - low).astype(kind)
+        for m in range(PROJECTIONS):
+            np.subtract(self.place[m], first[m], out=place)  # below the window this wraps to a number above any width
+            np.less(place, width[m], out=inside)
+            np.add(some, inside.view(np.uint8), out=some)
+            if m % 128 == 127 or m + 1 == PROJECTIONS:
+                out += some
+                some[:] = 0
+        return out.astype(np.int64)
 
-    def candidates(self, query: np.ndarray) -> np.ndarray:
-        """Positions of vectors that collide often enough with the query. Windows start a step inside those of the query before."""
+    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and cosines of the k nearest verified vectors besides the query's own. Windows start a little inside those of the query before."""
         n = len(self.ids)
-        enough = min(n, max(VERIFIED_LEAST, int(VERIFIED * n)))
-        if enough >= n:
-            return np.arange(n)
         centre = query @ self.lines + self.apart
-        counts = np.zeros(n, np.int64)
-        half = max(FIRST / 2, self.half / WIDEN)
-        low = high = np.searchsorted(self.sorted, centre)
-        low = high = np.clip(low, self.edges, self.edges + n)
+        seen = self.ids == own
+        found, score = np.zeros(0, np.int64), np.zeros(0)
+        half, counts = self.half * AGAIN, np.zeros(n, np.int64)
+        low = high = np.clip(np.searchsorted(self.sorted, centre), self.edges, self.edges + n)
         while True:
             new_low = np.maximum(np.searchsorted(self.sorted, centre - half, "left"), self.edges)
             new_high = np.minimum(np.searchsorted(self.sorted, centre + half, "right"), self.edges + n)
-            # a window grows by what is new at either end
-            grown = [self.order[a:b] for a, b in zip(np.concatenate([new_low, high]).tolist(), np.concatenate([low, new_high]).tolist(), strict=True)]
-            counts += np.bincount(np.concatenate(grown), minlength=n)
+            new_low, new_high = np.minimum(new_low, low), np.maximum(new_high, high)
+            if (new_high - new_low).sum() - (high - low).sum() > WIDE * len(self.order):
+                counts = self._collisions(new_low, new_high)
+            else:  # a window grows by what is new at either end
+                counts += np.bincount(np.concatenate(self._members(new_low, low) + self._members(high, new_high)), minlength=n)
             low, high = new_low, new_high
-            found = np.flatnonzero(counts >= COLLISIONS * PROJECTIONS)
-            if len(found) >= enough or len(low) * n == (high - low).sum():
-                self.half = half
-                return found
-            half *= WIDEN
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the k nearest verified vectors besides the query's own."""
-        found = self.candidates(query)
-        found = found[self.ids[found] != own]
-        score = (self.vectors[found] * query).sum(1)  # row by row in one order, so equal vectors get equal scores
-        if len(found) > k:  # ties at the edge all stay
-            edge = np.partition(score, -k)[-k]
-            keep = score >= edge
-            found, score = found[keep], score[keep]
+            new = np.flatnonzero((counts >= COLLISIONS * PROJECTIONS) & ~seen)
+            seen[new] = True
+            self.verified += len(new)
+            found = np.concatenate([found, new])
+            score = np.concatenate([score, (self.vectors[new] * query).sum(1)])  # row by row in one order, so equal vectors get equal scores
+            if (high - low).sum() == len(self.order):
+                break
+            if len(score) >= k:
+                edge = np.partition(score, -k)[-k]
+                enough = self.reach * math.sqrt(max(0.0, 2 - 2 * edge))
+                if half >= enough:
+                    break
+                half = min(half * WIDEN, enough)
+            else:
+                half *= WIDEN
+        self.half = max(half, FIRST)
         order = np.lexsort((self.ids[found], -score))[:k]
         return self.ids[found][order], score[order]
 
@@ -106,7 +142,7 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id. Vectors are compared with vectors of as
     many components only. Ties go to the smaller vec_id. Rows that repeat a vec_id count once, with the first vector in array order. A query with
-    fewer than k others gets what there is; an empty table gives none.
+    fewer than k others gets what there is; an empty table gives none. Other columns are dropped.
     """
     rows = stored(usable(embeddings).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("width", F.size("embedding")))
     total = rows.count()
