@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written inside the open tables_of() blocks, innermost last.
+_OPEN: list[list[DataFrame]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own, but only with a local master (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("papyrine.shared.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='papyrine')}"
-        spark.conf.set("papyrine.shared.dir", spark.conf.get("papyrine.shared.dir", found))
-        found = spark.conf.get("papyrine.shared.dir")
+        spark.conf.set("papyrine.shared.dir", found)
     return found
 
 
@@ -24,12 +31,37 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._papyrine_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
 def drop_stored(df: DataFrame) -> None:
-    """Deletes a table made by stored() that no later plan reads."""
+    """Deletes a table made by stored() that no later plan reads. Deleting it twice does nothing."""
     path = df._papyrine_path
     jvm = df.sparkSession.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Tables(list):
+    """Tables to delete; those taken out stay."""
+
+    def remove(self, df: DataFrame) -> None:
+        self[:] = [x for x in self if x is not df]
+
+
+@contextmanager
+def tables_of(spark: SparkSession) -> Iterator[Tables]:
+    """Deletes, at the end of the block, the tables that stored() has written inside it and that weren't removed from the list.
+
+    For steps whose result is itself written inside the block: plans that are still to run must not need the tables.
+    """
+    used = Tables()
+    _OPEN.append(used)
+    try:
+        yield used
+    finally:
+        _OPEN.pop()
+        for df in used:
+            drop_stored(df)
