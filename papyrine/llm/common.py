@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrine.operators.graph import components  # noqa: F401  used by the operators
-from papyrine.sources.shared import drop_stored, stored  # noqa: F401
+from papyrine.sources.shared import drop_stored, stored, tables_of  # noqa: F401
 
 #: Word separators of the word-based contracts: space and the controls tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"

@@ -91,6 +91,7 @@ def score(documents: DataFrame, model: boosting.FlatTrees) -> DataFrame:
     """Columns doc_id, score (0 to 1) and statistics of each row; one output row for each input row.
 
     Null and empty texts have statistics of 0 and so one score; repeated rows give repeated rows; other columns are dropped; an empty table gives none.
+    Texts of any length are read whole.
     """
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:

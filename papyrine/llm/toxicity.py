@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrine.llm import boosting
-from papyrine.llm.common import held_out, labelled_ids, map_arrow, sample_texts, table, trim
+from papyrine.llm.common import drop_stored, held_out, labelled_ids, map_arrow, sample_texts, stored, table, trim
 
 #: Labelled rows of each class that the fit reads at most.
 SAMPLE_PER_CLASS = 6_000
@@ -121,9 +121,11 @@ def fit(documents: DataFrame, labels: DataFrame, modulus: int = 3, remainder: in
     """Dictionaries and thresholds, from at most 2 * per_class labelled rows that are not held out.
 
     Word counts are aggregated on the executors; the driver gets the leading words and one row of evidence per sampled document. Thresholds are
-    calibrated crosswise: evidence on each half of the sample comes from dictionaries of the other half.
+    calibrated crosswise: evidence on each half of the sample comes from dictionaries of the other half. Null texts count as empty, labels other than 0
+    and 1 are passed over, of repeated labels the larger counts; without labels of both classes every text gets the same score.
     """
-    sampled = sample_texts(documents, labelled_ids(labels, "toxic", modulus, remainder, per_class)).withColumn("half", (F.xxhash64("doc_id", F.lit(7)) % 2 == 0).cast("int"))
+    # the sampled texts are read from the corpus once; their number has a bound
+    sampled = stored(sample_texts(documents, labelled_ids(labels, "toxic", modulus, remainder, per_class)).withColumn("half", (F.xxhash64("doc_id", F.lit(7)) % 2 == 0).cast("int")))
 
     def words(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(w, label, half) for t, label, half in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), batch["half"].to_pylist(), strict=True) for w in sorted(windows(t))]
@@ -136,8 +138,10 @@ def fit(documents: DataFrame, labels: DataFrame, modulus: int = 3, remainder: in
     totals = {k: v or 0 for k, v in totals.items()}
     toxic, ordinary = F.col("n10") + F.col("n11"), F.col("n00") + F.col("n01")
     n1, n0 = max(1, totals["n10"] + totals["n11"]), max(1, totals["n00"] + totals["n01"])
-    counts = counts.where(toxic + ordinary >= 2).withColumns({"toxic": toxic, "ordinary": ordinary})
-    lead = lambda by: counts.orderBy(by.desc(), "word").limit(3 * TYPICAL)
+    counts = stored(counts.where(toxic + ordinary >= 2).withColumns({"toxic": toxic, "ordinary": ordinary}))
+    toxic, ordinary = F.col("toxic"), F.col("ordinary")
+    # words that tell too little for either dictionary stay on the executors
+    lead = lambda by: counts.where(by > 2).orderBy(by.desc(), "word").limit(3 * TYPICAL)
     expect1, expect0 = (ordinary + 0.5) * (n1 / n0), (toxic + 0.5) * (n0 / n1)
     leading = lead((toxic - expect1) / F.sqrt(expect1 + 0.25)).unionByName(lead((ordinary - expect0) / F.sqrt(expect0 + 0.25))).unionByName(counts.orderBy(ordinary.desc(), "word").limit(COMMON)).distinct().toPandas()
 
@@ -157,6 +161,7 @@ def fit(documents: DataFrame, labels: DataFrame, modulus: int = 3, remainder: in
         return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch["label"].cast(pa.int32())], ["x", "label"])
 
     rows = map_arrow(sampled, per_batch, "x array<double>, label int").toPandas()
+    drop_stored(sampled), drop_stored(counts)
     if rows.empty:
         return {"dictionaries": ([], []), "trees": boosting.constant(0.01)}
     x = np.stack(rows["x"].to_list())
@@ -169,6 +174,7 @@ def score(rows: DataFrame, model: dict, name: str = "score") -> DataFrame:
     """rows with a score (0 to 1) in the column `name`: every column and row of the input stays, but an input column of that name gives way.
 
     Null, empty and wordless texts have no windows and get the one score of no evidence. Repeated rows get equal scores. An empty table gives none.
+    Texts of any length are read whole; words of over LONGEST bytes are cut into several windows.
     """
     rows = rows.drop(name)
     schema = T.StructType([*rows.schema, T.StructField(name, T.DoubleType())])
