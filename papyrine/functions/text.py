@@ -149,9 +149,13 @@ def has_terms(text: Column, terms: list[str], least: int = 1, without: list[str]
     return (n >= least) & ~F.arrays_overlap(own, F.array(*map(F.lit, without))) if without else n >= least
 
 
+#: What reads as a number: digits (with single underscores between them), a point, an exponent, or the names of infinity and not-a-number.
+NUMBER = r"^[+-]?((?:[0-9](?:_?[0-9])*\.?(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?|(?i:nan|inf|infinity))$"
+
+
 def is_number(entry: Column) -> Column:
-    """whether the trimmed entry reads as a number."""
-    return F.trim(entry).try_cast("double").isNotNull()
+    """whether the trimmed entry reads as a number. A cast would also take suffixes such as those of 1d and 2f."""
+    return F.trim(entry).rlike(NUMBER)
 
 
 def valid_utf8(raw: Column) -> Column:

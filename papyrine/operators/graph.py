@@ -58,14 +58,17 @@ def bipartite_pairs(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
 def range_join(left: DataFrame, right: DataFrame, key: str, within: int) -> DataFrame:
     """Rows a, b of equal key with b.start < a.end + within and b.end > a.start - within.
 
-    left: (key, a, a_start, a_end); right: (key, b, b_start, b_end). Both sides are dealt to bins as wide as the window, so the join is an equi-join
-    on key and bin and a long key isn't one nested loop; a pair counts in the first bin that both sides share.
+    left: (key, a, a_start, a_end); right: (key, b, b_start, b_end). Both sides are dealt to bins as wide as the window or as most intervals, whichever
+    is more, so the join is an equi-join on key and bin, few bins hold an interval, and a long key isn't one nested loop; a pair counts in the first
+    bin that both sides share.
     """
-    width = max(1, within)
+    lengths = left.select((F.col("a_end") - F.col("a_start")).alias("n")).unionByName(right.select((F.col("b_end") - F.col("b_start")).alias("n")))
+    common = F.broadcast(lengths.agg(F.greatest(F.coalesce(F.percentile_approx("n", 0.95).cast("bigint"), F.lit(1)), F.lit(max(1, within)).cast("bigint")).alias("_width")))
+    left, right, width = left.join(common), right.join(common), F.col("_width")
     first_a, last_a = F.floor((F.col("a_start") - within) / width), F.floor((F.col("a_end") + within) / width)
     first_b, last_b = F.floor(F.col("b_start") / width), F.floor(F.col("b_end") / width)
-    a = left.withColumn("_first_a", first_a).withColumn("_bin", F.explode(F.sequence(first_a, last_a)))
-    b = right.withColumn("_first_b", first_b).withColumn("_bin", F.explode(F.sequence(first_b, last_b)))
+    a = left.withColumn("_first_a", first_a).withColumn("_bin", F.explode(F.sequence(first_a, last_a))).drop("_width")
+    b = right.withColumn("_first_b", first_b).withColumn("_bin", F.explode(F.sequence(first_b, last_b))).drop("_width")
     touch = (F.col("b_start") < F.col("a_end") + within) & (F.col("b_end") > F.col("a_start") - within)
     once = F.col("_bin") == F.greatest("_first_a", "_first_b")
     return a.join(b, [key, "_bin"]).where(touch & once).drop("_bin", "_first_a", "_first_b")

@@ -1,4 +1,4 @@
-"""Rankings and their evaluation, with ties grouped; all by window frames over one row per distinct score.
+"""Rankings and their evaluation, with ties grouped, from one row per distinct score.
 
 Ratios without a denominator (no positives, no negatives, one row) are null.
 """
@@ -8,16 +8,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.sources.shared import stored
 
-def curve(scored: DataFrame, label: str = "label", score: str = "score", *by: str) -> DataFrame:
-    """One row for each distinct score (of each `by`): positives and rows at it, and cumulative ones from the best score down.
 
-    Scores are aggregated before any window, so the window sees distinct scores only.
+def running(rows: DataFrame, by: str, *values: str, descending: bool = False) -> DataFrame:
+    """rows (one for each value of `by`) with the running total _to_<value> of each of `values` in the order of `by`.
+
+    Rows are range-partitioned and summed inside partitions; the offsets come from one row a partition, so no task sees all rows.
     """
+    order = F.col(by).desc() if descending else F.col(by).asc()
+    ranged = stored(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_part").agg(*(F.sum(v).alias(f"_sum_{v}") for v in values))
+    offsets = sums.select("_part", *(F.coalesce(F.sum(f"_sum_{v}").over(before), F.lit(0)).alias(f"_before_{v}") for v in values))
+    local = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumns({f"_to_{v}": F.sum(v).over(local) for v in values}).join(F.broadcast(offsets), "_part")
+    return summed.withColumns({f"_to_{v}": F.col(f"_to_{v}") + F.col(f"_before_{v}") for v in values}).drop("_part", *(f"_before_{v}" for v in values))
+
+
+def curve(scored: DataFrame, label: str = "label", score: str = "score", *by: str) -> DataFrame:
+    """One row for each distinct score (of each `by`): positives and rows at it, and cumulative ones from the best score down."""
     at = scored.groupBy(*by, score).agg(F.sum(F.col(label).cast("bigint")).alias("tp_at"), F.count("*").alias("n_at"))
-    down = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return at.withColumns({"tp": F.sum("tp_at").over(down), "n": F.sum("n_at").over(down), "positives": F.sum("tp_at").over(whole), "rows": F.sum("n_at").over(whole)})
+    if by:
+        down, whole = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+        return at.withColumns({"tp": F.sum("tp_at").over(down), "n": F.sum("n_at").over(down), "positives": F.sum("tp_at").over(whole), "rows": F.sum("n_at").over(whole)})
+    summed = running(at, score, "tp_at", "n_at", descending=True).withColumnsRenamed({"_to_tp_at": "tp", "_to_n_at": "n"})
+    return summed.join(F.broadcast(scored.agg(F.sum(F.col(label).cast("bigint")).alias("positives"), F.count("*").alias("rows"))))
 
 
 def roc(scored: DataFrame, *by: str) -> DataFrame:
@@ -63,9 +79,8 @@ def confusion(scored: DataFrame, threshold: float = 0.5, *by: str) -> DataFrame:
 
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
     """Rows with the average rank of `value`; ranks come from one row per distinct value."""
-    at = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(at.select(value, (below + (F.col("_n") + 1) / 2).alias(name)), value)
+    at = running(rows.groupBy(value).agg(F.count("*").alias("_n")), value, "_n")
+    return rows.join(at.select(value, (F.col("_to__n") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name)), value)
 
 
 def correlations(rows: DataFrame, x: str, y: str) -> DataFrame:

@@ -68,11 +68,11 @@ def gda_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sourced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, source): edges of several sources; both ends are drawn from one range, so either orientation occurs."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity < 10")
+    lines = table(spark, sf_dir, "lineitem")
     return lines.select((F.col("l_partkey") % 97).alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("source"), F.col("l_linenumber").alias("rel"))
 
 
-SOURCED = "s AS (SELECT l_partkey % 97 AS src, l_suppkey AS dst, l_returnflag AS source, l_linenumber AS rel FROM lineitem WHERE l_quantity < 10)"
+SOURCED = "s AS (SELECT l_partkey % 97 AS src, l_suppkey AS dst, l_returnflag AS source, l_linenumber AS rel FROM lineitem)"
 
 
 @query("edge_sources", f"WITH {SOURCED} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM s GROUP BY ALL")
@@ -197,12 +197,12 @@ def chromosome_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "mapped_edges",
     """SELECT DISTINCT least(a.n_name, b.n_name) AS src, greatest(a.n_name, b.n_name) AS dst FROM customer JOIN orders ON o_custkey = c_custkey
-JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE l_quantity > 48""",
+JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey""",
 )
 def mapped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends mapped to names, unmapped rows dropped, then G1."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select("l_orderkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     raw = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     raw = raw.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).select("c_nationkey", "s_nationkey").distinct()

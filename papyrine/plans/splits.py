@@ -34,9 +34,9 @@ def horizon_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SETS = f"""{_FACTS}, emb AS (SELECT p_partkey AS gene FROM part WHERE p_partkey % 3 <> 0), known AS (SELECT p_partkey AS gene FROM part WHERE p_size < 10),
-pos AS (SELECT DISTINCT gene FROM facts WHERE year <= 1995 AND gene % 5 = 0 AND gene IN (SELECT gene FROM emb)),
-ever AS (SELECT DISTINCT gene FROM facts WHERE gene % 5 = 0),
-ptest AS (SELECT DISTINCT gene FROM facts WHERE year > 1995 AND year <= 1997 AND gene % 5 = 0 AND gene IN (SELECT gene FROM emb)),
+pos AS (SELECT DISTINCT gene FROM facts WHERE year <= 1995 AND gene IN (SELECT gene FROM emb)),
+ever AS (SELECT DISTINCT gene FROM facts),
+ptest AS (SELECT DISTINCT gene FROM facts WHERE year > 1995 AND year <= 1997 AND gene IN (SELECT gene FROM emb)),
 nt AS (SELECT gene FROM emb WHERE gene NOT IN (SELECT gene FROM pos) AND gene NOT IN (SELECT gene FROM known)),
 ne AS (SELECT gene FROM emb WHERE gene NOT IN (SELECT gene FROM ever) AND gene NOT IN (SELECT gene FROM known))"""
 
@@ -48,7 +48,7 @@ UNION ALL (SELECT gene, 'neg_train' FROM nt ORDER BY {h("gene")}, gene LIMIT (SE
 )
 def cancer_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positives by year, as many negatives of either side by hash order."""
-    f = facts(spark, sf_dir).where("gene % 5 = 0")
+    f = facts(spark, sf_dir)
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), "p_size")
     emb, known = parts.where("gene % 3 <> 0").select("gene"), parts.where("p_size < 10").select("gene")
     with_vector = lambda d: d.select("gene").distinct().join(emb, "gene", "left_semi")
@@ -63,11 +63,11 @@ def cancer_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_PAIRS = "p AS (SELECT l_partkey AS a, l_suppkey AS b, l_shipdate < TIMESTAMP '1998-01-01' AS train FROM lineitem WHERE l_quantity < 5)"
+_PAIRS = "p AS (SELECT l_partkey AS a, l_suppkey AS b, l_shipdate < TIMESTAMP '1998-01-01' AS train FROM lineitem)"
 
 
 def timed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity < 5")
+    lines = table(spark, sf_dir, "lineitem")
     return lines.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp")).alias("train"))
 
 
@@ -146,18 +146,18 @@ def sample_without_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stratified_by_source",
-    f"""WITH p AS (SELECT DISTINCT p_partkey AS a, p_size AS b, unnest([p_brand[-1:], p_type[1:1]]) AS source FROM part WHERE p_size < 6),
-n AS (SELECT a, b, row_number() OVER (ORDER BY {h("a", "b")}, a, b) - 1 AS r FROM (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity = 7)),
+    f"""WITH p AS (SELECT DISTINCT p_partkey AS a, p_size AS b, unnest([p_brand[-1:], p_type[1:1]]) AS source FROM part),
+n AS (SELECT a, b, row_number() OVER (ORDER BY {h("a", "b")}, a, b) - 1 AS r FROM (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem)),
 t AS (SELECT count(*) AS total FROM n), need AS (SELECT source, count(*) AS c FROM p GROUP BY source),
 runs AS (SELECT source, (ascii(source) * 7919) % total AS f, total, unnest(range(least(c, total))) AS draw FROM need, t)
 SELECT a, b, source, 1 AS label FROM p UNION ALL SELECT a, b, source, 0 FROM runs JOIN n ON n.r = (f + draw) % total""",
 )
 def stratified_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N12"""
-    part = table(spark, sf_dir, "part").where("p_size < 6")
+    part = table(spark, sf_dir, "part")
     sources = F.array_distinct(F.array(F.right("p_brand", F.lit(1)), F.left("p_type", F.lit(1))))
     positives = part.select(F.col("p_partkey").alias("a"), F.col("p_size").cast("bigint").alias("b"), sources.alias("sources")).distinct()
-    negatives = table(spark, sf_dir, "lineitem").where("l_quantity = 7").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    negatives = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
     return sampling.by_source(positives, negatives, ["a", "b"])
 
 
@@ -182,10 +182,10 @@ def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chromosome_split(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("pairs_with_vectors", "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity < 3 AND l_partkey IN (SELECT vec_id FROM embeddings WHERE label < 5) AND l_suppkey IN (SELECT vec_id FROM embeddings)")
+@query("pairs_with_vectors", "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey IN (SELECT vec_id FROM embeddings WHERE label < 5) AND l_suppkey IN (SELECT vec_id FROM embeddings)")
 def pairs_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both ends have a vector."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity < 3").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
     e = table(spark, sf_dir, "embeddings")
     return lines.join(e.where("label < 5").select(F.col("vec_id").alias("src")), "src", "left_semi").join(e.select(F.col("vec_id").alias("dst")), "dst", "left_semi").select("src", "dst")
 
