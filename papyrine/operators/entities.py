@@ -122,6 +122,23 @@ def main_entities(symbols: DataFrame, others: DataFrame) -> DataFrame:
     return low(symbols).where(~F.col("token").isin(*P.NOT_ENTITIES)).union(low(others)).distinct()
 
 
+def without_stopped(pairs: DataFrame, disease: str = "disease") -> DataFrame:
+    """rows whose disease isn't on the stop list; rows without a disease stay."""
+    return pairs.where(~F.coalesce(F.col(disease).isin(*P.STOPPED_DISEASES), F.lit(False)))
+
+
+def retiled(tokens: DataFrame, entities: DataFrame, group: str = "doc_id", position: str = "pos") -> DataFrame:
+    """(group, position, part, token): what stands for each token, in order, without entities that repeat the token emitted before them.
+
+    Distinct tokens are tiled once and joined back; a repeat is judged among the emitted tokens of its whole group, across token bounds. Null tokens stay.
+    """
+    stands = tiled(tokens, entities).select("token", candidates(F.col("tiles"), F.col("token")).alias("_parts"))
+    parts = F.posexplode(F.coalesce("_parts", F.array("token"))).alias("part", "_token")
+    emitted = tokens.join(stands, "token", "left").select(group, position, parts).withColumnRenamed("_token", "token")
+    ordered = emitted.withColumn("_at", F.struct(position, "part"))
+    return drop_repeats(ordered, entities, group, "_at").select(group, position, "part", "token")
+
+
 def link_with(texts: DataFrame, model, schema: str) -> DataFrame:
     """Spans that a user's model finds. model: an iterator of pandas frames to an iterator of frames of `schema` (it can load itself once a task)."""
     return texts.mapInPandas(model, schema)

@@ -16,6 +16,17 @@ def hash_of(*keys: Column) -> Column:
     return sum((F.pmod(k.cast("bigint"), F.lit(_MODULUS)) * f for k, f in zip(keys, factors, strict=False)), F.lit(0)) % _MODULUS
 
 
+#: Hexadecimal digits of a digest that make a draw, and the number of draws they can tell apart.
+_DIGITS = 13
+DRAWS = 16**_DIGITS
+
+
+def draw(*keys: Column) -> Column:
+    """A draw from 0 to DRAWS - 1 for the keys: leading digits of an MD5 digest, so other engines draw alike and neighbouring keys don't correlate."""
+    text = F.concat_ws("|", *(k.cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, _DIGITS), 16, 10).cast("bigint")
+
+
 def sample(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     """N rows without replacement, in hash order."""
     return rows.orderBy(hash_of(*map(F.col, keys)), *keys).limit(n)
@@ -73,6 +84,28 @@ def negative_pairs(left: DataFrame, right: DataFrame, excluded: DataFrame, n: in
     return sample(pairs.join(excluded.select("src", "dst").distinct(), ["src", "dst"], "left_anti"), n, "src", "dst")
 
 
+def negative_draws(left: DataFrame, right: DataFrame, excluded: DataFrame, n: int) -> DataFrame:
+    """N draws (draw, src, dst) with replacement from the pairs of left (src) and right (dst); only excluded pairs (src, dst) are rejected, repeats stay.
+
+    Each draw picks a place of either side by its digest, so it is two equi-joins on places and an anti join. Draws are half as many again as the
+    share of excluded pairs asks for, and 100; nothing comes back where a side is empty or every pair is excluded. Only three counts reach the driver.
+    """
+    sides = dense_index(left.select("src").where("src is not null"), "src", "_left"), dense_index(right.select("dst").where("dst is not null"), "dst", "_right")
+    out = excluded.select("src", "dst").distinct().join(sides[0].select("src"), "src", "left_semi").join(sides[1].select("dst"), "dst", "left_semi").select("src", "dst")
+    a, b, x = sides[0].count(), sides[1].count(), out.count()
+    draws = negative_draw_count(n, a, b, x)
+    drawn = left.sparkSession.range(draws).withColumnRenamed("id", "draw")
+    drawn = drawn.withColumn("_left", F.pmod(draw(F.lit("l"), F.col("draw")), F.lit(max(a, 1)))).withColumn("_right", F.pmod(draw(F.lit("r"), F.col("draw")), F.lit(max(b, 1))))
+    pairs = drawn.join(sides[0], "_left").join(sides[1], "_right").select("draw", "src", "dst")
+    return pairs.join(out, ["src", "dst"], "left_anti").select("draw", "src", "dst").orderBy("draw").limit(n)
+
+
+def negative_draw_count(n: int, left: int, right: int, excluded: int) -> int:
+    """Draws that negative_draws makes: none where every pair is excluded."""
+    free = left * right - excluded
+    return -(-3 * n * left * right // (2 * free)) + 100 if free > 0 else 0
+
+
 def by_source(positives: DataFrame, negatives: DataFrame, keys: list[str]) -> DataFrame:
     """For each source (positives hold an array `sources`) its positives and as many negatives, drawn by source without replacement.
 
@@ -88,12 +121,16 @@ def by_source(positives: DataFrame, negatives: DataFrame, keys: list[str]) -> Da
     return tagged.select(*columns).unionByName(drawn.withColumn("label", F.lit(0)).select(*columns))
 
 
+#: Where the distribution function of Poisson(1) steps.
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+
+
 def bootstrap(rows: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
     """Rows with replicate and weight, Poisson(1) draws from a hash of row and replicate: a bootstrap in one pass.
 
     rows need a key column `id`; weights of 0 are left out.
     """
-    u = (F.pmod(F.xxhash64("id", "replicate", F.lit(seed)), F.lit(1_000_000)) + 0.5) / 1_000_000
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    weight = sum((F.when(u > s, F.lit(1)).otherwise(F.lit(0)) for s in steps), F.lit(0))
-    return rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("weight", weight).where("weight > 0")
+    u = draw(F.col("id"), F.col("replicate"), F.lit(seed)) / F.lit(DRAWS)
+    weight = sum((F.when(F.col("_u") > s, F.lit(1)).otherwise(F.lit(0)) for s in POISSON), F.lit(0))
+    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_u", u)
+    return drawn.withColumn("weight", weight).where("weight > 0").drop("_u")

@@ -6,10 +6,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.operators import graph, learning, metrics
+from papyrine.operators import graph, learning, metrics, sampling
+from papyrine.plans import splits
 from papyrine.plans.base import query, table
 from papyrine.plans.graphs import sparse_edges
-from papyrine.plans.scores import joined_pairs
+from papyrine.plans.scores import _EDGES, _VEC, joined_pairs
 
 
 def labelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +29,8 @@ def relevance_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of vectors; a pair counts as linked if their first components agree in sign."""
-    pairs = joined_pairs(spark, sf_dir).withColumn("label", (F.signum(F.element_at("va", 1)) == F.signum(F.element_at("vb", 1))).cast("double"))
+    """Pairs of vectors; a pair counts as linked if their labels, which aren't among the features, agree."""
+    pairs = joined_pairs(spark, sf_dir).withColumn("label", (F.col("la") == F.col("lb")).cast("double"))
     return learning.pair_vectors(pairs).withColumn("id", F.col("a") * 1000 + F.col("b")).select("id", "a", "b", "features", "label")
 
 
@@ -63,10 +64,13 @@ def mlp_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted(spark, sf_dir, learning.perceptron(128, (16,), maxIter=20))
 
 
-@query("random_baseline")
+@query(
+    "random_baseline",
+    f"WITH {_VEC}, {_EDGES} SELECT a, b, CAST(x.label = y.label AS INT) AS label, {splits.d('a', 'b', str(learning.SEED))} / {sampling.DRAWS} AS score FROM e JOIN v x ON x.vec_id = a JOIN v y ON y.vec_id = b",
+)
 def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scores by chance, reproducible by key."""
-    score = F.pmod(F.xxhash64("a", "b", F.lit(learning.SEED)), F.lit(1_000_000)) / 1_000_000
+    score = sampling.draw(F.col("a"), F.col("b"), F.lit(learning.SEED)) / F.lit(sampling.DRAWS)
     return labelled_pairs(spark, sf_dir).select("a", "b", F.col("label").cast("int").alias("label"), score.alias("score"))
 
 
@@ -79,8 +83,9 @@ def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("expression_gbt")
 def expression_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expression predicted from vectors, correlations on the held-out tenth."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.element_at("embedding", 1).cast("double").alias("label"))
+    """Expression predicted from vectors, correlations on the held-out tenth. A vector's first component stands for expression and is no feature."""
+    vec = F.col("embedding").cast("array<double>")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.slice(vec, F.lit(2), F.size(vec) - 1)).alias("features"), F.element_at(vec, 1).alias("label"))
     model = learning.boosted_regression(maxIter=10).fit(e.where("vec_id % 10 <> 0"))
     return metrics.correlations(model.transform(e.where("vec_id % 10 = 0")), "label", "prediction")
 

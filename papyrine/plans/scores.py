@@ -29,9 +29,10 @@ def vector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joined_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b, va, vb) for pairs whose ends both have vectors; equi-joins on either end."""
+    """(a, b, va, vb, la, lb) for pairs whose ends both have vectors, with the labels of these; equi-joins on either end."""
     v = vectors(spark, sf_dir)
-    return vector_edges(spark, sf_dir).join(v.select(F.col("vec_id").alias("a"), F.col("vec").alias("va")), "a").join(v.select(F.col("vec_id").alias("b"), F.col("vec").alias("vb")), "b")
+    end = lambda x: v.select(F.col("vec_id").alias(x), F.col("vec").alias(f"v{x}"), F.col("label").alias(f"l{x}"))
+    return vector_edges(spark, sf_dir).join(end("a"), "a").join(end("b"), "b")
 
 
 @query("pair_features", f"WITH {_VEC}, {_EDGES} SELECT a, b, len(list_concat(x.vec, y.vec)) AS width, round(x.vec[1], 6) AS first, round(y.vec[-1], 6) AS last FROM e JOIN v x ON x.vec_id = a JOIN v y ON y.vec_id = b")
@@ -181,6 +182,21 @@ def best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.rounded(metrics.best_fit(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"), "slope", "intercept", places=4)
 
 
+@query(
+    "vocabulary_by_dot",
+    f"""WITH {_VEC}, p AS (SELECT vec AS ref FROM v WHERE vec_id = 12)
+SELECT vec_id, round(list_inner_product(vec, ref) / sqrt(list_inner_product(ref, ref)), 6) AS dot FROM v, p WHERE contains(CAST(vec_id AS VARCHAR), '12') ORDER BY list_inner_product(vec, ref) DESC, vec_id LIMIT 20""",
+)
+def vocabulary_by_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that contain a part, ranked by the dot product with the part's unit vector (a top-k report); ids stand for words."""
+    v = vectors(spark, sf_dir)
+    part = v.where("vec_id = 12").select(F.col("vec").alias("ref"))
+    dot = V.dot(F.col("vec"), F.col("ref"))
+    found = v.where(F.col("vec_id").cast("string").contains("12")).join(F.broadcast(part)).withColumn("_raw", dot)
+    best = found.orderBy(F.col("_raw").desc(), "vec_id").limit(20)
+    return best.select("vec_id", F.round(F.col("_raw") / F.sqrt(V.dot(F.col("ref"), F.col("ref"))), 6).alias("dot"))
+
+
 @query("paired_t", "SELECT round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) AS t, count(d) - 1 AS df FROM (SELECT l_discount - l_tax AS d FROM lineitem)")
 def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7, Q22"""

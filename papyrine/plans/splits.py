@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyrine.functions import patterns as P
 from papyrine.functions import vectors as V
-from papyrine.operators import graph, sampling
+from papyrine.operators import entities, graph, metrics, sampling
 from papyrine.plans.base import query, table
 from papyrine.plans.graphs import MENTIONS, mentions
 
@@ -89,15 +90,52 @@ def negative_leak_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return test.withColumn("side", F.lit("test")).unionByName(train.join(test, ["src", "dst"], "left_anti").withColumn("side", F.lit("train")))
 
 
-@query("negative_sample_gda")
+def d(*keys: str) -> str:
+    """sampling.draw in SQL."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 13) AS BIGINT)"
+
+
+@query(
+    "negative_sample_gda",
+    f"""WITH {MENTIONS}, known AS (SELECT DISTINCT gene AS src, disease AS dst FROM m), l AS (SELECT DISTINCT gene AS src FROM m),
+r AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS place FROM (SELECT DISTINCT disease AS dst FROM m)),
+n AS (SELECT there, least(there, CAST(ceil((8000 + known) / sources) AS BIGINT)) AS per FROM (SELECT (SELECT count(*) FROM r) AS there, (SELECT count(*) FROM l) AS sources, (SELECT count(*) FROM known) AS known)),
+a AS (SELECT src, there, per, unnest(range(per)) AS draw FROM l, n),
+p AS (SELECT DISTINCT src, dst FROM a JOIN r ON place = ({h("src")} + draw * greatest(1, there // per)) % there)
+SELECT src, dst FROM p WHERE (src, dst) NOT IN (SELECT (src, dst) FROM known) ORDER BY {h("src", "dst")}, src, dst LIMIT 2000""",
+)
 def negative_sample_gda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a bipartite graph that aren't in it; held by tests to be new, distinct and of the asked number."""
+    """Distinct pairs of a bipartite graph that aren't in it."""
     m = mentions(spark, sf_dir)
     known = m.select(F.col("gene").alias("src"), F.col("disease").alias("dst")).distinct()
     return sampling.negative_pairs(m.select(F.col("gene").alias("src")), m.select(F.col("disease").alias("dst")), known, 2_000)
 
 
-@query("negative_sample_ppi")
+@query(
+    "negative_draws",
+    f"""WITH {MENTIONS}, known AS (SELECT DISTINCT gene AS src, disease AS dst FROM m),
+l AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS place FROM (SELECT DISTINCT gene AS src FROM m)), r AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS place FROM (SELECT DISTINCT disease AS dst FROM m)),
+n AS (SELECT a, b, a * b - x AS free FROM (SELECT (SELECT count(*) FROM l) AS a, (SELECT count(*) FROM r) AS b, (SELECT count(*) FROM known) AS x)),
+drawn AS (SELECT a, b, unnest(range((3 * 2000 * a * b + 2 * free - 1) // (2 * free) + 100)) AS draw FROM n WHERE free > 0)
+SELECT draw, src, dst FROM drawn JOIN l ON l.place = {d("'l'", "draw")} % a JOIN r ON r.place = {d("'r'", "draw")} % b WHERE (src, dst) NOT IN (SELECT (src, dst) FROM known) ORDER BY draw LIMIT 2000""",
+)
+def negative_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws with replacement that reject known pairs only (a sampling operator: the limit is its feature)."""
+    m = mentions(spark, sf_dir).select(F.col("gene").alias("src"), F.col("disease").alias("dst"))
+    return sampling.negative_draws(m, m, m, 2_000)
+
+
+@query(
+    "negative_sample_ppi",
+    f"""WITH {MENTIONS}, g AS (SELECT DISTINCT doc_id, gene FROM m), w AS (SELECT p_partkey % 23 AS chrom, p_partkey AS g, p_partkey * 1000 AS s, p_partkey * 1000 + 500 AS e FROM part),
+o AS (SELECT a.gene AS src, b.gene AS dst FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.gene < b.gene UNION SELECT least(a.g, b.g), greatest(a.g, b.g) FROM w a JOIN w b ON a.chrom = b.chrom AND b.s < a.e + 100000 AND b.e > a.s - 100000),
+both_ways AS (SELECT src, dst FROM o UNION ALL SELECT dst, src FROM o), x AS (SELECT p_partkey AS src, p_partkey + 7 AS dst FROM part WHERE p_size = 1 AND (p_partkey, p_partkey + 7) NOT IN (SELECT (src, dst) FROM both_ways)),
+r AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS place FROM (SELECT DISTINCT gene AS dst FROM m)),
+n AS (SELECT there, least(there, CAST(ceil((12000 + known) / there) AS BIGINT)) AS per FROM (SELECT (SELECT count(*) FROM r) AS there, (SELECT count(*) FROM both_ways) AS known)),
+a AS (SELECT dst AS src, there, per, unnest(range(per)) AS draw FROM r, n), p AS (SELECT DISTINCT src, dst FROM a JOIN r ON place = ({h("src")} + draw * greatest(1, there // per)) % there),
+drawn AS (SELECT src, dst FROM p WHERE (src, dst) NOT IN (SELECT (src, dst) FROM both_ways) ORDER BY {h("src", "dst")}, src, dst LIMIT 3000)
+SELECT src, dst, 0 AS origin FROM x UNION ALL SELECT DISTINCT least(src, dst), greatest(src, dst), 1 FROM drawn WHERE src <> dst AND (least(src, dst), greatest(src, dst)) NOT IN (SELECT (src, dst) FROM x)""",
+)
 def negative_sample_ppi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Experimental negatives first, then drawn pairs; neither in the positives nor too near on a chromosome, in either orientation."""
     m = mentions(spark, sf_dir)
@@ -161,12 +199,19 @@ def stratified_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.by_source(positives, negatives, ["a", "b"])
 
 
-@query("bootstrap_intervals")
+@query(
+    "bootstrap_intervals",
+    f"""WITH b AS (SELECT p_type, p_retailprice, replicate, {d("p_partkey", "replicate", "42")} / {sampling.DRAWS} AS u FROM part, range(100) AS x(replicate)),
+w AS (SELECT p_type, p_retailprice, replicate, {' + '.join(f"CAST(u > CAST({s} AS DOUBLE) AS INT)" for s in sampling.POISSON)} AS weight FROM b),
+m AS (SELECT p_type, replicate, sum(CAST(p_retailprice AS DOUBLE) * weight) / sum(weight) AS m FROM w WHERE weight > 0 GROUP BY p_type, replicate)
+SELECT p_type, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.05), 6) AS low, round(quantile_cont(m, 0.95), 6) AS high FROM m GROUP BY p_type""",
+)
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean price by size with 5th and 95th percentile of 100 bootstrap replicates."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_type", "p_retailprice")
-    means = sampling.bootstrap(rows, 100).groupBy("p_type", "replicate").agg((F.sum(F.col("p_retailprice") * F.col("weight")) / F.sum("weight")).alias("m"))
-    return means.groupBy("p_type").agg(F.avg("m").alias("mean"), F.expr("percentile(m, 0.05)").alias("low"), F.expr("percentile(m, 0.95)").alias("high"))
+    means = sampling.bootstrap(rows, 100).groupBy("p_type", "replicate").agg((F.sum(F.col("p_retailprice").cast("double") * F.col("weight")) / F.sum("weight")).alias("m"))
+    out = means.groupBy("p_type").agg(F.avg("m").alias("mean"), F.expr("percentile(m, 0.05)").alias("low"), F.expr("percentile(m, 0.95)").alias("high"))
+    return metrics.rounded(out, "mean", "low", "high")
 
 
 @query("chromosome_split", "SELECT s_suppkey, CASE WHEN 'chr' || s_nationkey = 'chr1' THEN 'test' ELSE 'train' END AS split FROM supplier")
@@ -190,6 +235,17 @@ def pairs_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(e.where("label < 5").select(F.col("vec_id").alias("src")), "src", "left_semi").join(e.select(F.col("vec_id").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
+_DISEASES = f"d AS (SELECT DISTINCT p_partkey AS gene, ({P.STOPPED_DISEASES + ['gout', 'asthma', 'rickets']!r})[1 + p_size % 13] AS disease FROM part)"
+
+
+@query("stopped_diseases", f"WITH {_DISEASES} SELECT gene, disease FROM d WHERE disease NOT IN ({', '.join(map(repr, P.STOPPED_DISEASES))})")
+def stopped_diseases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """associations without the diseases of the stop list."""
+    names = F.array(*map(F.lit, [*P.STOPPED_DISEASES, "gout", "asthma", "rickets"]))
+    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), F.get(names, (F.col("p_size") % 13).cast("int")).alias("disease")).distinct()
+    return entities.without_stopped(pairs)
+
+
 @query("original_case", "WITH n AS (SELECT lower(p_brand) AS k, max(p_brand) AS name FROM part WHERE p_size > 5 GROUP BY 1) SELECT DISTINCT lower(p_brand || CASE WHEN p_size % 9 = 0 THEN 'x' ELSE '' END) AS k, coalesce(name, lower(p_brand || CASE WHEN p_size % 9 = 0 THEN 'x' ELSE '' END)) AS name FROM part LEFT JOIN n ON n.k = lower(p_brand || CASE WHEN p_size % 9 = 0 THEN 'x' ELSE '' END)")
 def original_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folded names back in their original case, themselves where unknown."""

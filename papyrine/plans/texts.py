@@ -183,21 +183,43 @@ def repeated_entities(found: DataFrame) -> DataFrame:
 SELECT doc_id, count(*) AS tokens, CAST(sum(pos) AS BIGINT) AS places FROM w WHERE NOT (before IS NOT NULL AND token = before AND token IN (SELECT token FROM en)) GROUP BY doc_id""",
 )
 def dedupe_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R12 without tiling"""
+    """The last step of R12 (retiled_documents has both)."""
     found = tokens(spark, sf_dir)
     kept = entities.drop_repeats(found, repeated_entities(found))
     return kept.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum("pos").alias("places"))
 
 
-@query("exact_tiling")
+#: The shortest entity at each place of each token, and the chain of those from its start.
+_TILES = f"""{_TOKENS}, {_ENTITIES}, s AS (SELECT token FROM en WHERE length(token) >= 2), k AS (SELECT DISTINCT length(token) AS n FROM s), u AS (SELECT DISTINCT token FROM t),
+z AS (SELECT token, unnest(range(length(token))) AS place FROM u), nx AS (SELECT z.token AS token, place, min(n) AS n FROM z, k WHERE substr(z.token, place + 1, n) IN (SELECT token FROM s) AND place + n <= length(z.token) GROUP BY ALL),
+c AS (SELECT token, 0 AS place, CAST([] AS VARCHAR[]) AS tiles FROM u UNION ALL SELECT c.token, c.place + nx.n, list_append(tiles, substr(c.token, c.place + 1, nx.n)) FROM c JOIN nx ON nx.token = c.token AND nx.place = c.place),
+f AS (SELECT u.token AS token, coalesce(c.tiles, []) AS tiles FROM u LEFT JOIN c ON c.token = u.token AND c.place = length(u.token)),
+st AS (SELECT token, tiles, CASE WHEN len(tiles) = 0 THEN [token] WHEN len(list_distinct(tiles)) = 1 THEN tiles[1:1] ELSE tiles END AS parts FROM f)"""
+
+
+@query("exact_tiling", f"WITH RECURSIVE {_TILES} SELECT token, CAST(len(tiles) AS INT) AS n_tiles, array_to_string(parts, '|') AS candidates FROM st")
 def exact_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens tiled by short frequent words, with what stands for each; tested against brute force."""
+    """Tokens tiled by short frequent words, with what stands for each."""
     found = tokens(spark, sf_dir)
     short = repeated_entities(found).where(F.length("token") >= 2)
     tiled = entities.tiled(found, short)
     return tiled.select("token", F.size("tiles").alias("n_tiles"), F.array_join(entities.candidates(F.col("tiles"), F.col("token")), "|").alias("candidates"))
 
 
+@query(
+    "retiled_documents",
+    f"""WITH RECURSIVE {_TILES}, x AS (SELECT doc_id, pos, generate_subscripts(parts, 1) AS part, unnest(parts) AS token FROM t JOIN st USING (token)),
+w AS (SELECT *, lag(token) OVER (PARTITION BY doc_id ORDER BY pos, part) AS before FROM x)
+SELECT doc_id, count(*) AS tokens, md5(string_agg(token, ' ' ORDER BY pos, part)) AS line FROM w WHERE NOT (before IS NOT NULL AND token = before AND token IN (SELECT token FROM s)) GROUP BY doc_id""",
+)
+def retiled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens tiled, then entities that repeat what was emitted before them dropped, by document."""
+    found = tokens(spark, sf_dir)
+    out = entities.retiled(found, repeated_entities(found).where(F.length("token") >= 2))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "part", "token"))), lambda x: x["token"])
+    return out.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.md5(F.array_join(ordered, " ").cast("binary")).alias("line"))
+
+
 @query("remove_entities", f"WITH {_TOKENS}, {_ENTITIES} SELECT doc_id, md5(string_agg(token, ' ' ORDER BY pos)) AS rest FROM t WHERE token NOT IN (SELECT token FROM en) GROUP BY doc_id")
 def remove_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order and the repeats of other tokens stay."""

@@ -223,3 +223,27 @@ def test_correlations_take_all_rows(spark, tmp_path):
     (out,) = registry.QUERIES["pearson_spearman"](spark, str(tmp_path)).collect()
     ranks = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
     assert abs(out["pearson"] - np.corrcoef(x, y)[0, 1]) < 1e-6 and abs(out["spearman"] - np.corrcoef(ranks(x), ranks(y))[0, 1]) < 1e-6
+
+
+def test_draws_with_replacement_reject_known_pairs_only(spark):
+    left, right = spark.createDataFrame([(1,), (2,), (2,), (None,)], "src int"), spark.createDataFrame([(7,), (8,)], "dst int")
+    known = spark.createDataFrame([(1, 7), (1, 7), (9, 9)], "src int, dst int")
+    rows = sampling.negative_draws(left, right, known, 50).collect()
+    assert len(rows) == 50 and {(r["src"], r["dst"]) for r in rows} == {(1, 8), (2, 7), (2, 8)}
+    assert len({r["draw"] for r in rows}) == 50
+    every = left.crossJoin(right)
+    assert sampling.negative_draws(left, right, every, 5).count() == 0
+    assert sampling.negative_draws(left.limit(0), right, known, 5).count() == 0
+
+
+def test_retiled_drops_repeats_across_tokens(spark):
+    rows = spark.createDataFrame([(1, 0, "abab"), (1, 1, "ab"), (1, 2, "x"), (1, 3, "x"), (1, 4, None), (1, 5, "abcd"), (1, 6, "cd"), (2, 0, "ab")], "doc_id int, pos int, token string")
+    known = spark.createDataFrame([("ab",), ("cd",)], "token string")
+    out = sorted((r["doc_id"], r["pos"], r["part"], r["token"]) for r in entities.retiled(rows, known).collect())
+    assert out == [(1, 0, 0, "ab"), (1, 2, 0, "x"), (1, 3, 0, "x"), (1, 4, 0, None), (1, 5, 0, "ab"), (1, 5, 1, "cd"), (2, 0, 0, "ab")]
+    assert entities.retiled(rows.limit(0), known).count() == 0
+
+
+def test_stopped_diseases(spark):
+    pairs = spark.createDataFrame([("g", "aniridia"), ("g", "gout"), ("h", None)], "gene string, disease string")
+    assert sorted(r["gene"] for r in entities.without_stopped(pairs).collect()) == ["g", "h"]
