@@ -247,3 +247,15 @@ def test_retiled_drops_repeats_across_tokens(spark):
 def test_stopped_diseases(spark):
     pairs = spark.createDataFrame([("g", "aniridia"), ("g", "gout"), ("h", None)], "gene string, disease string")
     assert sorted(r["gene"] for r in entities.without_stopped(pairs).collect()) == ["g", "h"]
+
+
+def test_needed_literals_are_in_every_match(spark):
+    assert X.needed(r"\(C\) [0-9]{4}") == ["(C) "]
+    assert X.needed(r"( All|All) (rights reserved|rights kept)") == ["rights "]
+    assert X.needed(r"(rights reserved|all kept)") == ["rights reserved", "all kept"]
+    assert X.needed(r"(abc)?[a-z]+") == [] and X.needed(r"x*|") == []
+    texts = ["", "ABC 12", "abc 12 abc", "no match", "　 kept \x85"]
+    for pattern, flags in ((r"abc [0-9]+", ""), (r"abc [0-9]+", "(?i)"), (r"[0-9]|m", "")):
+        got = [one(spark, lambda c, p=pattern, f=flags: X.delete(c, [p], f), t) for t in texts]
+        assert got == [re.sub(pattern, "", t, flags=re.I if flags else 0) for t in texts]
+    assert one(spark, X.strip, texts[-1]) == "kept"
