@@ -21,6 +21,8 @@ from papyrine.llm.common import held_out, table
 DOCUMENTS_PER_LANGUAGE, WINDOWS, WINDOW = 400, 128, 400
 #: Languages up to which the ids of the sample are broadcast.
 FEW_LANGUAGES = 2_000
+#: Groups that the documents of one language are dealt to where there are more languages than that.
+SALTS = 64
 #: Code points of a window when texts are scored.
 SCORED_WINDOW = 500
 _FRAME = b"<<0123456789=ABCDEFGH"
@@ -56,9 +58,15 @@ def fit(documents: DataFrame, modulus: int = 5, remainder: int = 0) -> dict[str,
     ids = documents.select("doc_id", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(modulus, remainder))
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
-    thinned = ids.withColumn("_order", order).join(sizes, "lang").where(F.col("_order") * F.col("n") < 2 * DOCUMENTS_PER_LANGUAGE + 50)
+    few = sizes.count() <= FEW_LANGUAGES  # then a row or a sample of each language is little enough to go to every task
+    if few:
+        sized = ids.join(F.broadcast(sizes), "lang")
+    else:  # a language that many documents have is dealt to SALTS groups
+        salts = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sized = ids.withColumn("_salt", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SALTS)).cast("int")).join(salts, ["lang", "_salt"]).drop("_salt")
+    thinned = sized.withColumn("_order", order).where(F.col("_order") * F.col("n") < 2 * DOCUMENTS_PER_LANGUAGE + 50)
     chosen = thinned.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id"))).where(F.col("_rank") <= DOCUMENTS_PER_LANGUAGE).select("doc_id", "lang")
-    if sizes.count() <= FEW_LANGUAGES:  # then the chosen ids are few enough to go to every task
+    if few:
         chosen = F.broadcast(chosen)
     ranked = documents.select("doc_id", "text").where(F.length("text") > 0).join(chosen, "doc_id")
     place = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.ceil(F.length("text") / WINDOW)).cast("int")

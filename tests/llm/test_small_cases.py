@@ -554,3 +554,10 @@ def test_split_rows(spark):
     ids = {r[0] for r in asked.select("doc_id").collect()}
     assert {k for k in range(0, 200, 10)} <= ids and len(ids) < 40
     assert ids | {r[0] for r in apart.select("doc_id").collect()} == set(range(200)) and apart.columns == d.columns
+
+
+def test_language_sample_is_the_same_with_dealt_languages(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("der hund und die katze " if i % 3 else "le chien et le chat ") * 9, "de" if i % 3 else "fr") for i in range(300)], "doc_id long, text string, lang string")
+    broadcast = language.fit(docs)
+    monkeypatch.setattr(language, "FEW_LANGUAGES", 0)
+    assert language.fit(docs) == broadcast and set(broadcast) == {"de", "fr"}
