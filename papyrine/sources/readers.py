@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -86,8 +86,16 @@ def disease_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bed(spark: SparkSession, path: str) -> DataFrame:
-    """S12, S13"""
-    return tsv(spark, path).select(F.col("_c0").alias("chrom"), F.col("_c1").cast("bigint").alias("start"), F.col("_c2").cast("bigint").alias("end"), F.col("_c3").alias("gene"))
+    """Intervals of genes; `coding` tells whether any field of the row says protein_coding."""
+    rows = tsv(spark, path)
+    coding = F.concat_ws("\t", *(F.col(f"`{c}`") for c in rows.columns)).contains("protein_coding")
+    return rows.select(F.col("_c0").alias("chrom"), F.col("_c1").cast("bigint").alias("start"), F.col("_c2").cast("bigint").alias("end"), F.col("_c3").alias("gene"), coding.alias("coding"))
+
+
+def bed_genes(intervals: DataFrame, coding: bool = True) -> DataFrame:
+    """(gene) of the rows of bed() that aren't on a sex or mitochondrial chromosome, protein-coding ones only on demand; repeats stay."""
+    genes = intervals.where(F.col("chrom").isNotNull() & ~F.col("chrom").isin("chrX", "chrY", "chrM"))
+    return (genes.where("coding") if coding else genes).select("gene")
 
 
 def expression(spark: SparkSession, path: str) -> DataFrame:
@@ -145,8 +153,15 @@ def labelled_edges(spark: SparkSession, path: str, keep: str | None = None) -> D
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, tokens) in order of the file."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), X.words(F.col("value")).alias("tokens"))
+    """(n, tokens), n from 0 without gaps in order of the file, so line n can be fetched by its number.
+
+    Lines are numbered where they are read; offsets come from one row a partition, so no line moves and no task sees all.
+    """
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), X.words(F.col("value")).alias("tokens"))
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(offsets, "_part").select((F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("n"), "tokens")
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:

@@ -56,3 +56,21 @@ def test_sinks(spark, tmp_path):
     assert rows(readers.tsv(spark, f"{at}/p", header=True).select("pmid", "year")) == [("1", "2001"), ("2", "N/A")]
     assert readers.articles(d, 2003).count() == 1 and readers.articles(d, 2003, 2006).count() == 1
     assert d.select(F.size("tokens")).count() == 2
+
+
+def test_bed_genes(spark, tmp_path):
+    (tmp_path / "g.bed").write_text("chr1\t1\t9\tWAS\t.\t+\tprotein_coding\nchrX\t1\t9\tA\t.\t+\tprotein_coding\nchr2\t3\t7\tB\t.\t-\tlncRNA\n")
+    rows = readers.bed(spark, str(tmp_path / "g.bed"))
+    assert [r["gene"] for r in readers.bed_genes(rows).collect()] == ["WAS"]
+    assert sorted(r["gene"] for r in readers.bed_genes(rows, coding=False).collect()) == ["B", "WAS"]
+
+
+def test_numbered_lines_have_no_gaps(spark, tmp_path):
+    (tmp_path / "lines.txt").write_text("".join(f"line {k}\n" for k in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = readers.numbered_lines(spark, str(tmp_path / "lines.txt"))
+        found = {r["n"]: r["tokens"] for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {k: ["line", str(k)] for k in range(500)}
