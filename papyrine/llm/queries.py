@@ -17,6 +17,7 @@ from papyrine.llm.pii import op6_pii
 from papyrine.llm.quality import op1_quality
 from papyrine.llm.substrings import op2_substrings
 from papyrine.llm.toxicity import op4_toxicity
+from papyrine.llm.whitening import op13_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_linededup": op9_linededup,
     "op10_nearest": op10_nearest,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = twins.ORACLES
