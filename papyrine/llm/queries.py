@@ -15,6 +15,7 @@ from papyrine.llm.nearest import op10_nearest
 from papyrine.llm.neardup import op7_neardup
 from papyrine.llm.pii import op6_pii
 from papyrine.llm.quality import op1_quality
+from papyrine.llm.resampling import op11_resampling
 from papyrine.llm.substrings import op2_substrings
 from papyrine.llm.toxicity import op4_toxicity
 from papyrine.llm.whitening import op13_whitening
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_linededup": op9_linededup,
     "op10_nearest": op10_nearest,
+    "op11_resampling": op11_resampling,
     "op13_whitening": op13_whitening,
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrine.llm import linededup, pii
+from papyrine.llm import linededup, pii, resampling
 from papyrine.llm.common import BLANKS
 
 _WORD = "[^" + "".join(f"\\x{ord(c):02X}" for c in BLANKS) + "]+"
@@ -136,4 +136,38 @@ FROM documents d LEFT JOIN done o USING (doc_id)
 """
 
 
-ORACLES = {"op6_pii": op6_sql(), "op7_neardup": op7_sql(), "op9_linededup": op9_sql()}
+def op11_sql() -> str:
+    """Buckets by a CRC over the bytes of each distinct word, from a table of 256 remainders made by its rule."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""
+WITH remainders AS MATERIALIZED (
+    SELECT list(list_reduce(list_prepend(n, range(0, 8)), lambda c, i: {step}) ORDER BY n) AS r FROM (SELECT unnest(range(0, 256))::BIGINT AS n)),
+texts AS (SELECT 's' AS side, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 't', NULL, coalesce(text, '') FROM benchmark),
+found AS MATERIALIZED (
+    SELECT side, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+counts AS MATERIALIZED (SELECT side, doc_id, word, count(*) AS n FROM (SELECT side, doc_id, unnest(w) AS word FROM found) GROUP BY ALL),
+kinds AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM counts),
+placed AS MATERIALIZED (
+    SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, r[(xor(c, b) & 255) + 1])), 4294967295) % {resampling.BUCKETS} AS bucket FROM kinds, remainders),
+totals AS (
+    SELECT bucket, coalesce(sum(n) FILTER (side = 's'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t FROM counts JOIN placed USING (word) GROUP BY bucket),
+gained AS (
+    SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (a + {resampling.BUCKETS})::DOUBLE) / ((s + 1)::DOUBLE * (b + {resampling.BUCKETS})::DOUBLE)))::BIGINT AS gain
+    FROM totals, (SELECT sum(s) AS a, sum(t) AS b FROM totals)),
+summed AS (
+    SELECT doc_id, sum(n * gain)::BIGINT AS total FROM counts JOIN placed USING (word) JOIN gained USING (bucket) WHERE side = 's' GROUP BY doc_id),
+weights AS (
+    SELECT f.doc_id, len(w)::BIGINT AS n_features,
+           CASE WHEN len(w) > 0 THEN (total - ((total % len(w)) + len(w)) % len(w)) // len(w) ELSE 0 END::BIGINT AS weight,
+           ('0x' || substr(sha256('{resampling.SEED}:' || f.doc_id), 1, 8))::BIGINT AS h
+    FROM found f LEFT JOIN summed x ON x.doc_id = f.doc_id WHERE side = 's'),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM weights),
+drawn AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= {resampling.LEAST})
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= {resampling.PERCENT} * n // 100 THEN rank END::BIGINT AS rank
+FROM scored s LEFT JOIN drawn USING (doc_id)
+"""
+
+
+ORACLES = {"op11_resampling": op11_sql(), "op6_pii": op6_sql(), "op7_neardup": op7_sql(), "op9_linededup": op9_sql()}
