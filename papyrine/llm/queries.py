@@ -17,6 +17,7 @@ from papyrine.llm.pii import op6_pii
 from papyrine.llm.quality import op1_quality
 from papyrine.llm.resampling import op11_resampling
 from papyrine.llm.substrings import op2_substrings
+from papyrine.llm.suffixes import op12_suffixes
 from papyrine.llm.toxicity import op4_toxicity
 from papyrine.llm.whitening import op13_whitening
 
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_linededup": op9_linededup,
     "op10_nearest": op10_nearest,
     "op11_resampling": op11_resampling,
+    "op12_suffixes": op12_suffixes,
     "op13_whitening": op13_whitening,
 }
 

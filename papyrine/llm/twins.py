@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrine.llm import linededup, pii, resampling
+from papyrine.llm import linededup, pii, resampling, suffixes
 from papyrine.llm.common import BLANKS
 
 _WORD = "[^" + "".join(f"\\x{ord(c):02X}" for c in BLANKS) + "]+"
@@ -170,4 +170,27 @@ FROM scored s LEFT JOIN drawn USING (doc_id)
 """
 
 
-ORACLES = {"op11_resampling": op11_sql(), "op6_pii": op6_sql(), "op7_neardup": op7_sql(), "op9_linededup": op9_sql()}
+def op12_sql(length: int = suffixes.LENGTH) -> str:
+    """Every string of `length` bytes as hexadecimal digits, grouped by itself; what covers a byte follows from the last repeated start before it."""
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * length}) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {length - 1})) AS p FROM d)),
+keyed AS MATERIALIZED (SELECT doc_id, p, md5(s) AS s FROM starts),
+twice AS (SELECT s FROM keyed GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM keyed SEMI JOIN twice USING (s)),
+islands AS (SELECT doc_id, p, sum((q IS NULL OR p > q + {length})::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hits),
+spans AS MATERIALIZED (SELECT doc_id, k, min(p) AS a, max(p) + {length} AS b FROM islands GROUP BY doc_id, k),
+gaps AS (
+    SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+    UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id),
+kept AS (
+    SELECT doc_id, string_agg(CASE WHEN g.b IS NULL THEN substr(h, 2 * g.a + 1) ELSE substr(h, 2 * g.a + 1, 2 * (g.b - g.a)) END, '' ORDER BY g.a) AS h
+    FROM gaps g JOIN d USING (doc_id) GROUP BY doc_id),
+summed AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id) LEFT JOIN summed s USING (doc_id)
+"""
+
+
+ORACLES = {"op12_suffixes": op12_sql(), "op11_resampling": op11_sql(), "op6_pii": op6_sql(), "op7_neardup": op7_sql(), "op9_linededup": op9_sql()}
