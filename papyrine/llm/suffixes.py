@@ -16,11 +16,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.llm.common import split_rows, stored, table, trim
+from papyrine.llm.common import drop_stored, split_rows, stored, table, trim
 
 #: Bytes of a string, and of the grams of the initial buckets.
 LENGTH, Q = 200, 48
@@ -28,11 +28,11 @@ LENGTH, Q = 200, 48
 RANGES = (64, 16, 4, 1)
 #: Bytes of a text that are hashed at once. A run that a bound cuts in two is refined like any other.
 CHUNK = 1 << 20
-#: Slices by which the spans of a text meet the rows that hold it: copies of one text aren't one task.
-SLICES = 16
+#: Classes of a bucket that one task refines; larger buckets are refined by rounds of shuffles, which no size of a bucket makes uneven.
+TOGETHER = 2_000
 #: Columns named so that they clash with none of the documents'.
-SPANS, KEPT, TEXT, _T1, _T2, _SLICE = (f"__papyrine_{x}" for x in ("spans", "kept", "text", "t1", "t2", "slice"))
-_RUNS = "h long, g long, doc long, t1 long, t2 long, at int, low int, high int, n int"
+SPANS, KEPT, TEXT, _DOC, _KEY = (f"__papyrine_{x}" for x in ("spans", "kept", "text", "doc", "key"))
+_RUNS = "h long, g long, doc long, key long, place long"
 _RNG = np.random.default_rng(20250214)
 _TABLE = _RNG.integers(0, 1 << 64, (2, 256), np.uint64)
 _R = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -81,29 +81,36 @@ def runs(raw: bytes, hashes: Hashes, length: int, q: int) -> tuple[np.ndarray, .
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (zip(*parts, strict=True) if parts else [[]] * 5))
 
 
+def _place(at: np.ndarray, low: np.ndarray, high: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """Pointer, distances and whether the run repeats within its text, in one number: rows of the largest shuffles hold five of them."""
+    return (at << 32) | (low << 17) | (high << 1) | again
+
+
+def _placed() -> tuple[Column, Column, Column]:
+    """Pointer and distances out of a place."""
+    return tuple(F.expr(x).cast("int") for x in ("shiftright(place, 32)", "shiftright(place, 17) & 32767L", "shiftright(place, 1) & 65535L"))
+
+
 def _runs(batches: Iterator[pa.RecordBatch], length: int, q: int) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct run of a text, with its number there. Runs that repeat within the text also give rows of null h: spans surely repeated."""
+    """A row for each distinct run of a text. Runs that repeat within the text also give rows of null h: spans surely repeated, start << 32 | end."""
     hashes = Hashes(CHUNK + length)
-    names = ["h", "g", "doc", "t1", "t2", "at", "low", "high", "n"]
+    names = ["h", "g", "doc", "key", "place"]
     for batch in batches:
         parts, spans = [], []
-        for text, doc, t1, t2 in zip(batch["text"].cast(pa.binary()), *(batch[c].to_numpy() for c in ("doc", "t1", "t2")), strict=True):
+        for text, doc, key in zip(batch["text"].cast(pa.binary()), *(batch[c].to_numpy() for c in ("doc", "key")), strict=True):
             raw = text.as_py()
             if raw is None or len(raw) < length:
                 continue
             h, g, at, low, high = runs(raw, hashes, length, q)
             _, first, inverse, n = np.unique(np.stack([h, g], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-            parts.append((h[first], g[first], *(np.full(len(first), x) for x in (doc, t1, t2)), at[first], low[first], high[first], n))
             again = n[inverse.ravel()] > 1
-            spans += [(t1, t2, a, b) for a, b in merged(at[again] - high[again], at[again] - low[again] + length)]
+            parts.append((h[first].view(np.int64), g[first].view(np.int64), np.full(len(first), doc), np.full(len(first), key), _place(at, low, high, again)[first]))
+            spans += [(doc, key, a << 32 | b) for a, b in merged(at[again] - high[again], at[again] - low[again] + length)]
         if parts:
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            arrays = [pa.array(c.view(np.int64)) for c in columns[:2]] + [pa.array(c, pa.int64()) for c in columns[2:5]] + [pa.array(c.astype(np.int32)) for c in columns[5:]]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts, strict=True)], names)
         if spans:
-            none, zero = pa.nulls(len(spans), pa.int64()), pa.array([0] * len(spans), pa.int32())
-            t1, t2, a, b = zip(*spans, strict=True)
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(a, pa.int32()), zero, pa.array(b, pa.int32()), zero], names)
+            none = pa.nulls(len(spans), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *(pa.array(x, pa.int64()) for x in zip(*spans, strict=True))], names)
     trim()
 
 
@@ -119,30 +126,83 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 def _regions(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of asked runs, with the classes that they stand for."""
-    names, kinds = ["h", "g", "whole", "low", "high", "raw"], (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+    names, kinds = ["h", "g", "whole", "small", "low", "high", "raw"], (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
     for batch in batches:
         out: list[tuple] = []
         for text, asked in zip(batch["text"].cast(pa.binary()), batch["asked"].to_pylist(), strict=True):
             raw = text.as_py()
-            out += [(x["h"], x["g"], x["whole"], x["low"], x["high"], raw[x["at"] - x["high"] : x["at"] - x["low"] + length]) for x in asked]
+            out += [(x["h"], x["g"], x["whole"], x["small"], x["low"], x["high"], raw[x["at"] - x["high"] : x["at"] - x["low"] + length]) for x in asked]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
     trim()
 
 
-def _cores(batches: Iterator[pa.RecordBatch], length: int, most: int, width: int) -> Iterator[pa.RecordBatch]:
-    """(h, g, whole, part, c1, c2): the identifier of the core of each of `parts`, ranges of `width` distances, that holds strings of the run.
+def _core(low: int, high: int, raw: bytes, part: int, width: int, length: int, most: int) -> bytes | None:
+    """What all strings at the distances of a range hold: the bytes from a before the pointer to length - b after it. None if the run has none of them.
+
+    A run with one string of the range has these bytes, whether or not it has the other strings.
+    """
+    a, b = part * width, min(part * width + width - 1, most)
+    return raw[high - a : high - b + length] if a <= high and b >= low else None
+
 
-    All strings at distances a to b hold the bytes from a before the pointer to length - b after it, and a run with one of them has these bytes.
+def refine_bucket(members: list[tuple], length: int, most: int, level: int = 0, parts: range | None = None) -> Iterator[tuple[int, int]]:
+    """(g, distance) of the strings of members (g, whole, low, high, raw) that aren't whole and that another member holds.
+
+    A bucket is split by the cores of each range of distances; what is left of it is refined by the ranges that this one is cut into.
     """
+    width = RANGES[level]
+    for part in range(most // width + 1) if parts is None else parts:
+        split: dict[bytes, list[tuple]] = {}
+        for m in members:
+            core = _core(m[2], m[3], m[4], part, width, length, most)
+            if core is not None:
+                split.setdefault(core, []).append(m)
+        for left in split.values():
+            if len(left) > 1 and not all(m[1] for m in left):
+                if width == 1:
+                    yield from ((m[0], part) for m in left if not m[1])
+                else:
+                    times = width // RANGES[level + 1]
+                    yield from refine_bucket(left, length, most, level + 1, range(part * times, part * times + times))
+
+
+def _refine(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(h, g, parts) of small buckets, whose rows follow one another."""
+
+    def done(h: int, bucket: dict[int, tuple]) -> list[tuple]:
+        found: dict[int, list[int]] = {}
+        for g, part in refine_bucket(list(bucket.values()), length, most):
+            found.setdefault(g, []).append(part)
+        return [(h, g, parts) for g, parts in found.items()]
+
+    names, kinds = ["h", "g", "parts"], (pa.int64(), pa.int64(), pa.list_(pa.int32()))
+    make = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+    now, bucket = None, {}
+    for batch in batches:
+        out: list[tuple] = []
+        for h, g, *rest in zip(*(batch[c].to_pylist() for c in ("h", "g", "whole", "low", "high", "raw")), strict=True):
+            if h != now:
+                out += done(now, bucket)
+                now, bucket = h, {}
+            bucket.setdefault(g, (g, *rest))  # rows that repeat an id and its text give the same class again
+        if out:
+            yield make(out)
+    if out := done(now, bucket):
+        yield make(out)
+    trim()
+
+
+def _cores(batches: Iterator[pa.RecordBatch], length: int, most: int, width: int) -> Iterator[pa.RecordBatch]:
+    """(h, g, whole, part, c1, c2): the identifier of the core of each of `parts`, ranges of `width` distances, that holds strings of the run."""
     names, kinds = ["h", "g", "whole", "part", "c1", "c2"], (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
     for batch in batches:
         out: list[tuple] = []
         for h, g, whole, low, high, raw, parts in zip(*(batch[c].to_pylist() for c in ("h", "g", "whole", "low", "high", "raw", "parts")), strict=True):
             for part in parts:
-                a, b = part * width, min(part * width + width - 1, most)
-                if a <= high and b >= low:
-                    d = xxhash.xxh3_128_digest(raw[high - a : high - b + length], seed=part)
+                core = _core(low, high, raw, part, width, length, most)
+                if core is not None:
+                    d = xxhash.xxh3_128_digest(core, seed=part)
                     out.append((h, g, whole, part, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -187,28 +247,39 @@ def refined(regions: DataFrame, length: int, q: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
-    """(t1, t2, spans) of the texts (doc, t1, t2, text) that hold a string of `length` bytes that starts twice: byte spans that cover those strings."""
+    """(doc, key, spans) of the texts (doc, key, text) that hold a string of `length` bytes that starts twice: byte spans that cover those strings."""
     found = stored(texts.mapInArrow(partial(_runs, length=length, q=q), _RUNS))
     every = found.where("h IS NOT NULL")
-    buckets = stored(every.groupBy("h").agg(F.sum("n").alias("k")).where("k > 1").select("h"))
+    buckets = every.groupBy("h").agg(F.sum(F.expr("1 + (place & 1L)")).alias("k")).where("k > 1").select("h")
+    buckets = stored(buckets)
     hot = stored(every.join(buckets.hint("merge"), "h"))
-    holder = F.min(F.struct("doc", "t1", "t2", "at", "low", "high")).alias("holder")
-    classes = stored(hot.groupBy("h", "g").agg((F.sum("n") > 1).alias("whole"), holder))
-    mixed = classes.groupBy("h").agg(F.count("*").alias("k"), F.min("whole").alias("whole")).where("k > 1 AND NOT whole").select("h")
-    asked = classes.join(mixed.hint("merge"), "h").select("holder.doc", "holder.t1", "holder.t2", F.struct("h", "g", "whole", "holder.at", "holder.low", "holder.high").alias("x"))
-    asked = stored(asked.groupBy("doc", "t1", "t2").agg(F.collect_list("x").alias("asked")))
-    near = split_rows(texts.withColumnRenamed("t1", "doc_id"), asked.select(F.col("t1").alias("doc_id")))[1].withColumnRenamed("doc_id", "t1")
-    bytes_of = near.join(asked.hint("merge"), ["doc", "t1", "t2"]).mapInArrow(partial(_regions, length=length), "h long, g long, whole boolean, low int, high int, raw binary")
-    # rows that repeat an id and its text give the same regions again
-    regions = stored(bytes_of.groupBy("h", "g", "whole", "low", "high").agg(F.first("raw").alias("raw")))
-    verdicts = classes.where("whole").select("h", "g", F.lit(None).cast("array<int>").alias("parts")).unionByName(refined(regions, length, q))
+    drop_stored(buckets)
+    whole = ((F.count("*") > 1) | (F.max(F.expr("place & 1L")) > 0)).alias("whole")
+    classes = stored(hot.groupBy("h", "g").agg(whole, F.min(F.struct("doc", "key", "place")).alias("holder")))
+    mixed = classes.groupBy("h").agg(F.count("*").alias("k"), F.min("whole").alias("whole")).where("k > 1 AND NOT whole").select("h", (F.col("k") <= TOGETHER).alias("small"))
+    asked = classes.join(mixed.hint("merge"), "h").select("h", "g", "whole", "small", "holder.*")
+    at, low, high = _placed()
+    asked = asked.select("doc", "key", F.struct("h", "g", "whole", "small", at.alias("at"), low.alias("low"), high.alias("high")).alias("x"))
+    asked = stored(asked.groupBy("doc", "key").agg(F.collect_list("x").alias("asked")))
+    near = split_rows(texts.withColumnRenamed("doc", "doc_id"), asked.select(F.col("doc").alias("doc_id")))[1].withColumnRenamed("doc_id", "doc")
+    schema = "h long, g long, whole boolean, small boolean, low int, high int, raw binary"
+    regions = stored(near.join(asked.hint("merge"), ["doc", "key"]).mapInArrow(partial(_regions, length=length), schema))
+    drop_stored(asked)
+    dealt = regions.where("small").select("h", "g", "whole", "low", "high", "raw").repartition("h").sortWithinPartitions("h")
+    parts = stored(dealt.mapInArrow(partial(_refine, length=length, most=length - q), "h long, g long, parts array<int>"))
+    large = regions.where("NOT small")
+    if large.limit(1).count():
+        parts = parts.unionByName(refined(large.groupBy("h", "g", "whole", "low", "high").agg(F.first("raw").alias("raw")), length, q))
+    verdicts = classes.where("whole").select("h", "g", F.lit(None).cast("array<int>").alias("parts")).unionByName(parts)
     span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
-    at = F.col("at")
-    whole = F.array(span(at - F.col("high"), at - F.col("low") + length))
-    judged = hot.select("h", "g", "t1", "t2", "at", "low", "high").distinct().join(verdicts.hint("merge"), ["h", "g"])
-    spans = judged.select("t1", "t2", F.when(F.col("parts").isNull(), whole).otherwise(F.transform("parts", lambda r: span(at - r, at - r + length))).alias("s"))
-    inside = found.where("h IS NULL").select("t1", "t2", "at", "high").distinct().select("t1", "t2", F.array(span(at, F.col("high"))).alias("s"))
-    return stored(spans.unionByName(inside).groupBy("t1", "t2").agg(F.flatten(F.collect_list("s")).alias("spans")))
+    run = F.array(span(at - high, at - low + length))
+    judged = hot.join(verdicts.hint("merge"), ["h", "g"])
+    spans = judged.select("doc", "key", F.when(F.col("parts").isNull(), run).otherwise(F.transform("parts", lambda r: span(at - r, at - r + length))).alias("s"))
+    inside = found.where("h IS NULL").select("doc", "key", F.array(span(F.expr("shiftright(place, 32)"), F.expr("place & 4294967295L"))).alias("s"))
+    out = stored(spans.unionByName(inside).groupBy("doc", "key").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans")))
+    for used in (found, hot, classes, regions):
+        drop_stored(used)
+    return out
 
 
 def dedup_suffixes(documents: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
@@ -220,18 +291,17 @@ def dedup_suffixes(documents: DataFrame, length: int = LENGTH, q: int = Q) -> Da
     Columns may have any names but those added here. An empty table gives none.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = documents.withColumns({TEXT: text, _T1: F.xxhash64(text), _T2: F.hash(text).cast("bigint")})
-    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc")
-    spans = repeated_spans(keyed.select(doc, F.col(_T1).alias("t1"), F.col(_T2).alias("t2"), F.col(TEXT).alias("text")), length, q)
+    # a text is known by its id and hash; rows of one id and one text share their spans, as equal texts do anyway
+    keyed = documents.withColumns({TEXT: text, _DOC: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), _KEY: F.xxhash64(text)})
+    spans = repeated_spans(keyed.select(F.col(_DOC).alias("doc"), F.col(_KEY).alias("key"), F.col(TEXT).alias("text")), length, q)
     # texts that lose nothing are neither shuffled nor read by Python again
-    names = [*documents.columns, TEXT, _T1, _T2]
-    bare = keyed.select(F.col(_T1).alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
-    idle, busy = (rows.select("row.*") for rows in split_rows(bare, spans.select(F.col("t1").alias("doc_id"))))
+    names = [*documents.columns, TEXT, _DOC, _KEY]
+    bare = keyed.select(F.col(_DOC).alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    idle, busy = (rows.select("row.*") for rows in split_rows(bare, spans.select(F.col("doc").alias("doc_id"))))
     kind = "array<struct<start:int,end:int>>"
     idle = idle.withColumns({SPANS: F.array().cast(kind), KEPT: F.col(TEXT).cast("binary")})
-    dealt = busy.withColumn(_SLICE, F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int"))
-    copies = spans.select(F.col("t1").alias(_T1), F.col("t2").alias(_T2), F.col("spans").alias(SPANS), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias(_SLICE))
-    met = dealt.join(copies.hint("merge"), [_T1, _T2, _SLICE], "left").withColumn(SPANS, F.coalesce(SPANS, F.array().cast(kind)))
+    met = busy.join(spans.select(F.col("doc").alias(_DOC), F.col("key").alias(_KEY), F.col("spans").alias(SPANS)).hint("merge"), [_DOC, _KEY], "left")
+    met = met.withColumn(SPANS, F.coalesce(SPANS, F.array().cast(kind)))
     out = [*documents.columns, SPANS, KEPT]
     schema = T.StructType([*documents.schema, *idle.select(SPANS, KEPT).schema])
     done = met.select(*(F.col(f"`{c}`") for c in documents.columns), TEXT, SPANS).mapInArrow(partial(_cut, names=out), schema)

@@ -52,6 +52,11 @@ def test_against_plain(spark, texts):
     assert held(spark, texts) == plain(texts, 200)
 
 
+def test_large_buckets(spark, texts, monkeypatch):
+    monkeypatch.setattr(suffixes, "TOGETHER", 1)  # each bucket is refined by rounds of shuffles
+    assert held(spark, texts) == plain(texts, 200)
+
+
 def test_other_lengths_and_chunks(spark, texts, monkeypatch):
     assert held(spark, texts, length=130, q=16) == plain(texts, 130)
     monkeypatch.setattr(suffixes, "CHUNK", 256)
