@@ -276,7 +276,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, q: int = Q) -> DataFr
     judged = hot.join(verdicts.hint("merge"), ["h", "g"])
     spans = judged.select("doc", "key", F.when(F.col("parts").isNull(), run).otherwise(F.transform("parts", lambda r: span(at - r, at - r + length))).alias("s"))
     inside = found.where("h IS NULL").select("doc", "key", F.array(span(F.expr("shiftright(place, 32)"), F.expr("place & 4294967295L"))).alias("s"))
-    out = stored(spans.unionByName(inside).groupBy("doc", "key").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans")))
+    out = stored(spans.unionByName(inside).groupBy("doc", "key").agg(F.flatten(F.collect_set("s")).alias("spans")))
     for used in (found, hot, classes, regions):
         drop_stored(used)
     return out
