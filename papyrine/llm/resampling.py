@@ -55,8 +55,9 @@ def _count(batches: Iterator[pa.RecordBatch], most: int, buckets: int) -> Iterat
             found = Counter(features(own, most) if most > 1 else own)
             if len(known) > REMEMBERED:
                 known.clear()
-            for f in found.keys() - known.keys():
-                known[f] = zlib.crc32(f) % buckets
+            for f in found:
+                if f not in known:
+                    known[f] = zlib.crc32(f) % buckets
             at, inverse = np.unique(np.fromiter(map(known.__getitem__, found), np.int32, len(found)), return_inverse=True)
             n = np.bincount(inverse, np.fromiter(found.values(), np.float64, len(found)), len(at)).astype(np.int64)  # whole numbers, far under 2^53
             n_words.append(len(own))
