@@ -120,3 +120,62 @@ def rounded(rows: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 def top(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """A top-k report."""
     return rows.orderBy(*order).limit(n)
+
+
+def _half_ratio(a: Column) -> Column:
+    """ln(gamma(a + 1/2) / gamma(a)) for a > 0: its asymptotic series at a + 30, brought down by the recurrence."""
+    up = a + 30
+    series = F.log(up) / 2 - 1 / (8 * up) + 1 / (192 * F.pow(up, F.lit(3.0))) - 1 / (640 * F.pow(up, F.lit(5.0))) + 17 / (14336 * F.pow(up, F.lit(7.0)))
+    return series + F.aggregate(F.sequence(F.lit(0), F.lit(29)), F.lit(0.0), lambda s, i: s + F.log((a + i) / (a + i + 0.5)))
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function by Lentz's method; as many terms as arguments of this size need."""
+    tiny = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+    terms = F.sequence(F.lit(1), (F.lit(60) + 4 * F.sqrt(F.greatest(a, b))).cast("int"))
+    first = 1 / tiny(1 - (a + b) * x / (a + 1))
+
+    def step(state: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for factor in (even, odd):
+            c, d = tiny(1 + factor / state["c"]), 1 / tiny(1 + factor * state["d"])
+            state = F.struct(c.alias("c"), d.alias("d"), (state["h"] * c * d).alias("h"))
+        return state
+
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    return F.aggregate(terms, start, step, lambda s: s["h"])
+
+
+def student_tails(t: Column, df: Column) -> Column:
+    """The probability that Student's variable of df degrees of freedom is farther from 0 than t: an incomplete beta function of df / 2 and 1 / 2."""
+    t, df = t.cast("double"), df.cast("double")
+    a, b, x, y = df / 2, F.lit(0.5), df / (df + t * t), t * t / (df + t * t)
+    front = F.exp(a * F.log(x) + b * F.log(y) + _half_ratio(a) - F.lit(0.5723649429247001))  # ln gamma(1/2)
+    inside = F.when(x < (a + 1) / (a + b + 2), front * _beta_fraction(a, b, x) / a).otherwise(1 - front * _beta_fraction(b, a, y) / b)
+    return F.when((df <= 0) | df.isNull() | t.isNull(), F.lit(None)).when(y == 0, F.lit(1.0)).when(x == 0, F.lit(0.0)).otherwise(inside)
+
+
+def student_quantile(level: float, df: Column, rounds: int = 40) -> Column:
+    """The t beyond which, on either side, lies 1 - level of Student's distribution: Newton's method from 0, which rises to it without overshooting."""
+    df = df.cast("double")
+    log_peak = _half_ratio(df / 2) - F.log(df * F.lit(3.141592653589793)) / 2
+    density = lambda t: F.exp(log_peak - (df + 1) / 2 * F.log1p(t * t / df))
+    step = lambda t, _: t + (student_tails(t, df) - F.lit(1 - level)) / (2 * density(t))
+    return F.when(df > 0, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.0), step))
+
+
+def paired_test(rows: DataFrame, a: str, b: str, level: float = 0.95, *by: str) -> DataFrame:
+    """M7: mean difference of pairs, t, df, two-sided p-value and the t-interval of the mean (of each `by`), from one aggregation.
+
+    Pairs with a null don't count. One pair, or differences that are all equal, have no t: all but the mean and df are null then.
+    """
+    d = F.col(a) - F.col(b)
+    sums = rows.groupBy(*by).agg(F.avg(d).alias("mean_difference"), F.stddev_samp(d).alias("_sd"), F.count(d).alias("_n"))
+    error = F.when((F.col("_n") > 1) & (F.col("_sd") > 0), F.col("_sd") / F.sqrt("_n"))
+    found = sums.withColumns({"df": F.col("_n") - 1, "_error": error}).withColumn("t", F.col("mean_difference") / F.col("_error"))
+    # the quantile depends on df alone and is found once for each
+    quantiles = found.where("_error IS NOT NULL").select("df").distinct().withColumn("_q", student_quantile(level, F.col("df")))
+    met = found.join(quantiles, "df", "left").withColumn("_half", F.col("_q") * F.col("_error"))
+    ends = [(F.col("mean_difference") + sign * F.col("_half")).alias(name) for sign, name in ((-1, "low"), (1, "high"))]
+    return met.select(*by, "mean_difference", "t", "df", student_tails(F.col("t"), F.col("df")).alias("p_value"), *ends)

@@ -228,3 +228,11 @@ def node2vec_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The walks that node embeddings are trained on."""
     walks = graph.random_walks(sparse_edges(spark, sf_dir), 5)
     return walks.select("start", F.array_join(F.transform("walk", lambda x: x.cast("string")), " ").alias("walk"))
+
+
+@query("biased_walks")
+def biased_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second-order walks over all parts and their suppliers, which return seldom and stay near; hash draws, so the same on every run."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct()
+    walks = graph.biased_walks(lines, 4, back=4.0, away=2.0)
+    return walks.select("start", "number", F.array_join(F.transform("walk", lambda x: x.cast("string")), " ").alias("walk"))
