@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import stored, table, trim
+from papyrine.llm.common import drop_stored, stored, table, trim
 
 BUCKETS, MOST_WORDS = 10_000, 1
 #: Documents need so many words to be drawn; the draw takes this share of them, in percent.
@@ -104,9 +104,10 @@ def gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataF
 
 def weighed(source: DataFrame, gained: DataFrame, slices: int = SLICES) -> DataFrame:
     """(row, doc_id, n_words, n_features, weight) of counted documents: each posting meets its bucket's gain, contributions are summed by document."""
-    dealt = _postings(source).withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int"))
-    copies = gained.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    contributions = dealt.join(copies.hint("shuffle_hash"), ["bucket", "slice"]).select("row", (F.col("n") * F.col("gain")).alias("c"))
+    place = lambda k: (F.col("bucket") * slices + k).alias("place")  # noqa: E731  bucket and slice in one number
+    dealt = _postings(source).select("row", "n", place(F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int")))
+    copies = gained.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select(place(F.col("slice")), "gain")
+    contributions = dealt.join(copies.hint("shuffle_hash"), "place").select("row", (F.col("n") * F.col("gain")).alias("c"))
     own = ["doc_id", "n_words", "n_features"]
     none = [F.lit(None).cast("bigint").alias(c) for c in own]
     summed = contributions.select("row", "c", *none).unionByName(source.select("row", F.lit(0).cast("bigint").alias("c"), *own))
@@ -142,7 +143,9 @@ def resample(documents: DataFrame, target: DataFrame, percent: int = PERCENT, le
     """
     source = counted(documents, most, buckets)
     asked = counted(target.select(F.lit(None).cast("bigint").alias("doc_id"), "text"), most, buckets)
-    scored = weighed(source, gains(source, asked, buckets)).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
+    scored = stored(weighed(source, gains(source, asked, buckets)).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)))
+    for used in (source, asked):
+        drop_stored(used)
     able = (F.col("n_words") >= least) & F.col("doc_id").isNotNull()
     found = ranked(scored.where(able), F.floor(F.lit(percent) * F.col("_all") / 100), [F.col("score").desc(), F.col("doc_id").asc(), F.col("row").asc()])
     rest = scored.where(~able).withColumn("rank", F.lit(None).cast("bigint"))
