@@ -29,16 +29,23 @@ _FRAME = b"<<0123456789=ABCDEFGH"
 #: Relative margin of the best over the second language below which a prediction counts as rejected.
 NARROW = 0.004
 UNDECIDED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Runs of letters, and of characters such as fractions and Roman numerals, which the pattern can't tell from letters.
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return any(c.isalpha() for run in _WORD.finditer(text or "") for c in run[0])
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, in lower case."""
+    out: list[str] = []
+    for run in _WORD.findall(text.lower()):
+        if run.isalpha():
+            out.append(run)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in run).split()
+    return out
 
 
 def windows(text: str) -> set[bytes]:
