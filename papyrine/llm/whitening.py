@@ -1,4 +1,4 @@
-"""Embedding whitening: one query sums the centred products of every pair of dimensions, LAPACK decomposes the covariance, projections are SQL.
+"""Embedding whitening: one aggregation sums the centred products of every pair of dimensions, LAPACK decomposes the covariance, projections are SQL.
 
 Vectors are counted in whole steps (floor of STEP times the entry), so sums, counts and deviations are exact. The fit list holds each distinct vector
 once; what comes back to the driver are sums for dimensions and for pairs of dimensions, whatever the number of rows.
@@ -6,7 +6,6 @@ once; what comes back to the driver are sums for dimensions and for pairs of dim
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -17,11 +16,9 @@ from papyrine.llm.common import stored, table
 
 #: Steps of an entry of 1.
 STEP = 256
-#: Dimensions of either side of a tile of pairs. A tile is one aggregation, whose columns and sums have to stay under the 100 fields that Spark
-#: compiles as a whole stage: 2,080 sums in a single aggregation took 34 seconds for 51,282 vectors of 64 entries, tiles of 8 by 8 took 9.
+#: Dimensions of either side of a tile of pairs: its columns and sums have to stay under the 100 fields that Spark compiles as a whole stage. 2,080 sums in
+#: one row took 34 seconds for 51,282 vectors of 64 entries.
 TILE = 8
-#: Tiles of one query: all pairs of 64 dimensions.
-TILES_AT_ONCE = 36
 #: Share of the largest eigenvalue below which a direction has no variance that doubles could tell from rounding.
 FLAT = 1e-12
 #: Columns named so that they clash with none of the table's.
@@ -68,15 +65,15 @@ def _projection(model: Whitening, k: int, centred: list[str]) -> str:
 
 
 def _products(centred: DataFrame, width: int) -> dict[tuple[int, int], float]:
-    """The sum of c_i * c_j for each pair i <= j: one query, an aggregation for each tile of pairs, each of which reads the columns of its tile."""
+    """The sum of c_i * c_j for each pair i <= j, from rows (c): one aggregation, in which each row meets every tile of pairs.
+
+    Tiles are summed within tasks first, so one row a task and tile is shuffled.
+    """
     starts = range(0, width, TILE)
-    tiles = [[(i, j) for i in range(a, min(a + TILE, width)) for j in range(b, min(b + TILE, width)) if i <= j] for a in starts for b in starts if a <= b]
-    sums = [centred.agg(F.expr(f"array({', '.join(f'sum(c{i} * c{j})' for i, j in pairs)})").alias("s")).withColumn("tile", F.lit(t)) for t, pairs in enumerate(tiles)]
-    found: dict[tuple[int, int], float] = {}
-    for at in range(0, len(sums), TILES_AT_ONCE):
-        for r in reduce(DataFrame.unionByName, sums[at : at + TILES_AT_ONCE]).collect():
-            found |= zip(tiles[r["tile"]], r["s"], strict=True)
-    return found
+    tiles = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in starts for b in starts if a <= b))
+    rows = centred.select("c", F.explode(tiles).alias("t")).select("t.a", "t.b", F.expr(f"slice(c, t.a + 1, {TILE})").alias("x"), F.expr(f"slice(c, t.b + 1, {TILE})").alias("y"))
+    sums = rows.groupBy("a", "b").agg(F.expr(f"array({', '.join(f'sum(get(x, {i}) * get(y, {j}))' for i in range(TILE) for j in range(TILE))})").alias("s"))
+    return {(r["a"] + i, r["b"] + j): r["s"][i * TILE + j] for r in sums.collect() for i in range(TILE) for j in range(TILE) if r["a"] + i <= r["b"] + j < width}
 
 
 def fit(rows: DataFrame, components: int = 4) -> Whitening | None:
@@ -91,7 +88,7 @@ def fit(rows: DataFrame, components: int = 4) -> Whitening | None:
     width, n = int(lengths[0]), int(lengths[1])
     own = once.where(F.col(_WIDTH) == width)
     sums = [int(s) for s in own.agg(*(F.sum(F.get(F.col(STEPS), F.lit(i)).cast("decimal(20,0)")) for i in range(width))).first()]
-    centred = stored(own.selectExpr(*(f"{c} AS c{i}" for i, c in enumerate(_centred(sums, n)))))
+    centred = stored(own.selectExpr(f"array({', '.join(_centred(sums, n))}) AS c"))
     covariance = np.empty((width, width))
     for (i, j), s in _products(centred, width).items():
         covariance[i, j] = covariance[j, i] = s / n
@@ -104,7 +101,7 @@ def fit(rows: DataFrame, components: int = 4) -> Whitening | None:
     k = len(order)
     if not k:
         return model
-    whitened = centred.selectExpr(*(f"{_projection(model, i, [f'c{d}' for d in range(width)])} AS w{i}" for i in range(k)))
+    whitened = centred.selectExpr(*(f"{_projection(model, i, [f'get(c, {d})' for d in range(width)])} AS w{i}" for i in range(k)))
     upper = [(i, j) for i in range(k) for j in range(i, k)]
     found = whitened.agg(*(F.covar_pop(f"w{i}", f"w{j}") for i, j in upper)).first()
     return model._replace(identity_error=max(abs(c - (i == j)) for c, (i, j) in zip(found, upper, strict=True)))
