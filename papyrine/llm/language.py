@@ -39,8 +39,11 @@ def has_letter(text: str | None) -> bool:
 
 def words(text: str) -> list[str]:
     """Runs of letters, in lower case."""
+    runs = _WORD.findall(text.lower())
+    if "".join(runs).isalpha():
+        return runs
     out: list[str] = []
-    for run in _WORD.findall(text.lower()):
+    for run in runs:
         if run.isalpha():
             out.append(run)
         else:
