@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions import patterns as P
+from papyrine.sources.shared import stored
 
 
 def invert_aliases(synonyms: DataFrame) -> DataFrame:
@@ -93,22 +94,96 @@ def tiling(token: str, entities: frozenset[str] | set[str], allow_spaces: bool =
     return out
 
 
-def tiled(tokens: DataFrame, entities: DataFrame, token: str = "token", most: int = 5_000_000) -> DataFrame:
-    """(token, tiles) of the distinct tokens. The dictionary goes to each task as a set, up to `most` entries; a larger one is refused.
+#: Parts that each prefix is dealt to when entities meet those that begin them.
+PREFIX_PARTS = 8
+#: Windows of one Arrow batch, in characters.
+WINDOW_CHARS = 4_000_000
 
-    Distinct tokens only are tiled, in Arrow batches.
+
+def prefix_free(entities: DataFrame) -> DataFrame:
+    """(token): the distinct entities that no other entity begins. The shortest entity that starts at a place is always one of these.
+
+    Proper prefixes meet entities in an equi-join. A prefix is dealt to PREFIX_PARTS parts by the hash of the longer entity, so that one that begins a
+    third of the dictionary isn't one task. Null and empty entities go.
     """
-    words = [r[0] for r in entities.select("token").where("token is not null").distinct().limit(most + 1).collect()]
-    if len(words) > most:
-        raise ValueError(f"dictionary of more than {most} entities")
-    known = frozenset(words)
+    known = entities.select("token").where("token is not null and token <> ''").distinct()
+    longer = known.where(F.length("token") > 1).withColumn("_deal", F.pmod(F.xxhash64("token"), F.lit(PREFIX_PARTS)))
+    cuts = longer.select("token", "_deal", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("_n"))
+    prefixes = cuts.select("token", "_deal", F.substring("token", F.lit(1), F.col("_n")).alias("_prefix"))
+    starts = known.select(F.col("token").alias("_prefix"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PREFIX_PARTS - 1).cast("bigint"))).alias("_deal"))
+    return known.join(prefixes.join(starts, ["_prefix", "_deal"]).select("token").distinct(), "token", "left_anti")
+
+
+def starting(windows: DataFrame, core: DataFrame) -> DataFrame:
+    """(window, n): distinct windows that start with an entity of core, and that entity's length.
+
+    core (token) is prefix-free, so among the sorted entities the last one that isn't greater than a window is the only one that can begin it. Windows
+    and entities are sorted together by range; each window takes the entity before it, and a range begins with the last entity of those before it (one
+    row a range). No task holds more of the dictionary than its range.
+    """
+    both = core.select(F.col("token").alias("_text"), F.col("token").alias("_entity")).unionByName(windows.select(F.col("window").alias("_text"), F.lit(None).cast("string").alias("_entity")))
+    at = F.struct("_text", F.col("_entity").isNull())  # an entity before the window that equals it
+    ranged = stored(both.repartitionByRange("_text").withColumn("_part", F.spark_partition_id()))
+    ends = ranged.groupBy("_part").agg(F.max("_entity").alias("_end"))
+    carried = ends.select("_part", F.last("_end", True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    inside = F.last("_entity", True).over(Window.partitionBy("_part").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    met = ranged.withColumn("_last", inside).where(F.col("_entity").isNull()).join(F.broadcast(carried), "_part").withColumn("_last", F.coalesce("_last", "_carried"))
+    return met.where(F.startswith("_text", "_last")).select(F.col("_text").alias("window"), F.length("_last").alias("n"))
+
+
+def chained(text: str, places: list[int], sizes: list[int]) -> list[str]:
+    """The tiles from the start of text, given the size of the entity that starts at each place; none if they miss its end."""
+    size_at = dict(zip(places, sizes, strict=True))
+    out, at = [], 0
+    while at < len(text):
+        if (n := size_at.get(at)) is None:
+            return []
+        out.append(text[at : at + n])
+        at += n
+    return out
+
+
+def _windows(width: int):
+    """Rows (key, place, window) of each text's places, in batches of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, WINDOW_CHARS // width)
         for batch in batches:
-            found = batch["token"].to_pylist()
-            yield pa.RecordBatch.from_arrays([batch["token"], pa.array([tiling(t, known) for t in found], pa.list_(pa.string()))], ["token", "tiles"])
+            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                for first in range(0, len(text), most):
+                    places = range(first, min(len(text), first + most))
+                    windows = [text[i : i + width] for i in places]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(places)), pa.array(places, pa.int32()), pa.array(windows)], ["key", "place", "window"])
+
+    return run
+
 
-    return tokens.select(F.col(token).alias("token")).where("token is not null").distinct().mapInArrow(run, "token string, tiles array<string>")
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tiles = [chained(t, [s["place"] for s in steps], [s["n"] for s in steps]) for t, steps in zip(batch["text"].to_pylist(), batch["steps"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["key"], pa.array(tiles, pa.list_(pa.string()))], ["key", "tiles"])
+
+
+def tiled(tokens: DataFrame, entities: DataFrame, token: str = "token", allow_spaces: bool = False) -> DataFrame:
+    """(token, tiles) of the distinct tokens, as `tiling` defines tiles, for a dictionary (token) of any size.
+
+    The dictionary stays a table: no task and not the driver holds it. Only tokens that begin with an entity are looked at place by place; what goes to
+    the sort is each distinct window as long as the longest entity. Null tokens are left out; empty ones, and all where the dictionary is empty, have
+    no tiles; null and empty entities are ignored. Other columns are dropped.
+    """
+    text = F.col("token") if allow_spaces else F.replace("token", F.lit(" "), F.lit(""))
+    asked = tokens.select(F.col(token).alias("token")).where("token is not null").distinct()
+    core = stored(prefix_free(entities))
+    width = core.agg(F.max(F.length("token"))).first()[0]
+    none = F.array().cast("array<string>")
+    if width is None:
+        return asked.withColumn("tiles", none)
+    texts = asked.select(F.md5("token").alias("key"), text.alias("text")).withColumn("window", F.substring("text", 1, width)).where("text <> ''")
+    begun = stored(texts.join(starting(texts.select("window").distinct(), core).select("window"), "window").select("key", "text"))
+    places = stored(begun.mapInArrow(_windows(width), "key string, place int, window string"))
+    steps = places.join(starting(places.select("window").distinct(), core), "window").groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("steps"))
+    found = begun.join(steps, "key").mapInArrow(_chains, "key string, tiles array<string>")
+    return asked.withColumn("key", F.md5("token")).join(found, "key", "left").select("token", F.coalesce("tiles", none).alias("tiles"))
 
 
 def candidates(tiles: Column, token: Column) -> Column:

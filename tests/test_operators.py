@@ -259,3 +259,32 @@ def test_needed_literals_are_in_every_match(spark):
         got = [one(spark, lambda c, p=pattern, f=flags: X.delete(c, [p], f), t) for t in texts]
         assert got == [re.sub(pattern, "", t, flags=re.I if flags else 0) for t in texts]
     assert one(spark, X.strip, texts[-1]) == "kept"
+
+
+def test_tiles_of_any_dictionary_equal_the_definition(spark):
+    rng = np.random.default_rng(11)
+    word = lambda least, most: "".join(rng.choice(list("aab\u00e9 "), rng.integers(least, most)))
+    for size, spaces in ((3, False), (40, True), (400, False)):
+        known = {word(1, 7) for _ in range(size)} | ({"a"} if size == 40 else set())
+        found = sorted({word(0, 12) for _ in range(400)} | {"ab" * 3000, "a" * 5000 + "b"})
+        t = spark.createDataFrame([(w, 1) for w in [*found, None, found[0]]], "token string, tiles int")
+        e = spark.createDataFrame([(w, "x") for w in [*known, *known, None, ""]], "token string, key string")
+        got = {r["token"]: r["tiles"] for r in entities.tiled(t, e, allow_spaces=spaces).collect()}
+        assert got == {w: entities.tiling(w, known, spaces) for w in found}
+    assert {tuple(r["tiles"]) for r in entities.tiled(t, e.limit(0)).collect()} == {()}
+
+
+def test_dictionary_is_cut_into_ranges(spark):
+    """Most entities begin with one letter, and each still lies in one of many ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = 20_000
+        e = spark.range(n).select(F.concat(F.lit("gene"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit("x")).alias("token"))
+        core = entities.prefix_free(e.union(spark.createDataFrame([("gene000007",)], "token string")))
+        assert core.count() == n and core.where("token = 'gene000007x'").count() == 0
+        t = spark.range(0, n, 7).select(F.concat(F.lit("gene"), F.lpad(F.col("id").cast("string"), 6, "0"), F.when(F.col("id") % 2 == 0, "xgene000003x").otherwise("y")).alias("token"))
+        got = entities.tiled(t, e).select(F.size("tiles").alias("n")).groupBy("n").count().collect()
+        even = len(range(0, n, 14))
+        assert {r["n"]: r["count"] for r in got} == {2: even, 0: len(range(0, n, 7)) - even}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
