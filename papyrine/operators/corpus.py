@@ -26,7 +26,7 @@ def tfidf(found: DataFrame, doc: str = "doc_id") -> DataFrame:
     """
     counts = found.groupBy(doc, "term").agg(F.count("*").alias("tf"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    n = found.agg(F.count_distinct(doc).alias("n"))
+    n = counts.groupBy(doc).agg(F.lit(1).alias("_one")).agg(F.count("*").alias("n"))
     raw = counts.join(df, "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return raw.withColumn("weight", F.col("w") / length).select(doc, "term", "weight")
@@ -75,23 +75,39 @@ def apply_phrases(tokens: DataFrame, phrases: DataFrame, doc: str = "doc_id", po
     return out.select(doc, position, F.when(F.col("_wins"), F.concat("token", F.lit("_"), "_b")).otherwise(F.col("token")).alias("token"))
 
 
-def pooled_means(occurrences: DataFrame, doc: str = "doc_id") -> DataFrame:
+def _entries(vec: str, width: int) -> list[Column]:
+    """The entries of an array column as columns; null beyond its end."""
+    return [F.get(vec, F.lit(k)).cast("double") for k in range(width)]
+
+
+def _by_entry(rows: DataFrame, values: list[Column], *keys: str) -> DataFrame:
+    """(keys, i, value): a row for each value that isn't null."""
+    return rows.select(*keys, F.posexplode(F.array(*values)).alias("i", "value")).where("value is not null")
+
+
+def pooled_means(occurrences: DataFrame, width: int, doc: str = "doc_id") -> DataFrame:
     """(token, i, value): each occurrence of an entity in a document gets the mean vector of all of them there; values average over occurrences.
 
-    occurrences: (doc_id, token, vec). A token that occurs twice counts twice. Aggregated by component with map-side combination.
+    occurrences: (doc_id, token, vec) with vectors of at most `width` entries, a bound of the model, not of the data. A token that occurs twice counts
+    twice. An entry counts where a vector has it. Entries are summed side by side in one row a document and one a token, map-side first.
     """
-    parts = occurrences.select(doc, F.posexplode("vec").alias("i", "x"))
-    pooled = parts.groupBy(doc, "i").agg(F.avg(F.col("x").cast("double")).alias("p"))
-    times = occurrences.groupBy(doc, "token").agg(F.count("*").alias("c"))
-    return times.join(pooled, doc).groupBy("token", "i").agg((F.sum(F.col("p") * F.col("c")) / F.sum("c")).alias("value"))
+    pooled = occurrences.groupBy(doc).agg(*(F.avg(x).alias(f"_p{k}") for k, x in enumerate(_entries("vec", width))))
+    times = occurrences.groupBy(doc, "token").agg(F.count("*").alias("_c"))
+    met = times.join(pooled, doc)
+    means = [F.try_divide(F.sum(F.col(f"_p{k}") * F.col("_c")), F.sum(F.when(F.col(f"_p{k}").isNotNull(), F.col("_c")))) for k in range(width)]
+    out = met.groupBy("token").agg(*(m.alias(f"_m{k}") for k, m in enumerate(means)))
+    return _by_entry(out, [F.col(f"_m{k}") for k in range(width)], "token")
+
 
+def attention_pool(occurrences: DataFrame, weights: Column, width: int, doc: str = "doc_id") -> DataFrame:
+    """(doc_id, i, value): vectors of `width` entries weighted by the softmax of their product with `weights`.
 
-def attention_pool(occurrences: DataFrame, weights: Column, doc: str = "doc_id") -> DataFrame:
-    """(doc_id, i, value): vectors weighted by the softmax of their product with `weights`."""
+    One row a document: entries are summed side by side, map-side first. Exponents are taken from the document's largest product.
+    """
     from papyrine.functions.vectors import dot
 
-    scored = occurrences.select(doc, "vec", dot(F.col("vec"), weights).alias("s"))
-    top = scored.groupBy(doc).agg(F.max("s").alias("m"))
-    shares = scored.join(top, doc).withColumn("e", F.exp(F.col("s") - F.col("m")))
-    parts = shares.select(doc, "e", F.posexplode("vec").alias("i", "x"))
-    return parts.groupBy(doc, "i").agg((F.sum(F.col("x").cast("double") * F.col("e")) / F.sum("e")).alias("value"))
+    scored = occurrences.select(doc, "vec", dot(F.col("vec"), weights).alias("_s"))
+    top = scored.groupBy(doc).agg(F.max("_s").alias("_top"))
+    shares = scored.join(top, doc).withColumn("_e", F.exp(F.col("_s") - F.col("_top")))
+    sums = shares.groupBy(doc).agg(F.sum("_e").alias("_all"), *(F.sum(x * F.col("_e")).alias(f"_t{k}") for k, x in enumerate(_entries("vec", width))))
+    return _by_entry(sums, [F.col(f"_t{k}") / F.col("_all") for k in range(width)], doc)

@@ -137,11 +137,13 @@ def range_join_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.range_join(left, right, "chrom", 3600).select("chrom", "a", "b")
 
 
-_SPARSE = "p AS (SELECT p_partkey AS src, p_partkey + 1 + p_size % 3 AS dst FROM part WHERE p_size % 4 <> 0)"
+_SPARSE = "p AS (SELECT p_partkey AS src, p_partkey - p_partkey % 64 + (p_partkey + 1 + p_size % 3) % 64 AS dst FROM part)"
 
 
 def sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_size % 4 <> 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1 + F.col("p_size") % 3).alias("dst"))
+    """An edge from each part to a later one of its block of 64 keys, round the block's end."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(key.alias("src"), (key - key % 64 + (key + 1 + F.col("p_size") % 3) % 64).alias("dst"))
 
 
 @query(
@@ -212,13 +214,15 @@ def mapped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sage_mean",
-    """WITH e AS (SELECT DISTINCT (doc_id * 7) % 500 AS a, (doc_id * 13 + 1) % 500 AS b FROM labels), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    """WITH e AS (SELECT DISTINCT (doc_id * 7) % z AS a, (doc_id * 13 + 1) % z AS b FROM labels, (SELECT max(vec_id) + 1 AS z FROM embeddings)), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
 SELECT a AS node, CAST(i AS INT) AS i, round(avg(CAST(x AS DOUBLE)), 6) AS value FROM u JOIN v ON vec_id = b GROUP BY a, i""",
 )
 def sage_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hop of neighbourhood means."""
-    edges = table(spark, sf_dir, "labels").select(((F.col("doc_id") * 7) % 500).alias("src"), ((F.col("doc_id") * 13 + 1) % 500).alias("dst")).distinct()
+    """One hop of neighbourhood means over the whole range of vectors."""
+    ids = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("z"))
+    labels = table(spark, sf_dir, "labels").join(F.broadcast(ids))
+    edges = labels.select(((F.col("doc_id") * 7) % F.col("z")).alias("src"), ((F.col("doc_id") * 13 + 1) % F.col("z")).alias("dst")).distinct()
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vec"))
     return graph.mean_neighbours(edges, vectors).withColumn("value", F.round("value", 6))
 

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrine.operators import boosted, graph, learning, metrics, sampling
+from papyrine.operators import boosted, graph, learning, metrics, relevance, sampling
 from papyrine.plans import splits
 from papyrine.plans.base import query, table
 from papyrine.plans.graphs import sparse_edges
@@ -14,31 +14,39 @@ from papyrine.plans.scores import _EDGES, _VEC, joined_pairs
 from papyrine.sources.shared import stored
 
 
-def labelled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("relevance_lr")
+def relevance_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relevance classifier of words and pairs of words, fitted on four fifths of the labelled texts; one row for each held-out text."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([^\s]+)"), F.lit(1))
-    return table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).join(labels, "doc_id")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(learning.SEED)), F.lit(5))
+    model = relevance.fit(documents, labels.where(fold != 0), relevance.Settings(selected=300))
+    return relevance.score(documents, model).join(labels.where(fold == 0), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "score", (F.col("score") > 0.5).cast("int").alias("prediction"))
 
 
-@query("relevance_lr")
-def relevance_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A relevance classifier trained on four fifths of the labelled texts; one row for each held-out text."""
-    rows = labelled_words(spark, sf_dir)
-    train, test = rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 5 = 0")
-    model = learning.text_pipeline(vocabulary=5_000, selected=300, n=train.count()).fit(train)
-    return learning.probability(model, test).select("doc_id", F.col("label").cast("int").alias("label"), "score", F.col("prediction").cast("int").alias("prediction"))
+@query("relevance_finetuned")
+def relevance_finetuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the labelled texts of all languages but one, then tuned by short steps on half of that one's; every text of its other half, by both models."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = documents.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id").select("doc_id", "label", "lang")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(learning.SEED)), F.lit(2))
+    shared = relevance.fit(documents, labels.where("lang <> 'de'"), relevance.Settings(selected=300))
+    tuned = relevance.tune(shared, documents, labels.where(F.col("lang").eqNullSafe("de") & (half == 0)), steps=20)
+    asked = documents.where(F.col("lang").eqNullSafe("de") & (half == 1))
+    both = relevance.score(asked, shared).withColumnRenamed("score", "before").join(relevance.score(asked, tuned), "doc_id")
+    return both.join(labels, "doc_id", "left").select("doc_id", F.col("label").cast("int").alias("label"), "before", "score")
 
 
 def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors; a pair counts as linked if their labels, which aren't among the features, agree."""
     pairs = joined_pairs(spark, sf_dir).withColumn("label", (F.col("la") == F.col("lb")).cast("double"))
-    return learning.pair_vectors(pairs).withColumn("id", F.col("a") * 1000 + F.col("b")).select("id", "a", "b", "features", "label")
+    return learning.pair_vectors(pairs).withColumn("id", F.xxhash64("a", "b", F.lit(learning.SEED))).select("id", "a", "b", "features", "label")
 
 
 def fitted(spark: SparkSession, sf_dir: str, estimator) -> DataFrame:
     rows = labelled_pairs(spark, sf_dir)
-    model = estimator.fit(rows.where("id % 4 <> 0"))
-    return learning.probability(model, rows.where("id % 4 = 0")).select("a", "b", F.col("label").cast("int").alias("label"), "score")
+    model = estimator.fit(rows.where("pmod(id, 4) <> 0"))
+    return learning.probability(model, rows.where("pmod(id, 4) = 0")).select("a", "b", F.col("label").cast("int").alias("label"), "score")
 
 
 @query("gbt_pairs")

@@ -93,12 +93,19 @@ def collected_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
 
 
-_OCC = "o AS (SELECT l_orderkey AS doc_id, l_partkey % 50 AS token, vec FROM lineitem JOIN v ON vec_id = l_linenumber * 10 + l_suppkey % 10)"
+_OCC = "o AS (SELECT l_orderkey AS doc_id, l_partkey % 50 AS token, vec FROM lineitem JOIN v ON vec_id = (l_linenumber * 1009 + l_suppkey) % (SELECT max(vec_id) + 1 FROM embeddings))"
+
+
+#: Entries of a vector of the tables.
+WIDTH = 64
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 50).alias("token"), (F.col("l_linenumber") * 10 + F.col("l_suppkey") % 10).alias("vec_id"))
-    return lines.join(vectors(spark, sf_dir).select("vec_id", "vec"), "vec_id").select("doc_id", "token", "vec")
+    """(doc_id, token, vec): every line mentions a part in an order; its vector is any of the whole table (the range of ids is one row)."""
+    ids = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("z"))
+    lines = table(spark, sf_dir, "lineitem").join(F.broadcast(ids))
+    mentions = lines.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 50).alias("token"), ((F.col("l_linenumber") * 1009 + F.col("l_suppkey")) % F.col("z")).alias("vec_id"))
+    return mentions.join(vectors(spark, sf_dir).select("vec_id", "vec"), "vec_id").select("doc_id", "token", "vec")
 
 
 @query(
@@ -108,7 +115,7 @@ t AS (SELECT doc_id, token, count(*) AS c FROM o GROUP BY doc_id, token) SELECT
 )
 def pooled_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A11"""
-    return metrics.rounded(corpus.pooled_means(occurrences(spark, sf_dir)), "value")
+    return metrics.rounded(corpus.pooled_means(occurrences(spark, sf_dir), WIDTH), "value")
 
 
 @query(
@@ -118,8 +125,8 @@ e AS (SELECT s.doc_id, exp(s - m) AS e, unnest(vec) AS x, generate_subscripts(ve
 )
 def attention_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12 with fixed weights."""
-    weights = F.array(*(F.lit(float(k % 5) - 2) for k in range(64)))
-    return metrics.rounded(corpus.attention_pool(occurrences(spark, sf_dir), weights), "value")
+    weights = F.array(*(F.lit(float(k % 5) - 2) for k in range(WIDTH)))
+    return metrics.rounded(corpus.attention_pool(occurrences(spark, sf_dir), weights, WIDTH), "value")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,12 +358,12 @@ def gda_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "random_members",
-    f"""WITH {_EDGES}, {_VEC}, n AS (SELECT vec_id AS g, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM v WHERE label = 1), z AS (SELECT count(*) AS z FROM n),
+    f"""WITH {_EDGES}, {_VEC}, n AS (SELECT vec_id AS g, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM v), z AS (SELECT count(*) AS z FROM n),
 d AS (SELECT a, b, k, ({h('a', 'b')} + k) % z AS i FROM e, z, (SELECT unnest(range(0, 3)) AS k)) SELECT a, b, arg_min(g, k) AS g FROM d JOIN n USING (i) WHERE g <> a AND g <> b GROUP BY a, b""",
 )
 def random_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each pair another member, at the hashed place of the pair among all members or, where that is one of the pair, at the places after it."""
-    pool = graph.dense_index(vectors(spark, sf_dir).where("label = 1").select(F.col("vec_id").alias("g")), "g", "_place")
+    pool = graph.dense_index(vectors(spark, sf_dir).select(F.col("vec_id").alias("g")), "g", "_place")
     sizes = pool.agg(F.count("*").alias("_z"))
     asked = vector_edges(spark, sf_dir).join(F.broadcast(sizes)).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(2))))
     drawn = asked.withColumn("_place", F.pmod(hash_of(F.col("a"), F.col("b")) + F.col("_k"), F.col("_z")).cast("bigint")).join(pool, "_place").where("g <> a and g <> b")

@@ -175,7 +175,7 @@ def test_phrases(spark):
 
 def test_pooling(spark):
     o = spark.createDataFrame([(1, "a", [1.0]), (1, "a", [3.0]), (1, "b", [5.0]), (2, "a", [7.0])], "doc_id int, token string, vec array<double>")
-    assert rows(corpus.pooled_means(o)) == [("a", 0, (3.0 + 3.0 + 7.0) / 3), ("b", 0, 3.0)]
+    assert rows(corpus.pooled_means(o, 2)) == [("a", 0, (3.0 + 3.0 + 7.0) / 3), ("b", 0, 3.0)]
 
 
 def test_steps():
