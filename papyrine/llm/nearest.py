@@ -29,6 +29,8 @@ CERTAINTY = 1.0
 FIRST, WIDEN, AGAIN = 0.3, 1.15, 0.96
 #: Share of all places by which windows have to grow before places are compared instead of members counted.
 WIDE = 0.05
+#: More than cosines of rounded unit vectors are off.
+ROUNDING = 1e-12
 #: Vectors of one block, and queries of one group, at most (blocks and groups are dealt by hash, so about).
 BLOCK, GROUP = 16_000, 2_000
 
@@ -49,10 +51,11 @@ def reach() -> float:
 
 
 class Index:
-    """Collision counting over one block of unit vectors."""
+    """Collision counting over one block of vectors: candidates by unit vectors, what is returned by the cosine of the vectors as given."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, given: np.ndarray):
+        self.ids, self.given = ids, _scaled(given)
+        self.vectors = vectors = _unit(given)
         self.lines = projections(vectors.shape[1])
         keys = (vectors @ self.lines).T
         order = np.argsort(keys, axis=1, kind="stable")
@@ -84,9 +87,10 @@ class Index:
                 some[:] = 0
         return out.astype(np.int64)
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, given: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of the k nearest verified vectors besides the query's own. Windows start a little inside those of the query before."""
         n = len(self.ids)
+        query = _unit(given[None])[0]
         centre = query @ self.lines + self.apart
         seen = self.ids == own
         found, score = np.zeros(0, np.int64), np.zeros(0)
@@ -117,6 +121,9 @@ class Index:
             else:
                 half *= WIDEN
         self.half = max(half, FIRST)
+        if len(score) > k:  # unit vectors are rounded: whatever they can't tell from the k-th is compared as given
+            found = found[score >= np.partition(score, -k)[-k] - ROUNDING]
+        score = cosines(self.given[found], _scaled(given[None])[0])
         order = np.lexsort((self.ids[found], -score))[:k]
         return self.ids[found][order], score[order]
 
@@ -128,6 +135,17 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors by a power of two each, so that squares don't overflow; this rounds nothing."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
+
+
+def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Products by lengths, each summed up row by row in one order, so that equal vectors get equal cosines."""
+    length = lambda v: np.sqrt((v * v).sum(-1))
+    return (vectors * query).sum(1) / (length(vectors) * length(query))
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     vectors = vectors / np.abs(vectors).max(1, keepdims=True)
     return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
@@ -163,8 +181,8 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
                 mine = asked.filter(pa.array(asked["width"].to_numpy() == width)).sort_by("vec_id")
                 if not len(mine):
                     continue
-                index = Index(own["vec_id"].to_numpy(), _unit(_matrix(own["embedding"].to_pylist())))
-                for q, vector in zip(mine["vec_id"].to_pylist(), _unit(_matrix(mine["embedding"].to_pylist())), strict=True):
+                index = Index(own["vec_id"].to_numpy(), _matrix(own["embedding"].to_pylist()))
+                for q, vector in zip(mine["vec_id"].to_pylist(), _matrix(mine["embedding"].to_pylist()), strict=True):
                     ids, score = index.search(vector, q, k)
                     out += [(q, int(i), float(s)) for i, s in zip(ids, score, strict=True)]
         return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": pa.array([r[2] for r in out], pa.float64())})
