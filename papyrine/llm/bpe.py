@@ -26,8 +26,8 @@ from papyrine.llm.common import table, trim
 LONG_WORD = 200
 #: Distinct words of one generation whose ids a task remembers (two generations are kept), and ids that one decoding statement takes.
 REMEMBERED, DECODED_AT_ONCE = 220_000, 200_000
-#: Words that one encoding statement takes.
-LEARNT_AT_ONCE = 40_000
+#: Words that one encoding statement takes, and the sum of their squared lengths in bytes at most: the recursive query keeps the rows of all its rounds.
+LEARNT_AT_ONCE, SQUARES_AT_ONCE = 40_000, 2_000_000
 
 #: A row is a token at a position of a word, with the position and the token after it. Each round joins rows and their successors to the merge
 #: table, picks each word's pair of least rank, leftmost among equals, and contracts it; words without a pair have reached their fixpoint and drop out.
@@ -65,7 +65,7 @@ class Coder:
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.database = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB"})
+        self.database = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})  # nothing is spilled to a machine's own folder
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, merged = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self._register("merge", {"a": a, "b": b, "merged": merged})
@@ -91,8 +91,14 @@ class Coder:
             if len(raw) > LONG_WORD:
                 self.known[w] = self._by_heap(raw).tobytes()
         raws = [x for x in raws if 0 < len(x[1]) <= LONG_WORD]
-        for first in range(0, len(raws), LEARNT_AT_ONCE):
-            self._contract(raws[first : first + LEARNT_AT_ONCE])
+        first = squares = 0
+        for k, (_, raw) in enumerate(raws):
+            if k > first and (squares + len(raw) ** 2 > SQUARES_AT_ONCE or k - first == LEARNT_AT_ONCE):
+                self._contract(raws[first:k])
+                first, squares = k, 0
+            squares += len(raw) ** 2
+        if first < len(raws):
+            self._contract(raws[first:])
 
     def _contract(self, raws: list[tuple[str, bytes]]) -> None:
         lengths = np.array([len(r) for _, r in raws])
