@@ -10,8 +10,6 @@ from papyrine.llm import bpe, decontaminate, linededup, neardup, toxicity
 from papyrine.llm.common import drop_stored, split_rows, stored, table, tables_of
 
 _SCORE = "__papyrine_score"
-#: Share of its characters that a document has to lose to line dedup for its whole text to be compared as well.
-LOST = 0.2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,21 +28,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def whole_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, text) of the documents of the folder that have since lost LOST of their characters or more: what they held before lines were cut.
+    """(doc_id, text) of the documents of the folder that have since lost characters: what they held before lines were cut.
 
-    A document that lost less is still about as similar to its copies as two near-duplicates have to be. Ids and lengths are compared first, so that
-    only the texts of such documents are shuffled.
+    However little a document has lost, it may fall below the similarity of near-duplicates. Ids and lengths are compared first, so that only the texts
+    of such documents are shuffled.
     """
     before = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     mark = lambda rows, name: rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias(name))
-    changed = stored(mark(docs, "now").join(mark(before, "then"), "doc_id").where((F.col("then") > 0) & (F.col("now") <= (1 - LOST) * F.col("then"))).select("doc_id").distinct())
+    changed = stored(mark(docs, "now").join(mark(before, "then"), "doc_id").where(F.col("now") < F.col("then")).select("doc_id").distinct())
     return split_rows(before, changed)[1].join(changed.hint("merge"), "doc_id", "left_semi")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one document, that of the smallest id, of each group of near-duplicates (five-word shingles, similarity of 0.8 or more).
 
-    Documents are linked by their texts as they are and, where line dedup has cut much of them, also as they were: a near copy that has lost its
+    Documents are linked by their texts as they are and, where line dedup has cut any of them, also as they were: a near copy that has lost its
     repeated lines is no longer similar, but still a copy. Null and empty texts are linked with nothing; rows that repeat a doc_id go or stay together; rows without stay.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).unionByName(whole_texts(spark, docs, sf_dir))
