@@ -41,7 +41,7 @@ def test_same_as_sql(spark, duck, name):
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["sentence_tokens", "node2vec_walks", "gbt_pairs", "kmeans_clusters"])
+@pytest.mark.parametrize("name", ["sentence_tokens", "node2vec_walks", "gbt_pairs", "kmeans_clusters", "relevance_finetuned"])
 def test_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
