@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.llm.common import BLANKS, components, stored, table, trim
@@ -140,6 +140,23 @@ def spanning(close: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def joining(close: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of one block or, of two, the edges between them that join what isn't joined within either.
+
+    What a block joins within itself comes from the group of that block alone: otherwise every pair of blocks would give all of it again.
+    """
+    same = own[:, None] == own[None, :]
+    if same.all():
+        return spanning(close)
+    within = Forest(len(own))
+    for i, j in spanning(close & same):
+        within.join(i, j)
+    label = np.array([within.root(i) for i in range(len(own))])
+    i, j = np.nonzero(np.triu(close & ~same))
+    _, first = np.unique(label[i] * len(own) + label[j], return_index=True)
+    return [(a, b) for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True) if within.join(a, b)]
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of equal keys of rows sorted by them; at most one group (a bounded block or pair of blocks) is held besides a batch."""
     rest = None
@@ -195,7 +212,7 @@ def features(documents: DataFrame, k: int) -> DataFrame:
 
 
 def _dealt(members: DataFrame, key: str, member: str) -> DataFrame:
-    """members with (key, lo, hi): groups of up to two blocks as they are, larger ones as every pair of their blocks.
+    """members with (key, lo, hi, own): groups of up to two blocks as they are, larger ones as every pair of their blocks; own is the member's block.
 
     Needs members of groups of two at least with the group's size in `size`, counted in members.
     """
@@ -206,17 +223,19 @@ def _dealt(members: DataFrame, key: str, member: str) -> DataFrame:
     return members.withColumn("own", own).withColumn("other", other).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
 
 
-def _sorted(rows: DataFrame, *keys: str | Column) -> DataFrame:
-    return rows.repartition(*keys).sortWithinPartitions(*keys)
+def _sorted(rows: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """Groups one after the other, members in order: trees of a group then start from its least member, so bands that share members share edges."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, member)
 
 
 def candidate_edges(representatives: DataFrame, percent: int) -> DataFrame:
     """(a, b): a spanning forest, bucket by bucket, of the pairs whose odd sketches allow the threshold."""
     most = largest_distance(percent / 100)
-    entries = representatives.select("doc_id", F.explode("bands").alias("band"))
+    keyed = representatives.withColumn("row", F.xxhash64("digest"))  # a doc_id may have several texts: they would meet crosswise by it
+    entries = keyed.select("row", F.explode("bands").alias("band"))
     sizes = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = entries.join(sizes, "band").join(representatives.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    dealt = _sorted(_dealt(members, "band", "doc_id").select("band", "lo", "hi", "doc_id", "n_shingles", "sketch"), "band", "lo", "hi")
+    members = entries.join(sizes, "band").join(keyed.select("row", "doc_id", "n_shingles", "sketch"), "row")
+    dealt = _sorted(_dealt(members, "band", "doc_id").select("band", "lo", "hi", "own", "doc_id", "n_shingles", "sketch"), ["band", "lo", "hi"], "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
@@ -233,7 +252,7 @@ def candidate_edges(representatives: DataFrame, percent: int) -> DataFrame:
                 differ = np.zeros((len(ids), len(ids)), np.int16)
                 for w in range(sketch.shape[1]):
                     differ += np.bitwise_count(sketch[:, w, None] ^ sketch[None, :, w])
-                for i, j in spanning(close & (differ <= most)):
+                for i, j in joining(close & (differ <= most), group["own"].to_numpy()):
                     a.append(int(max(ids[i], ids[j]))), b.append(int(min(ids[i], ids[j])))
             if len(a) >= 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -244,8 +263,8 @@ def candidate_edges(representatives: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of a group of shingle sets, on exact intersections."""
+def exact_links(sets: list[np.ndarray], percent: int, own: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links of a group of shingle sets, on exact intersections; of two blocks (own), only what joins them."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     if n == 2:
@@ -267,16 +286,16 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         part[owner[lo:hi], column[lo:hi] - first] = 1
         inter += part @ part.T
     exact = np.rint(inter).astype(np.int64)
-    return spanning(linked(exact, sizes[:, None], sizes[None, :], percent))
+    return joining(linked(exact, sizes[:, None], sizes[None, :], percent), np.zeros(n, np.int32) if own is None else own)
 
 
 def confirmed_edges(documents: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): a spanning forest of each family's links, on full shingle sets. families: (doc_id, family, n_shingles) of representatives."""
     shingles = F.ceil(F.sum("n_shingles") * (BLOCK / BLOCK_SHINGLES)).cast("bigint")
     sizes = families.groupBy("family").agg(F.count("*").alias("n"), shingles.alias("weight")).where("n > 1").select("family", F.greatest("n", "weight").alias("size"))
-    members = families.select("doc_id", "family").join(sizes, "family")
+    members = families.select("doc_id", "family").distinct().join(sizes, "family")  # once, however many texts the doc_id has
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(members, "doc_id")
-    dealt = _sorted(_dealt(texts, "family", "doc_id").select("family", "lo", "hi", "doc_id", "text"), "family", "lo", "hi")
+    dealt = _sorted(_dealt(texts, "family", "doc_id").select("family", "lo", "hi", "own", "doc_id", "text"), ["family", "lo", "hi"], "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
@@ -284,7 +303,7 @@ def confirmed_edges(documents: DataFrame, families: DataFrame, k: int, percent:
         b: list[int] = []
         for group in _groups(batches, ["family", "lo", "hi"]):
             ids = group["doc_id"].to_numpy()
-            for i, j in exact_links([shingler(t.as_py()) for t in group["text"]], percent):
+            for i, j in exact_links([shingler(t.as_py()) for t in group["text"]], percent, group["own"].to_numpy()):
                 if ids[i] != ids[j]:
                     a.append(int(max(ids[i], ids[j]))), b.append(int(min(ids[i], ids[j])))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

@@ -229,6 +229,36 @@ def test_neardup_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
 
 
+def near_copies(n, seed=8):
+    rng = random.Random(seed)
+    hot = [f"w{i}" for i in range(400)]
+    return [" ".join(edited(rng, hot, rng.randrange(1, 4))) for _ in range(n)]
+
+
+def test_neardup_edges_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    for n in (60, 240):
+        docs = documents(spark, near_copies(n))
+        found = neardup.features(docs, 3).withColumn("copies", F.lit(1)).cache()
+        edges = neardup.candidate_edges(found, 85)
+        count, blocks = edges.count(), -(-n // 8)
+        assert count < 16 * n  # one edge joins two blocks that hang together; before: 36 a member of 240
+        families = found.select("doc_id", F.lit(0).cast("bigint").alias("family"), "n_shingles")
+        assert neardup.confirmed_edges(docs, families, 3, 85).count() < n + blocks * blocks / 2
+        found.unpersist()
+
+
+def test_neardup_meets_each_text_of_a_repeated_id_once(spark, monkeypatch):
+    seen = []
+    dealt = neardup._dealt
+    monkeypatch.setattr(neardup, "_dealt", lambda members, key, member: seen.append(members.count()) or dealt(members, key, member))
+    texts = near_copies(20)
+    docs = documents(spark, texts).unionByName(documents(spark, near_copies(20, 9)))
+    want = {0}
+    assert {r["component_id"] for r in neardup.near_duplicates(docs, 3, 85).collect()} == want
+    assert seen[0] <= 28 * 40 and seen[1] == 40  # before: every text of an id met every sketch of it
+
+
 def test_neardup_cases(spark, odd):
     out = neardup.near_duplicates(odd).collect()
     assert len(out) == odd.count()
