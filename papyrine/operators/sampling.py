@@ -128,9 +128,10 @@ POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.9994058
 def bootstrap(rows: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
     """Rows with replicate and weight, Poisson(1) draws from a hash of row and replicate: a bootstrap in one pass.
 
-    rows need a key column `id`; weights of 0 are left out.
+    rows need a key column `id`; weights of 0 are left out. Rows are dealt by their key first: a small file is one task, its replicates aren't.
     """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     u = draw(F.col("id"), F.col("replicate"), F.lit(seed)) / F.lit(DRAWS)
     weight = sum((F.when(F.col("_u") > s, F.lit(1)).otherwise(F.lit(0)) for s in POISSON), F.lit(0))
-    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_u", u)
+    drawn = rows.repartition(parts, "id").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_u", u)
     return drawn.withColumn("weight", weight).where("weight > 0").drop("_u")
