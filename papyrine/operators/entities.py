@@ -46,12 +46,13 @@ def link_tokens(tokens: DataFrame, aliases: DataFrame, group: str = "doc_id", to
     return mentions.join(aliases, "alias").select(group, "canonical", *carried).distinct()
 
 
-def groups_with(mentions: DataFrame, group: str, member: str, least: int = 3) -> DataFrame:
+def groups_with(mentions: DataFrame, group: str, member: str, least: int = 3, dealt: bool = False) -> DataFrame:
     """Distinct mentions of groups with at least `least` distinct members (Q8: the documented default asks for more than two).
 
-    One exchange by group serves the removal of repeats, the count, and a join on the group that follows.
+    One exchange by group serves the removal of repeats, the count, and a join on the group that follows; none is needed where mentions are `dealt` by it.
     """
-    once = mentions.where(F.col(member).isNotNull()).repartition(group).distinct()  # a null is no member
+    known = mentions.where(F.col(member).isNotNull())  # a null is no member
+    once = (known if dealt else known.repartition(group)).distinct()
     by_group = Window.partitionBy(group)
     # the number of distinct members is the last dense rank among the sorted ones: nothing is gathered in a set
     ranked = once.withColumn("_r", F.dense_rank().over(by_group.orderBy(member))).withColumn("_n", F.max("_r").over(by_group))
