@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import md5
+from zlib import crc32
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions import patterns as P
+from papyrine.operators import blocks
 from papyrine.sources.shared import stored
 
 
@@ -97,8 +101,8 @@ def tiling(token: str, entities: frozenset[str] | set[str], allow_spaces: bool =
 
 #: Parts that each prefix is dealt to when entities meet those that begin them.
 PREFIX_PARTS = 8
-#: Windows of one Arrow batch, in characters.
-WINDOW_CHARS = 4_000_000
+#: Bits of the bitmap over hashed entities: a task is sent this many at most, however large the dictionary is.
+ENTITY_BITS = 1 << 23
 
 
 def prefix_free(entities: DataFrame) -> DataFrame:
@@ -115,75 +119,90 @@ def prefix_free(entities: DataFrame) -> DataFrame:
     return known.join(prefixes.join(starts, ["_prefix", "_deal"]).select("token").distinct(), "token", "left_anti")
 
 
-def starting(windows: DataFrame, core: DataFrame) -> DataFrame:
-    """(window, n): distinct windows that start with an entity of core, and that entity's length.
-
-    core (token) is prefix-free, so among the sorted entities the last one that isn't greater than a window is the only one that can begin it. Windows
-    and entities are sorted together by range; each window takes the entity before it, and a range begins with the last entity of those before it (one
-    row a range). No task holds more of the dictionary than its range.
-    """
-    both = core.select(F.col("token").alias("_text"), F.col("token").alias("_entity")).unionByName(windows.select(F.col("window").alias("_text"), F.lit(None).cast("string").alias("_entity")))
-    at = F.struct("_text", F.col("_entity").isNull())  # an entity before the window that equals it
-    ranged = stored(both.repartitionByRange("_text").withColumn("_part", F.spark_partition_id()))
-    ends = ranged.groupBy("_part").agg(F.max("_entity").alias("_end"))
-    carried = ends.select("_part", F.last("_end", True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    inside = F.last("_entity", True).over(Window.partitionBy("_part").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
-    met = ranged.withColumn("_last", inside).where(F.col("_entity").isNull()).join(F.broadcast(carried), "_part").withColumn("_last", F.coalesce("_last", "_carried"))
-    return met.where(F.startswith("_text", "_last")).select(F.col("_text").alias("window"), F.length("_last").alias("n"))
-
-
-def chained(text: str, places: list[int], sizes: list[int]) -> list[str]:
-    """The tiles from the start of text, given the size of the entity that starts at each place; none if they miss its end."""
-    size_at = dict(zip(places, sizes, strict=True))
-    out, at = [], 0
-    while at < len(text):
-        if (n := size_at.get(at)) is None:
-            return []
-        out.append(text[at : at + n])
-        at += n
-    return out
+def _bits_of(core: DataFrame) -> bytes:
+    """A bitmap over the hashes of core (token); always as long, so the driver may hold it."""
+    words = core.select((F.crc32(F.col("token").cast("binary")) % ENTITY_BITS).alias("b")).groupBy(F.expr("int(b div 32)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(b % 32)))").alias("bits"))
+    out = bytearray(ENTITY_BITS // 8)
+    for at, bits in words.collect():
+        out[4 * at : 4 * at + 4] = bits.to_bytes(4, "little")
+    return bytes(out)
 
 
-def _windows(width: int):
-    """Rows (key, place, window) of each text's places, in batches of bounded size."""
+def pieces_of(text: str, sizes: list[int], known: Callable[[int], bool]) -> list[str]:
+    """The distinct pieces of the given sizes that may be entities and lie on a way from the start of text to its end; none without such a way.
 
+    known: whether an entity may have this crc32 of its UTF-8 bytes. sizes: rising.
+    """
+    steps: dict[int, list[int]] = {}
+    reached = {0}
+    for at in range(len(text)):
+        if at in reached:
+            hashed, last, ends = 0, at, []
+            for end in (at + n for n in sizes if at + n <= len(text)):
+                hashed, last = crc32(text[last:end].encode(), hashed), end
+                if known(hashed):
+                    ends.append(end)
+            reached.discard(at)
+            reached.update(ends)
+            steps[at] = ends
+    leading, out = {len(text)}, set()
+    for at in reversed(steps):
+        if ends := [end for end in steps[at] if end in leading]:
+            leading.add(at)
+            out.update(text[at:end] for end in ends)
+    return sorted(out) if 0 in leading else []
+
+
+def _pieces(sizes: list[int], bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = max(1, WINDOW_CHARS // width)
+        held = bits.value
+        known = lambda h: held[(b := h % ENTITY_BITS) >> 3] >> (b & 7) & 1 == 1
         for batch in batches:
-            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                for first in range(0, len(text), most):
-                    places = range(first, min(len(text), first + most))
-                    windows = [text[i : i + width] for i in places]
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(places)), pa.array(places, pa.int32()), pa.array(windows)], ["key", "place", "window"])
+            found = pa.array([pieces_of(t, sizes, known) for t in batch["text"].to_pylist()], pa.list_(pa.string()))
+            out = pa.RecordBatch.from_arrays([batch["key"], batch["text"], found], ["key", "text", "pieces"])
+            yield out.filter(pc.greater(pc.list_value_length(found), 0))
 
     return run
 
 
+def chained(text: str, known: list[str]) -> list[str]:
+    """The tiles from the start of text, all among known, of which none begins another; none if they miss its end."""
+    held, sizes = set(known), sorted({len(k) for k in known})
+    out, at = [], 0
+    while at < len(text):
+        if (piece := next((p for n in sizes if (p := text[at : at + n]) in held), None)) is None:
+            return []
+        out.append(piece)
+        at += len(piece)
+    return out
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tiles = [chained(t, [s["place"] for s in steps], [s["n"] for s in steps]) for t, steps in zip(batch["text"].to_pylist(), batch["steps"].to_pylist(), strict=True)]
+        tiles = [chained(t, known) for t, known in zip(batch["text"].to_pylist(), batch["known"].to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch["key"], pa.array(tiles, pa.list_(pa.string()))], ["key", "tiles"])
 
 
 def tiled(tokens: DataFrame, entities: DataFrame, token: str = "token", allow_spaces: bool = False) -> DataFrame:
     """(token, tiles) of the distinct tokens, as `tiling` defines tiles, for a dictionary (token) of any size.
 
-    The dictionary stays a table: no task and not the driver holds it. Only tokens that begin with an entity are looked at place by place; what goes to
-    the sort is each distinct window as long as the longest entity. Null tokens are left out; empty ones, and all where the dictionary is empty, have
-    no tiles; null and empty entities are ignored. Other columns are dropped.
+    The dictionary stays a table: no task and not the driver holds it. Tasks hold a bitmap over hashed entities of fixed size; tokens that it leaves no way
+    from start to end have no tiles and aren't shuffled, the pieces of the others meet the dictionary in an equi-join. Null tokens are left out; empty
+    ones, and all where the dictionary is empty, have no tiles; null and empty entities are ignored. Other columns are dropped.
     """
     text = F.col("token") if allow_spaces else F.replace("token", F.lit(" "), F.lit(""))
     asked = tokens.select(F.col(token).alias("token")).where("token is not null").distinct()
     core = stored(prefix_free(entities))
-    width = core.agg(F.max(F.length("token"))).first()[0]
+    sizes = sorted(r[0] for r in core.select(F.length("token").alias("n")).distinct().collect())
     none = F.array().cast("array<string>")
-    if width is None:
+    if not sizes:
         return asked.withColumn("tiles", none)
-    texts = asked.select(F.md5("token").alias("key"), text.alias("text")).withColumn("window", F.substring("text", 1, width)).where("text <> ''")
-    begun = stored(texts.join(starting(texts.select("window").distinct(), core).select("window"), "window").select("key", "text"))
-    places = stored(begun.mapInArrow(_windows(width), "key string, place int, window string"))
-    steps = places.join(starting(places.select("window").distinct(), core), "window").groupBy("key").agg(F.collect_list(F.struct("place", "n")).alias("steps"))
-    found = begun.join(steps, "key").mapInArrow(_chains, "key string, tiles array<string>")
+    bits = core.sparkSession.sparkContext.broadcast(_bits_of(core))
+    texts = asked.select(F.md5("token").alias("key"), text.alias("text")).where("text <> ''")
+    begun = stored(texts.mapInArrow(_pieces(sizes, bits), "key string, text string, pieces array<string>"))
+    true = begun.select(F.explode("pieces").alias("token")).distinct().join(core, "token")
+    known = begun.select("key", F.explode("pieces").alias("token")).join(true, "token").groupBy("key").agg(F.collect_list("token").alias("known"))
+    found = begun.select("key", "text").join(known, "key").mapInArrow(_chains, "key string, tiles array<string>")
     return asked.withColumn("key", F.md5("token")).join(found, "key", "left").select("token", F.coalesce("tiles", none).alias("tiles"))
 
 
@@ -215,6 +234,39 @@ def retiled(tokens: DataFrame, entities: DataFrame, group: str = "doc_id", posit
     return drop_repeats(ordered, entities, group, "_at").select(group, position, "part", "token")
 
 
+def _retiled_lines(texts: pa.Table, facts: pa.Table) -> pa.Table:
+    stands = dict(zip(facts["token"].to_pylist(), facts["parts"].to_pylist(), strict=True))
+    keys, sizes, digests = [], [], []
+    for key, line in blocks.lines_of(texts):
+        out: list[str] = []
+        for token in line:
+            parts = stands.get(token)
+            if parts is None:
+                out.append(token)
+            else:
+                for part in parts:
+                    if not out or out[-1] != part:
+                        out.append(part)
+        keys.append(key)
+        sizes.append(len(out))
+        digests.append(md5(" ".join(out).encode()).hexdigest())
+    return pa.table([pa.array(keys, texts.schema.field("doc_id").type), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "tokens", "line"])
+
+
+def retiled_texts(texts: DataFrame, tokens: DataFrame, entities: DataFrame) -> DataFrame:
+    """R12 on whole texts (doc_id, text): (doc_id, tokens, line), the number of tokens that `retiled` emits for a text's blank-separated ones and the MD5 of their line.
+
+    tokens (token): those of the texts, once or more. Texts meet only what their own tokens stand for, block by block; a part of a tiling always is an
+    entity, so what stands for a token that isn't listed is itself and may repeat.
+    """
+    known = entities.select("token").where("token is not null").distinct()
+    stands = tiled(tokens, entities).where(F.size("tiles") > 0).select("token", candidates(F.col("tiles"), F.col("token")).alias("parts"))
+    facts = stored(known.join(stands, "token", "full").select("token", F.coalesce("parts", F.array("token")).alias("parts")))
+    pieces = F.transform(F.array_distinct(F.split("text", " ")), lambda t: F.struct(t.alias("token")))
+    doc = texts.schema["doc_id"].dataType.simpleString()
+    return blocks.with_facts(texts, pieces, facts, ["token"], _retiled_lines, f"doc_id {doc}, tokens bigint, line string")
+
+
 def link_with(texts: DataFrame, model, schema: str) -> DataFrame:
     """Spans that a user's model finds. model: an iterator of pandas frames to an iterator of frames of `schema` (it can load itself once a task)."""
     return texts.mapInPandas(model, schema)

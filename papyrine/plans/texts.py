@@ -9,6 +9,7 @@ from papyrine.functions import patterns as P
 from papyrine.functions import text as X
 from papyrine.operators import entities, graph
 from papyrine.plans.base import query, table
+from papyrine.sources.shared import stored
 
 
 def quoted(s: str) -> str:
@@ -173,8 +174,12 @@ def sentences_by_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENTITIES = "en AS (SELECT token FROM t GROUP BY token HAVING count(*) > 20 AND length(token) % 2 = 0)"
 
 
+def repeated(counts: DataFrame) -> DataFrame:
+    return counts.where((F.col("n") > 20) & (F.length("token") % 2 == 0)).select("token")
+
+
 def repeated_entities(found: DataFrame) -> DataFrame:
-    return found.groupBy("token").agg(F.count("*").alias("n")).where((F.col("n") > 20) & (F.length("token") % 2 == 0)).select("token")
+    return repeated(found.groupBy("token").agg(F.count("*").alias("n")))
 
 
 @query(
@@ -200,9 +205,8 @@ st AS (SELECT token, tiles, CASE WHEN len(tiles) = 0 THEN [token] WHEN len(list_
 @query("exact_tiling", f"WITH RECURSIVE {_TILES} SELECT token, CAST(len(tiles) AS INT) AS n_tiles, array_to_string(parts, '|') AS candidates FROM st")
 def exact_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens tiled by short frequent words, with what stands for each."""
-    found = tokens(spark, sf_dir)
-    short = repeated_entities(found).where(F.length("token") >= 2)
-    tiled = entities.tiled(found, short)
+    counts = stored(tokens(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n")))
+    tiled = entities.tiled(counts, repeated(counts).where(F.length("token") >= 2))
     return tiled.select("token", F.size("tiles").alias("n_tiles"), F.array_join(entities.candidates(F.col("tiles"), F.col("token")), "|").alias("candidates"))
 
 
@@ -214,10 +218,9 @@ SELECT doc_id, count(*) AS tokens, md5(string_agg(token, ' ' ORDER BY pos, part)
 )
 def retiled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens tiled, then entities that repeat what was emitted before them dropped, by document."""
-    found = tokens(spark, sf_dir)
-    out = entities.retiled(found, repeated_entities(found).where(F.length("token") >= 2))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "part", "token"))), lambda x: x["token"])
-    return out.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.md5(F.array_join(ordered, " ").cast("binary")).alias("line"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = stored(tokens(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n")))
+    return entities.retiled_texts(texts, counts, repeated(counts).where(F.length("token") >= 2))
 
 
 @query("remove_entities", f"WITH {_TOKENS}, {_ENTITIES} SELECT doc_id, md5(string_agg(token, ' ' ORDER BY pos)) AS rest FROM t WHERE token NOT IN (SELECT token FROM en) GROUP BY doc_id")
