@@ -18,14 +18,11 @@ BLOCK_CHARS, LEAST_CHARS = 1 << 23, 1 << 20
 BUCKETS = 1 << 23
 
 
-def _bit(keys: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
-
-
 def maybe_among(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """rows whose keys may be among those of table: all that are, few others. Only a bitmap over hashed keys is broadcast."""
-    bits = table.select(_bit(keys).alias("_bit")).groupBy(F.expr("int(_bit div 64)").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, int(_bit % 64)))").alias("_bits"))
-    asked = rows.withColumn("_bit", _bit(keys)).withColumn("_word", F.expr("int(_bit div 64)"))
+    bit = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    bits = table.select(bit.alias("_bit")).groupBy(F.expr("int(_bit div 64)").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, int(_bit % 64)))").alias("_bits"))
+    asked = rows.withColumn("_bit", bit).withColumn("_word", F.expr("int(_bit div 64)"))
     return asked.join(F.broadcast(bits), "_word").where("shiftright(_bits, int(_bit % 64)) & 1L = 1L").select(*rows.columns)
 
 

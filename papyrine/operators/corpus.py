@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyrine.operators import blocks
+from papyrine.sources.shared import stored
 
 #: Accented small letters and what they are without accents.
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -49,8 +54,25 @@ def anova_f(weights: DataFrame, labels: DataFrame, doc: str = "doc_id") -> DataF
 def phrase_scores(tokens: DataFrame, least: int = 75, threshold: float = 60.0, doc: str = "doc_id", position: str = "pos") -> DataFrame:
     """(a, b, n, score) of neighbouring tokens with (n_ab - least) * |V| / (n_a * n_b) above the threshold; V holds tokens and pairs."""
     pairs = tokens.withColumn("b", F.lead("token").over(Window.partitionBy(doc).orderBy(position))).withColumnRenamed("token", "a")
-    single = pairs.groupBy("a").agg(F.count("*").alias("n_a"))
-    double = pairs.where(F.col("b").isNotNull()).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return _scored(pairs, least, threshold)
+
+
+def _neighbours(text: str = "text") -> Column:
+    """Structs (a, b) of the blank-separated tokens of a text and the next ones, null after the last."""
+    words = F.split(text, " ")
+    return F.arrays_zip(words, F.slice(words, F.lit(2), F.size(words)))
+
+
+def text_phrase_scores(texts: DataFrame, least: int = 75, threshold: float = 60.0, text: str = "text") -> DataFrame:
+    """phrase_scores of the blank-separated tokens of whole texts, one a row: neighbours are found in the row, only counts are shuffled."""
+    return _scored(texts.select(F.inline(_neighbours(text)).alias("a", "b")), least, threshold)
+
+
+def _scored(pairs: DataFrame, least: int, threshold: float) -> DataFrame:
+    """Pairs are counted once, with those of no next token; what a token alone counts is the sum over its pairs."""
+    counts = stored(pairs.groupBy("a", "b").agg(F.count("*").alias("n")))
+    single = counts.groupBy("a").agg(F.sum("n").alias("n_a"))
+    double = counts.where(F.col("b").isNotNull())
     size = single.agg(F.count("*").alias("_v1")).join(double.agg(F.count("*").alias("_v2")))
     scored = double.where(F.col("n") > least).join(single, "a").join(single.select(F.col("a").alias("b"), F.col("n_a").alias("n_b")), "b").join(F.broadcast(size))
     score = (F.col("n") - least) * (F.col("_v1") + F.col("_v2")) / (F.col("n_a").cast("double") * F.col("n_b"))
@@ -75,6 +97,33 @@ def apply_phrases(tokens: DataFrame, phrases: DataFrame, doc: str = "doc_id", po
     return out.select(doc, position, F.when(F.col("_wins"), F.concat("token", F.lit("_"), "_b")).otherwise(F.col("token")).alias("token"))
 
 
+def joined(line: list[str], phrases: set[tuple[str, str]]) -> list[str]:
+    """Tokens with neighbours that are a phrase joined by `_`, greedily from the left."""
+    out, at = [], 0
+    while at < len(line):
+        met = at + 1 < len(line) and (line[at], line[at + 1]) in phrases
+        out.append(f"{line[at]}_{line[at + 1]}" if met else line[at])
+        at += 1 + met
+    return out
+
+
+def _phrased_lines(texts: pa.Table, facts: pa.Table) -> pa.Table:
+    phrases = set(zip(facts["a"].to_pylist(), facts["b"].to_pylist(), strict=True))
+    lines = [(key, joined(line, phrases)) for key, line in blocks.lines_of(texts)]
+    digests = [md5(" ".join(line).encode()).hexdigest() for _, line in lines]
+    return pa.table([pa.array([k for k, _ in lines], texts.schema.field("doc_id").type), pa.array([len(x) for _, x in lines], pa.int64()), pa.array(digests, pa.string())], ["doc_id", "tokens", "text"])
+
+
+def phrased_texts(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """L17, Q17 on whole texts (doc_id, text): (doc_id, tokens, text), the number of tokens that apply_phrases leaves and the MD5 of their line.
+
+    Texts meet only the phrases (a, b) that their own neighbours are, block by block.
+    """
+    known = stored(phrases.select("a", "b").distinct())
+    doc = texts.schema["doc_id"].dataType.simpleString()
+    return blocks.with_facts(texts, _neighbours(), known, ["a", "b"], _phrased_lines, f"doc_id {doc}, tokens bigint, text string")
+
+
 def _entries(vec: str, width: int) -> list[Column]:
     """The entries of an array column as columns; null beyond its end."""
     return [F.get(vec, F.lit(k)).cast("double") for k in range(width)]

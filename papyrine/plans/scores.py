@@ -10,7 +10,7 @@ from papyrine.operators import corpus, graph, metrics, pairs
 from papyrine.operators.sampling import hash_of
 from papyrine.plans.base import query, table
 from papyrine.plans.splits import h
-from papyrine.plans.texts import _TOKENS, tokens
+from papyrine.plans.texts import _TOKENS
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +386,7 @@ v AS (SELECT (SELECT count(*) FROM s) + (SELECT count(*) FROM d) AS v) SELECT d.
 )
 def phrase_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L17"""
-    return metrics.rounded(corpus.phrase_scores(tokens(spark, sf_dir), 5, 10.0), "score", places=4)
+    return metrics.rounded(corpus.text_phrase_scores(table(spark, sf_dir, "documents"), 5, 10.0), "score", places=4)
 
 
 _PHRASES = f"""{_TOKENS}, p AS (SELECT doc_id, pos, token AS a, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM t), s AS (SELECT a, count(*) AS n FROM p GROUP BY a), d AS (SELECT a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY a, b),
@@ -401,10 +401,8 @@ SELECT doc_id, count(*) AS tokens, md5(string_agg(CASE WHEN wins THEN a || '_' |
 )
 def phrased_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with phrases joined."""
-    t = tokens(spark, sf_dir)
-    joined = corpus.apply_phrases(t, corpus.phrase_scores(t, 5, 10.0))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
-    return joined.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.md5(F.array_join(ordered, " ").cast("binary")).alias("text"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return corpus.phrased_texts(texts, corpus.text_phrase_scores(texts, 5, 10.0))
 
 
 @query("early_stopping", "SELECT o_custkey % 20 AS epoch, round(avg(o_totalprice), 4) AS loss, round(min(avg(o_totalprice)) OVER (ORDER BY o_custkey % 20), 4) AS best FROM orders GROUP BY o_custkey % 20")

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from papyrine.operators import blocks, entities
+from papyrine.operators import blocks, corpus, entities
 from papyrine.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -45,3 +45,16 @@ def test_tokens_without_a_way_to_their_end_are_not_shuffled():
     known = {entities.crc32(w.encode()) for w in ("ab", "cd")}.__contains__
     assert entities.pieces_of("ababcd", [2], known) == ["ab", "cd"]
     assert entities.pieces_of("ababx", [2], known) == [] and entities.pieces_of("", [2], known) == []  # before: a window for each place
+
+
+def test_phrased_texts_equal_phrased_tokens(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_CHARS", 300)
+    texts = random_texts(spark)
+    tokens = texts.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token"))
+    scored = corpus.text_phrase_scores(texts, 2, 0.01)
+    held = lambda df: sorted((r["a"], r["b"], r["n"], round(r["score"], 9)) for r in df.collect())
+    assert held(scored) == held(corpus.phrase_scores(tokens, 2, 0.01)) != []
+    want = lines(corpus.apply_phrases(tokens, scored).select("doc_id", "pos", "token"))
+    assert {r["doc_id"]: (r["tokens"], r["text"]) for r in corpus.phrased_texts(texts, scored).collect()} == want
+    plan = registry.QUERIES["phrased_corpus"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan  # before: four windows and a join over all tokens
