@@ -140,14 +140,42 @@ def pooled_means(occurrences: DataFrame, width: int, doc: str = "doc_id") -> Dat
     occurrences: (doc_id, token, vec) with vectors of at most `width` entries, a bound of the model, not of the data. A token that occurs twice counts
     twice. An entry counts where a vector has it. Entries are summed side by side in one row a document and one a token, map-side first.
     """
+    return _pooled(_pooled_sums(occurrences, width, doc), width)
+
+
+def _pooled_sums(occurrences: DataFrame, width: int, doc: str) -> DataFrame:
+    """(token, _s0, _d0, ..): sums of the documents' means by occurrence, and of the occurrences that have one."""
     pooled = occurrences.groupBy(doc).agg(*(F.avg(x).alias(f"_p{k}") for k, x in enumerate(_entries("vec", width))))
     times = occurrences.groupBy(doc, "token").agg(F.count("*").alias("_c"))
-    met = times.join(pooled, doc)
-    means = [F.try_divide(F.sum(F.col(f"_p{k}") * F.col("_c")), F.sum(F.when(F.col(f"_p{k}").isNotNull(), F.col("_c")))) for k in range(width)]
-    out = met.groupBy("token").agg(*(m.alias(f"_m{k}") for k, m in enumerate(means)))
+    sums = [[F.sum(F.col(f"_p{k}") * F.col("_c")).alias(f"_s{k}"), F.sum(F.when(F.col(f"_p{k}").isNotNull(), F.col("_c"))).cast("double").alias(f"_d{k}")] for k in range(width)]
+    return times.join(pooled, doc).groupBy("token").agg(*(c for pair in sums for c in pair))
+
+
+def _pooled(sums: DataFrame, width: int) -> DataFrame:
+    out = sums.groupBy("token").agg(*(F.try_divide(F.sum(f"_s{k}"), F.sum(f"_d{k}")).alias(f"_m{k}") for k in range(width)))
     return _by_entry(out, [F.col(f"_m{k}") for k in range(width)], "token")
 
 
+def pooled_means_by_id(mentions: DataFrame, vectors: DataFrame, width: int, doc: str = "doc_id") -> DataFrame:
+    """pooled_means of mentions (doc_id, token, vec_id) of vectors (vec_id, vec); those of unknown ids don't count.
+
+    A token's sum of means is a weighted sum of vectors: weights are added up by token and id, and vectors meet them only then, so none travels with a
+    mention. Documents of more than `width` mentions, whose pairs of tokens and ids would outnumber their entries, and those with a vector that is
+    short or holds a null are pooled entry by entry.
+    """
+    whole = F.coalesce((F.size("vec") == width) & ~F.exists("vec", lambda x: x.isNull()), F.lit(False))
+    known = vectors.groupBy("vec_id").agg(F.count("*").alias("_k"), F.bool_and(whole).alias("_whole"))
+    lines = mentions.join(known, "vec_id").select(doc, "token", "vec_id", "_k", "_whole")
+    kinds = lines.groupBy(doc).agg(F.sum("_k").alias("_n"), (F.bool_and("_whole") & (F.count("*") <= width)).alias("_narrow"))
+    times = lines.groupBy(doc, "token").agg(F.sum("_k").alias("_c"))
+    ids = lines.groupBy(doc, "vec_id").agg(F.count("*").alias("_m"))
+    weights = times.join(kinds.where("_narrow"), doc).join(ids, doc).groupBy("token", "vec_id").agg(F.sum(F.col("_c") * F.col("_m") / F.col("_n")).alias("_w"))
+    met = weights.join(vectors.select("vec_id", "vec"), "vec_id")
+    narrow = met.groupBy("token").agg(*(c for k, x in enumerate(_entries("vec", width)) for c in (F.sum(x * F.col("_w")).alias(f"_s{k}"), F.sum("_w").alias(f"_d{k}"))))
+    wide = lines.join(kinds.where("not _narrow").select(doc), doc, "left_semi").join(vectors.select("vec_id", "vec"), "vec_id").select(doc, "token", "vec")
+    return _pooled(narrow.unionByName(_pooled_sums(wide, width, doc)), width)
+
+
 def attention_pool(occurrences: DataFrame, weights: Column, width: int, doc: str = "doc_id") -> DataFrame:
     """(doc_id, i, value): vectors of `width` entries weighted by the softmax of their product with `weights`.
 

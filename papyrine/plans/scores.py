@@ -102,12 +102,16 @@ _OCC = "o AS (SELECT l_orderkey AS doc_id, l_partkey % 50 AS token, vec FROM lin
 WIDTH = 64
 
 
-def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, token, vec): every line mentions a part in an order; its vector is any of the whole table (the range of ids is one row)."""
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, token, vec_id): every line mentions a part in an order; its vector is any of the whole table (the range of ids is one row)."""
     ids = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("z"))
     lines = table(spark, sf_dir, "lineitem").join(F.broadcast(ids))
-    mentions = lines.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 50).alias("token"), ((F.col("l_linenumber") * 1009 + F.col("l_suppkey")) % F.col("z")).alias("vec_id"))
-    return mentions.join(vectors(spark, sf_dir).select("vec_id", "vec"), "vec_id").select("doc_id", "token", "vec")
+    return lines.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 50).alias("token"), ((F.col("l_linenumber") * 1009 + F.col("l_suppkey")) % F.col("z")).alias("vec_id"))
+
+
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, token, vec) of the mentions"""
+    return mentions(spark, sf_dir).join(vectors(spark, sf_dir).select("vec_id", "vec"), "vec_id").select("doc_id", "token", "vec")
 
 
 @query(
@@ -117,7 +121,7 @@ t AS (SELECT doc_id, token, count(*) AS c FROM o GROUP BY doc_id, token) SELECT
 )
 def pooled_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A11"""
-    return metrics.rounded(corpus.pooled_means(occurrences(spark, sf_dir), WIDTH), "value")
+    return metrics.rounded(corpus.pooled_means_by_id(mentions(spark, sf_dir), stored_vectors(spark, sf_dir), WIDTH), "value")
 
 
 @query(
