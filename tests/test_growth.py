@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from papyrine.operators import boosted, graph, sampling
+from papyrine.operators import boosted, graph, learning, sampling
 from papyrine.plans import graphs
 
 DATA = "/root/testdata/sf0.001"
@@ -52,3 +52,12 @@ def test_importance_gives_a_row_a_task_and_feature(spark):
     found = boosted.importance(rows, model)
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # before: a row for each row and feature
     assert all(abs(r["importance"] - want[r["feature"]]) < 1e-12 for r in found.collect())
+
+
+def test_training_tasks_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(learning, "WORDS_A_TASK", 100)
+    corpus = spark.range(90).select(F.array(*(F.concat(F.lit("w"), ((F.col("id") + k) % 9).cast("string")) for k in range(10))).alias("words"))
+    assert learning.training_tasks(corpus) == 9 and learning.training_tasks(corpus.limit(0)) == 1
+    model = learning.word_vectors(corpus, size=4, window=2, least=1, epochs=1)
+    assert model.getNumPartitions() == 9  # before: 1
+    assert model.getVectors().count() == 9
