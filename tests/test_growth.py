@@ -61,3 +61,16 @@ def test_training_tasks_grow_with_the_corpus(spark, monkeypatch):
     model = learning.word_vectors(corpus, size=4, window=2, least=1, epochs=1)
     assert model.getNumPartitions() == 9  # before: 1
     assert model.getVectors().count() == 9
+
+
+def test_walks_are_dealt_by_the_number_of_edges(spark, monkeypatch):
+    pairs = [(k, (k * 7 + 1) % 60) for k in range(60)] + [(3, 3), (None, 1), (1, None), (0, 1)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    near = {(a, b) for x, y in pairs if None not in (x, y) and x != y for a, b in ((x, y), (y, x))}
+    whole = graph.random_walks(edges, 3).collect()
+    monkeypatch.setattr(graph, "ROWS_A_TASK", 10)  # before: no such bound, tasks by the session's settings
+    dealt = graph.random_walks(edges, 3)
+    assert tasks(dealt) >= len(near) // 10
+    rows = dealt.collect()
+    assert sorted(rows) == sorted(whole) and {r["start"] for r in rows} == {a for a, _ in near}
+    assert all(len(r["walk"]) == 4 and set(zip(r["walk"], r["walk"][1:], strict=False)) <= near for r in rows)
