@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyrine.operators import graph, metrics
+from papyrine.sources.shared import drop_stored, stored_by
 
 
 def test_transitions_are_exact(spark):
@@ -42,6 +43,21 @@ def test_walks_repeat_themselves(spark):
     assert graph.biased_walks(edges.limit(0), 3).count() == 0
 
 
+def test_tries_a_round_change_no_walk(spark):
+    edges = spark.createDataFrame([(k, (k * 5 + j) % 24) for k in range(24) for j in (1, 2)], "src long, dst long")
+    few, many = (sorted(graph.biased_walks(edges, 2, 4.0, 2.0, per_node=3, tries=k).collect()) for k in (2, 16))
+    assert few == many and len(many) == 72
+
+
+def test_tables_by_keys_are_read_as_they_lie(spark):
+    held = stored_by(spark.range(1000).withColumn("x", F.col("id") * 2), 6, "id")  # before: edges were shuffled twice a round
+    met = spark.range(0, 2000, 2).join(held.hint("merge"), "id")
+    assert met.count() == 500 and sum(r["x"] for r in met.collect()) == sum(2 * k for k in range(0, 1000, 2))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    drop_stored(held)
+
+
 def test_student(spark):
     cases = [(0.0, 5, 1.0), (None, 5, None), (1.0, 0, None), (12.706204736432095, 1, 0.05), (2.2281388519649385, 10, 0.05), (3.1692726726169518, 10, 0.01), (2.042272456301238, 30, 0.05)]
     for t in (1e-3, 0.3, 1.7, 25.0):
