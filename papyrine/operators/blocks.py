@@ -26,9 +26,9 @@ def maybe_among(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame
     return asked.join(F.broadcast(bits), "_word").where("shiftright(_bits, int(_bit % 64)) & 1L = 1L").select(*rows.columns)
 
 
-def blocks_of(texts: DataFrame) -> tuple[DataFrame, int]:
-    """texts (doc_id, text) dealt by `_block`, and the number of blocks; rows of one id lie in one block. Null texts go."""
-    known = texts.select("doc_id", "text").where("text is not null")
+def blocks_of(texts: DataFrame, *carried: str) -> tuple[DataFrame, int]:
+    """texts (doc_id, text and what is carried) dealt by `_block`, and the number of blocks; rows of one id lie in one block. Null texts go."""
+    known = texts.select("doc_id", "text", *carried).where("text is not null")
     chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
     cores = texts.sparkSession.sparkContext.defaultParallelism
     n = max(1, -(-chars // BLOCK_CHARS), min(2 * cores, chars // LEAST_CHARS))

@@ -17,11 +17,19 @@ ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaa
 
 def terms(documents: DataFrame, grams: int = 2, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, term) of each occurrence: lower-case words of two characters or more without accents, and runs of up to `grams` of them."""
-    plain = F.translate(F.lower(text), ACCENTED, PLAIN)
-    words = F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
-    rows = documents.select(doc, words.alias("_w"))
-    run = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, F.lit(n)), " "))).otherwise(F.array())
-    return rows.select(doc, F.explode(F.concat("_w", *(run(n) for n in range(2, grams + 1)))).alias("term"))
+    rows = documents.select(doc, words_of(text).alias("_w"))
+    return rows.select(doc, F.explode(runs_of("_w", grams)).alias("term"))
+
+
+def words_of(text: str = "text") -> Column:
+    """The lower-case words of two characters or more without accents."""
+    return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
+
+
+def runs_of(words: str, grams: int) -> Column:
+    """Words and runs of up to `grams` of them."""
+    run = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array())
+    return F.concat(words, *(run(n) for n in range(2, grams + 1)))
 
 
 def tfidf(found: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -42,9 +50,14 @@ def anova_f(weights: DataFrame, labels: DataFrame, doc: str = "doc_id") -> DataF
 
     Only sums over present terms are shuffled: zeros add nothing to sums, and class sizes are a small table.
     """
+    by_class = weights.join(labels, doc).groupBy("term", "label").agg(F.sum("weight").alias("_s"), F.sum(F.col("weight") * F.col("weight")).alias("_q"))
+    return anova_f_of_sums(by_class, labels)
+
+
+def anova_f_of_sums(by_class: DataFrame, labels: DataFrame) -> DataFrame:
+    """L2 from the sums _s of weights and _q of their squares of each term and label."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_total"), F.count("*").alias("_k"))
-    by_class = weights.join(labels, doc).groupBy("term", "label").agg(F.sum("weight").alias("_s"), F.sum(F.col("weight") * F.col("weight")).alias("_q"))
     terms_ = by_class.join(F.broadcast(sizes), "label").groupBy("term").agg(F.sum("_s").alias("s"), F.sum("_q").alias("q"), F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("b"))
     between = F.col("b") - F.col("s") * F.col("s") / F.col("_total")
     inside = F.col("q") - F.col("b")
